@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROOT = str(Path(__file__).resolve().parents[2])
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -44,6 +46,8 @@ def map_rows(df: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if out is not None and out.num_rows:
                 yield out
 
+    # workers find the package where the driver found it, installed or not
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
     return df.mapInArrow(run, schema)
 
 

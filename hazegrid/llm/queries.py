@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, simhash, token_counts, warc
+from . import byte_bpe, langid, mixing, quality, simhash, token_counts, warc
 from .common import table
 
 
@@ -15,6 +16,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host_col="source", path_col="lang")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), power=0.5, iterations=12, seed=11)
 
@@ -23,6 +28,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))), per_lang=2000)
+    out = langid.identify(docs, model)
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.array_sort(F.map_keys("langs")).alias("langs"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
     return made.select(made.page.alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "source_payload_digest", "block_digest", "content_length", "block")
@@ -34,8 +46,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
+    "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
 }

@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, langid, mixing, quality, simhash, token_counts, warc
+from . import byte_bpe, langid, mih, mixing, quality, simhash, token_counts, warc
 from .common import table
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mih.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, sample_rows=4096)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -45,6 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_multi_index": op1_multi_index,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,

@@ -9,6 +9,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -37,7 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_rows(df: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow for a function of one batch, which may return None for no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

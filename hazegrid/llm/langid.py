@@ -109,6 +109,21 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return map_rows(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")), run, "id long, lang_pred string, score double, langs map<string,double>").withColumnRenamed("id", id_col)
 
 
+def filter_documents(docs: DataFrame, model: Model, *, text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
+    """The documents, all columns, that have a language of at least that score; `lang` becomes the prediction."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        got = [shared.value.mixture(x.as_py()) for x in b.column(place)]
+        keep = pa.array([r[0] != "und" and r[1] >= least for r in got], pa.bool_())
+        cols = list(b.columns)
+        cols[lang_at] = pa.array([r[0] for r in got], pa.string())
+        return pa.RecordBatch.from_arrays(cols, b.schema.names).filter(keep)
+
+    return map_rows(docs.withColumn(lang_col, F.col(lang_col).cast("string")).select(*docs.columns), run, docs.withColumn(lang_col, F.col(lang_col).cast("string")).select(*docs.columns).schema)
+
+
 def held_out(id_col):
     """Rows kept from training: those whose crc32 of the id as text is a multiple of 5."""
     return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0

@@ -35,7 +35,7 @@ def topic(text: Column) -> Column:
     return F.when(text.isNull(), "(none)").when(digits * 50 > n, "numeric").when(lines * 80 > n, "lists").when(n > 6000, "long").otherwise("prose")
 
 
-def tempered(cells: DataFrame, margin: str, power: float = 0.5) -> DataFrame:
+def tempered(cells: DataFrame, margin: str, power: float = 0.8) -> DataFrame:
     """Targets that flatten a marginal: (margin, share) with natural shares to a power, made to sum to 1."""
     natural = cells.groupBy(margin).agg(F.sum("w").alias("s")).where("s > 0").withColumn("p", F.pow(F.col("s"), F.lit(power)))
     return natural.crossJoin(natural.agg(F.sum("p").alias("total"))).select(margin, (F.col("p") / F.col("total")).alias("share"))
@@ -58,7 +58,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], iterations: int = 12)
     return out.select(*MARGINS, "w", "raked")
 
 
-def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power: float = 0.5, iterations: int = 12, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic) -> DataFrame:
+def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power: float = 0.8, iterations: int = 12, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic) -> DataFrame:
     """One row a document: id, source, lang, topic, tokens, multiplier (calibrated over natural share), probability, kept."""
     text = F.col(text_col)
     marked = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("(none)")).alias("source"), F.coalesce(F.col(lang_col), F.lit("(none)")).alias("lang"), topic_of(text).alias("topic"), token_weight(text).alias("tokens")))
@@ -74,7 +74,13 @@ def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power:
     return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "tokens", F.round("multiplier", 6).alias("multiplier"), F.round("probability", 6).alias("probability"), "kept")
 
 
-def oracle(power: float = 0.5, iterations: int = 12, seed: int = 11) -> str:
+def sample(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents, all columns, that `mix` keeps."""
+    kept = mix(docs, id_col=id_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
+
+
+def oracle(power: float = 0.8, iterations: int = 12, seed: int = 11) -> str:
     """The same over the table documents, for DuckDB."""
     steps, last = [], "start"
     for i in range(iterations):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, langid, line_dedup, mih, mixing, quality, simhash, token_counts, warc
+from . import byte_bpe, jpeg, langid, line_dedup, mih, mixing, quality, simhash, token_counts, warc
 from .common import table
 
 
@@ -29,8 +29,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host_col="source", path_col="lang")
 
 
+def op5_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.store_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), power=0.5, iterations=12, seed=11)
+    return mixing.mix(table(spark, sf_dir, "documents"), power=0.8, iterations=12, seed=11)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
+    "op5_progressive_jpeg": op5_progressive_jpeg,
     "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_language": op8_language,
@@ -67,6 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.oracle(0.8, 5),
-    "op6_mixing": mixing.oracle(0.5, 12, 11),
+    "op6_mixing": mixing.oracle(0.8, 12, 11),
     "op9_warc": warc.oracle(),
 }

@@ -152,3 +152,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks:
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     per_fp = labelled.join(ids, "component").select("fp", "component_id")
     return marked.join(per_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, without those whose near-duplicate group has a smaller id; of rows with one id all or none stay."""
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
+    return docs.join(first, docs[id_col].cast("long") == F.col("_kept"), "left_semi")

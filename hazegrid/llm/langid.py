@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, uniform
 
 BUCKETS = 1 << 14
+#: Languages that are learned at most, the most frequent first.
+MAX_LANGS = 400
 #: What an added language must gain, in log-likelihood per log of the number of trigrams.
 PENALTY = 6.0
 _LETTER = np.array([chr(c).isalpha() for c in range(0xD800)] + [False] * 0x800 + [chr(c).isalpha() for c in range(0xE000, 0x10000)])
@@ -78,8 +80,12 @@ class Model:
 def train(rows: DataFrame, *, per_lang: int = 2000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts trigrams of about `per_lang` rows of each language; what comes to the driver is at most BUCKETS numbers a language."""
     known = rows.select(rows[id_col].alias("id"), rows[text_col].cast("string").alias("text"), rows[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
-    per = known.groupBy("lang").agg(F.count("*").alias("n"))
-    picked = known.join(per, "lang").where(uniform(F.col("id"), seed) < F.lit(float(per_lang)) / F.col("n")).select("lang", "text")
+    per = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    if not per:
+        return Model([], np.full((BUCKETS, 0), 0.5))
+    # shares as a literal, so that no text is shuffled by its language
+    share = F.create_map(*[F.lit(x) for r in per for x in (r["lang"], per_lang / r["n"])])
+    picked = known.where(uniform(F.col("id"), seed) < share[F.col("lang")]).select("lang", "text")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         total: dict[str, np.ndarray] = {}

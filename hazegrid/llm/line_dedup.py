@@ -17,14 +17,16 @@ place counts once. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, map_rows
+from .common import cut, lower_ascii, map_rows, shared_dir
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -200,95 +202,157 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
         yield from out(pairs(*held))
 
 
-def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, buckets: int = 1 << 18, filter_bits: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines to remove: (id, line), the line counted from 0. `filter_bits` (a multiple of 64) sizes a filter that only saves shuffling."""
-    spark = docs.sparkSession
-    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("text is not null")
-    rarity = spark.sparkContext.broadcast(rarities(plain, buckets))
+def _line_table(plain: DataFrame, rarity, threshold: float, min_words: int) -> DataFrame:
+    """Every line of min_words or more: id, line, two set hashes, sketch, size, and its prefix words as bytes. Written once, read by all later steps."""
 
-    def lines(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, out = b.column(0).to_numpy(zero_copy_only=False), []
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, out, words = b.column(0).to_numpy(zero_copy_only=False), [], []
         work = Lines(rarity.value, threshold, min_words)
         for rows, firsts, data in _blocks(b):
             s = work.sets(data)
             of = np.searchsorted(firsts, s["line"], side="right") - 1
-            out.append((ids[rows[of]], s["line"] - firsts[of], s["a"].view(np.int64), s["b"].view(np.int64)))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["id", "line", "a", "b"])
-
-    def prefixes(b: pa.RecordBatch) -> pa.RecordBatch:
-        out, work, seen = [], Lines(rarity.value, threshold, min_words), np.zeros(0, np.uint64)
-        for _, _, data in _blocks(b):
-            s = work.sets(data)
-            _, once = np.unique(s["a"], return_index=True)
-            once = once[~np.isin(s["a"][once], seen)]
-            seen = np.concatenate((seen, s["a"][once]))
-            s = {k: v if k == "number" else v[once] for k, v in s.items()}
-            which, position, number = work.prefix(s)
-            out.append((number.view(np.int64), s["a"][which].view(np.int64), s["sketch"][which].view(np.int64), s["size"][which], position))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["word", "a", "sketch", "size", "position"])
-
-    every = cut(map_rows(plain, lines, "id long, line long, a long, b long"))
+            out.append((ids[rows[of]], s["line"] - firsts[of], s["a"].view(np.int64), s["b"].view(np.int64), s["sketch"].view(np.int64), s["size"]))
+            which, _, number = work.prefix(s)
+            ends = np.searchsorted(which, np.arange(len(s["size"])), side="right") * 8
+            flat = number.tobytes()
+            words += [flat[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
+        return pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in cols], pa.array(words, pa.binary())], ["id", "line", "a", "b", "sketch", "size", "words"])
+
+    spark = plain.sparkSession
+    at = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    map_rows(plain, run, "id long, line long, a long, b long, sketch long, size long, words binary").write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, word) of the prefix words of rows whose set hash is new in the batch; columns a and words come first."""
+    _, once = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+    parts = b.column(1).to_pylist()
+    parts = [parts[i] for i in once.tolist()]
+    n = np.fromiter((len(p) // 8 for p in parts), np.int64, len(parts))
+    row = np.repeat(once, n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), np.frombuffer(b"".join(parts), dtype=np.int64)
+
+
+def _shared_words(table: DataFrame, bits: int) -> np.ndarray:
+    """A filter of `bits` bits: unset ones are of words that stand in the prefix of one line only. bits / 8 bytes reach the driver."""
+    chunk = 1 << 16
+
+    def places(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        row, _, word = _unpack(b)
+        if not len(word):
+            return None
+        tag = (b.column(0).to_numpy(zero_copy_only=False)[row].view(np.uint64) >> np.uint64(56)).astype(np.uint64)
+        key = np.unique(((_mix(word.view(np.uint64), 0xA0761D6478BD642F) % np.uint64(bits)) << np.uint64(8)) | tag)
+        part = (key >> np.uint64(24)).astype(np.int64)
+        start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        ends = [*start[1:].tolist(), len(part)]
+        place, tags = ((key >> np.uint64(8)) & np.uint64(chunk - 1)).astype(np.uint16), (key & np.uint64(255)).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array([place[x:y].tobytes() for x, y in zip(start.tolist(), ends)], pa.binary()), pa.array([tags[x:y].tobytes() for x, y in zip(start.tolist(), ends)], pa.binary())], ["part", "place", "tag"])
+
+    def join(t: pa.Table) -> pa.Table:
+        place = np.frombuffer(b"".join(t["place"].to_pylist()), dtype=np.uint16).astype(np.int64)
+        tag = np.frombuffer(b"".join(t["tag"].to_pylist()), dtype=np.uint8)
+        low, high = np.full(chunk, 255, np.uint8), np.zeros(chunk, np.uint8)
+        np.minimum.at(low, place, tag)
+        np.maximum.at(high, place, tag)
+        return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(high > low, bitorder="little").tobytes()], pa.binary())})
+
+    found = map_rows(table.select("a", "words"), places, "part long, place binary, tag binary").groupBy("part").applyInArrow(join, "part long, bits binary").collect()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in found:
+        out[r["part"] * chunk // 8 : (r["part"] + 1) * chunk // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, buckets: int = 1 << 18, word_bits: int = 1 << 27, line_bits: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines to remove: (id, line), the line counted from 0.
+
+    `word_bits` and `line_bits` (multiples of 65,536) size two filters of fixed size that only save shuffling: one knows the
+    prefix words of one line only, the other the lines that are in no pair. Full filters cost time and lose nothing.
+    """
+    spark = docs.sparkSession
+    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("text is not null")
+    rarity = spark.sparkContext.broadcast(rarities(plain, buckets))
+    every = _line_table(plain, rarity, threshold, min_words)
     classes = every.groupBy("a", "b").agg(F.min(F.struct("id", "line")).alias("first"))
-    words = map_rows(plain, prefixes, "word long, a long, sketch long, size long, position long")
+    shared = spark.sparkContext.broadcast(_shared_words(every, word_bits))
+
+    def postings(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, position, word = _unpack(b)
+        at = (_mix(word.view(np.uint64), 0xA0761D6478BD642F) % np.uint64(word_bits)).astype(np.int64)
+        hit = ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+        row, position, word = row[hit], position[hit], word[hit]
+        cols = [c.to_numpy(zero_copy_only=False)[row] for c in (b.column(0), b.column(2), b.column(3))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (word, *cols, position)], ["word", "a", "sketch", "size", "position"])
+
+    words = map_rows(every.select("a", "words", "sketch", "size"), postings, "word long, a long, sketch long, size long, position long")
     met = words.repartition("word").sortWithinPartitions("word", "size", "a").mapInArrow(lambda it: _candidates(it, threshold), "x long, y long")
     pairs = cut(met.distinct())
-
-    # texts of the lines in pairs: a filter of fixed size first, then the exact join
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
-    place = F.pmod("a", F.lit(filter_bits).cast("long"))
-    words64 = wanted.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64).cast("long")).cast("int"))).alias("bits")).collect()
-    bits = np.zeros(filter_bits // 64, dtype=np.int64)
-    for r in words64:
+    known = cut(classes.join(wanted, "a"))
+    side = lambda k: known.select(F.col("a").alias(k), F.col("b").alias(f"{k}b"), F.col("first").alias(f"f{k}"))
+    ends = pairs.join(side("x"), "x").join(side("y"), "y")
+    # each pair as (later, earlier)
+    ordered = ends.select(*[F.when(F.col("fx") > F.col("fy"), F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("x", "x", "y"), ("xb", "xb", "yb"), ("y", "y", "x"), ("yb", "yb", "xb"), ("fy", "fy", "fx"))])
+    ordered = cut(ordered)
+
+    place = F.pmod("a", F.lit(line_bits).cast("long"))
+    filled = known.select("a").distinct().groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64).cast("long")).cast("int"))).alias("bits")).collect()
+    bits = np.zeros(line_bits // 64, dtype=np.int64)
+    for r in filled:
         bits[r["at"]] = r["bits"]
-    if not words64:
-        matched = spark.createDataFrame([], "x long, y long, xb long, yb long")
-    else:
-        matched = _verified(plain, pairs, wanted, lines_of=(rarity, min_words), threshold=threshold, bits=spark.sparkContext.broadcast(bits), filter_bits=filter_bits)
-    first = cut(classes)
-    ends = matched.join(first.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("first").alias("fx")), ["x", "xb"]).join(first.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("first").alias("fy")), ["y", "yb"])
-    late = ends.select(F.when(F.col("fx") > F.col("fy"), F.struct(F.col("x").alias("a"), F.col("xb").alias("b"))).otherwise(F.struct(F.col("y").alias("a"), F.col("yb").alias("b"))).alias("c")).select("c.*").distinct().withColumn("late", F.lit(True))
-    state = first.join(late, ["a", "b"], "left")
-    gone = every.join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (F.struct("id", "line") > F.col("first")))
+    texts = _texts(plain, rarity, spark.sparkContext.broadcast(bits), threshold, min_words)
+    # the earliest candidate of a line first, which mostly is similar; only lines that it leaves undecided need their others
+    tries = ordered.groupBy("x", "xb").agg(F.min_by(F.struct("y", "yb"), "fy").alias("e")).select("x", "xb", "e.*")
+    late = cut(_verified(tries, texts, threshold).select("x", "xb").distinct())
+    more = ordered.select("x", "xb", "y", "yb").join(late, ["x", "xb"], "left_anti").join(tries, ["x", "xb", "y", "yb"], "left_anti")
+    more = cut(more)
+    if not more.isEmpty():
+        late = late.unionAll(_verified(more, texts, threshold).select("x", "xb").distinct())
+    late = late.select(F.col("x").alias("a"), F.col("xb").alias("b"), F.lit(True).alias("late"))
+    gone = every.select("id", "line", "a", "b").join(classes.join(late, ["a", "b"], "left"), ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (F.struct("id", "line") > F.col("first")))
     return gone.select("id", "line").distinct()
 
 
-def _verified(plain: DataFrame, pairs: DataFrame, wanted: DataFrame, *, lines_of: tuple, threshold: float, bits, filter_bits: int) -> DataFrame:
-    """Pairs of classes (x, xb, y, yb) whose words have the similarity."""
-    rarity, min_words = lines_of
+def _texts(plain: DataFrame, rarity, bits, threshold: float, min_words: int) -> DataFrame:
+    """(a, b, t) of the lines whose hash is in the filter; t is the compressed line, once a batch."""
 
-    def texts(b: pa.RecordBatch) -> pa.RecordBatch:
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out_a, out_b, out_t, seen = [], [], [], set()
-        work = Lines(rarity.value, threshold, min_words)
+        work, size = Lines(rarity.value, threshold, min_words), np.int64(len(bits.value) * 64)
         for _, _, data in _blocks(b):
             s = work.sets(data)
-            at = s["a"].view(np.int64) % np.int64(filter_bits)
+            at = s["a"].view(np.int64) % size
             hit = np.flatnonzero((bits.value[at >> 6] >> (at & 63)) & 1)
-            split = None
-            for i in hit.tolist():
-                key = (int(s["a"].view(np.int64)[i]), int(s["b"].view(np.int64)[i]))
+            split = data.split(b"\n") if len(hit) else []
+            for i, key in zip(hit.tolist(), zip(s["a"][hit].view(np.int64).tolist(), s["b"][hit].view(np.int64).tolist())):
                 if key not in seen:
                     seen.add(key)
-                    split = split or data.split(b"\n")
                     out_a.append(key[0])
                     out_b.append(key[1])
-                    out_t.append(split[s["line"][i]].decode())
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_t, pa.string())], ["a", "b", "t"])
+                    out_t.append(zlib.compress(b" ".join(sorted(set(split[s["line"][i]].split()))), 6))
+        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_t, pa.binary())], ["a", "b", "t"])
+
+    return map_rows(plain, run, "a long, b long, t binary")
 
-    found = map_rows(plain, texts, "a long, b long, t string").join(wanted, "a").groupBy("a", "b").agg(F.min("t").alias("t"))
-    found = cut(found)
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes (x, xb, y, yb) whose words have the similarity."""
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+        words = lambda t: set(zlib.decompress(t).split(b" "))
         keep = []
-        for p, q in zip(x, y):
-            p, q = set(p.encode().split()), set(q.encode().split())
+        for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
+            p, q = words(p), words(q)
             keep.append(len(p & q) >= threshold * len(p | q) - 1e-9)
         return pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:4]], ["x", "xb", "y", "yb"])
 
+    used = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("xb").alias("b")), F.struct(F.col("y").alias("a"), F.col("yb").alias("b")))).alias("c")).select("c.*").distinct()
+    found = texts.groupBy("a", "b").agg(F.min("t").alias("t")).join(used, ["a", "b"], "left_semi")
     side = lambda k: found.select(F.col("a").alias(k), F.col("b").alias(f"{k}b"), F.col("t").alias(f"{k}t"))
-    joined = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "xb", "y", "yb", "xt", "yt")
+    joined = pairs.select("x", "xb", "y", "yb").join(side("x"), ["x", "xb"]).join(side("y"), ["y", "yb"]).select("x", "xb", "y", "yb", "xt", "yt")
     return map_rows(joined, check, "x long, xb long, y long, yb long")
 
 

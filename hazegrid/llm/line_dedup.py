@@ -103,17 +103,17 @@ class Lines:
         return (np.concatenate(out_line), np.concatenate(out_number)) if out_line else (line, number)
 
     def sets(self, data: bytes) -> dict[str, np.ndarray]:
-        """Per line of min_words or more: line, start and size in `number`, two set hashes and the parity sketch."""
+        """Per line of min_words or more: line, start and size in `number`, two set hashes and the parity sketch of 128 bits."""
         line, number = self.words(data)
         start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((start, [len(line)])))
         if not len(start):
-            return {"line": start, "start": start, "size": size, "a": number, "b": number, "sketch": number, "number": number}
+            return {"line": start, "start": start, "size": size, "a": number, "b": number, "sketch": number, "sketch2": number, "number": number}
         h = _mix(number, 0xFF51AFD7ED558CCD)
         a, b = np.add.reduceat(h, start), np.add.reduceat(_mix(h, 0xC4CEB9FE1A85EC53), start)
-        sketch = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start)
+        sketch, sketch2 = (np.bitwise_xor.reduceat(np.where(half, np.uint64(0), np.uint64(1) << (h >> np.uint64(58))), start) for half in ((h & np.uint64(1)) == 1, (h & np.uint64(1)) == 0))
         keep = size >= self.min
-        return {"line": line[start][keep], "start": start[keep], "size": size[keep], "a": _mix(a ^ size.astype(np.uint64), 0x9FB21C651E98DF25)[keep], "b": b[keep], "sketch": sketch[keep], "number": number}
+        return {"line": line[start][keep], "start": start[keep], "size": size[keep], "a": _mix(a ^ size.astype(np.uint64), 0x9FB21C651E98DF25)[keep], "b": b[keep], "sketch": sketch[keep], "sketch2": sketch2[keep], "number": number}
 
     def prefix(self, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(set, position, word number) of the prefix words of sets."""
@@ -169,12 +169,13 @@ def rarities(plain: DataFrame, buckets: int) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Rows (word, a, sketch, size, position) sorted by word and size to pairs of different sets that pass the filters."""
+    """Rows (word, a, two sketches, size << 32 | position) sorted by word and place to pairs of different sets that pass the filters, with their sketches' distance."""
     held: list[np.ndarray] = []
 
-    def pairs(word, a, sketch, size, position) -> np.ndarray | None:
+    def pairs(word, a, sketch, sketch2, place) -> np.ndarray | None:
         fresh = np.concatenate(([True], (word[1:] != word[:-1]) | (a[1:] != a[:-1]))) if len(word) else np.zeros(0, bool)
-        word, a, sketch, size, position = (x[fresh] for x in (word, a, sketch, size, position))
+        word, a, sketch, sketch2, place = (x[fresh] for x in (word, a, sketch, sketch2, place))
+        size, position = place >> 32, place & 0xFFFFFFFF
         found, at, gap = [], np.arange(len(word)), 0
         while len(at):
             gap += 1
@@ -182,15 +183,16 @@ def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Reco
             at = at[(word[at] == word[at + gap]) & (size[at] >= np.ceil(t * size[at + gap] - 1e-9))]  # sizes ascend: no later one fits either
             i, j = at, at + gap
             both = size[i] + size[j]
-            least = np.ceil(t / (1 + t) * both - 1e-9)
-            good = (a[i] != a[j]) & (1 + np.minimum(size[i] - position[i], size[j] - position[j]) - 1 >= least) & (np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)) <= both - 2 * least)
+            least = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+            apart = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((sketch2[i] ^ sketch2[j]).view(np.uint64))
+            good = (a[i] != a[j]) & (np.minimum(size[i] - position[i], size[j] - position[j]) >= least) & (apart <= both - 2 * least)
             if good.any():
-                found.append(np.stack([np.minimum(a[i], a[j])[good], np.maximum(a[i], a[j])[good]]))
+                found.append(np.stack([np.minimum(a[i], a[j])[good], np.maximum(a[i], a[j])[good], apart[good]]))
         return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
 
     def out(p: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         if p is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["x", "y", "apart"])
 
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
@@ -211,17 +213,17 @@ def _line_table(plain: DataFrame, rarity, threshold: float, min_words: int) -> D
         for rows, firsts, data in _blocks(b):
             s = work.sets(data)
             of = np.searchsorted(firsts, s["line"], side="right") - 1
-            out.append((ids[rows[of]], s["line"] - firsts[of], s["a"].view(np.int64), s["b"].view(np.int64), s["sketch"].view(np.int64), s["size"]))
+            out.append((ids[rows[of]], s["line"] - firsts[of], s["a"].view(np.int64), s["b"].view(np.int64), s["sketch"].view(np.int64), s["sketch2"].view(np.int64), s["size"]))
             which, _, number = work.prefix(s)
             ends = np.searchsorted(which, np.arange(len(s["size"])), side="right") * 8
             flat = number.tobytes()
             words += [flat[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 6
-        return pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in cols], pa.array(words, pa.binary())], ["id", "line", "a", "b", "sketch", "size", "words"])
+        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 7
+        return pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in cols], pa.array(words, pa.binary())], ["id", "line", "a", "b", "sketch", "sketch2", "size", "words"])
 
     spark = plain.sparkSession
     at = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-    map_rows(plain, run, "id long, line long, a long, b long, sketch long, size long, words binary").write.parquet(at)
+    map_rows(plain, run, "id long, line long, a long, b long, sketch long, sketch2 long, size long, words binary").write.parquet(at)
     return spark.read.parquet(at)
 
 
@@ -284,18 +286,18 @@ def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5
         at = (_mix(word.view(np.uint64), 0xA0761D6478BD642F) % np.uint64(word_bits)).astype(np.int64)
         hit = ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
         row, position, word = row[hit], position[hit], word[hit]
-        cols = [c.to_numpy(zero_copy_only=False)[row] for c in (b.column(0), b.column(2), b.column(3))]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (word, *cols, position)], ["word", "a", "sketch", "size", "position"])
+        cols = [c.to_numpy(zero_copy_only=False)[row] for c in (b.column(0), b.column(2), b.column(3), b.column(4))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (word, *cols[:3], cols[3] << 32 | position)], ["word", "a", "sketch", "sketch2", "place"])
 
-    words = map_rows(every.select("a", "words", "sketch", "size"), postings, "word long, a long, sketch long, size long, position long")
-    met = words.repartition("word").sortWithinPartitions("word", "size", "a").mapInArrow(lambda it: _candidates(it, threshold), "x long, y long")
+    words = map_rows(every.select("a", "words", "sketch", "sketch2", "size"), postings, "word long, a long, sketch long, sketch2 long, place long")
+    met = words.repartition("word").sortWithinPartitions("word", "place", "a").mapInArrow(lambda it: _candidates(it, threshold), "x long, y long, apart long")
     pairs = cut(met.distinct())
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
     known = cut(classes.join(wanted, "a"))
     side = lambda k: known.select(F.col("a").alias(k), F.col("b").alias(f"{k}b"), F.col("first").alias(f"f{k}"))
     ends = pairs.join(side("x"), "x").join(side("y"), "y")
     # each pair as (later, earlier)
-    ordered = ends.select(*[F.when(F.col("fx") > F.col("fy"), F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("x", "x", "y"), ("xb", "xb", "yb"), ("y", "y", "x"), ("yb", "yb", "xb"), ("fy", "fy", "fx"))])
+    ordered = ends.select(*[F.when(F.col("fx") > F.col("fy"), F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("x", "x", "y"), ("xb", "xb", "yb"), ("y", "y", "x"), ("yb", "yb", "xb"))], "apart")
     ordered = cut(ordered)
 
     place = F.pmod("a", F.lit(line_bits).cast("long"))
@@ -303,9 +305,11 @@ def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5
     bits = np.zeros(line_bits // 64, dtype=np.int64)
     for r in filled:
         bits[r["at"]] = r["bits"]
-    texts = _texts(plain, rarity, spark.sparkContext.broadcast(bits), threshold, min_words)
-    # the earliest candidate of a line first, which mostly is similar; only lines that it leaves undecided need their others
-    tries = ordered.groupBy("x", "xb").agg(F.min_by(F.struct("y", "yb"), "fy").alias("e")).select("x", "xb", "e.*")
+    at = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    _texts(plain, rarity, spark.sparkContext.broadcast(bits), threshold, min_words).write.parquet(at)
+    texts = spark.read.parquet(at)
+    # the closest candidate of a line first, which mostly is similar; only lines that it leaves undecided need their others
+    tries = ordered.groupBy("x", "xb").agg(F.min(F.struct("apart", "y", "yb")).alias("e")).select("x", "xb", F.struct("e.y", "e.yb").alias("e")).select("x", "xb", "e.*")
     late = cut(_verified(tries, texts, threshold).select("x", "xb").distinct())
     more = ordered.select("x", "xb", "y", "yb").join(late, ["x", "xb"], "left_anti").join(tries, ["x", "xb", "y", "yb"], "left_anti")
     more = cut(more)

@@ -101,6 +101,7 @@ def path_sums(paths: DataFrame, edges: DataFrame, key: str, columns: dict[str, s
 
 def wake_hits(routes: DataFrame, wake: DataFrame) -> DataFrame:
     """(route, hit): whether any point of a route lies in the bounding box of the wake's ring (arrays of lat, lon structs)."""
-    box = wake.select(*[f(F.transform("ring", lambda p, k=k: p[k])).alias(f"{k}_{n}") for k in ("lat", "lon") for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    values = {"lat": F.transform("ring", lambda p: p["lat"]), "lon": F.transform("ring", lambda p: p["lon"])}
+    box = wake.select(*[f(v).alias(f"{k}_{n}") for k, v in values.items() for n, f in (("lo", F.array_min), ("hi", F.array_max))])
     inside = F.exists("points", lambda p: p["lat"].between(F.col("lat_lo"), F.col("lat_hi")) & p["lon"].between(F.col("lon_lo"), F.col("lon_hi")))
     return routes.crossJoin(F.broadcast(box)).select("route", inside.alias("hit"))  # one wake

@@ -31,4 +31,4 @@ def query(name: str, tables: str = "", sql: str | None = None, more: dict[str, s
     return add
 
 
-from hazegrid.plans import cleaning, gapfill, graphs, master  # noqa: E402, F401
+from hazegrid.plans import cleaning, decisions, gapfill, graphs, master, streams  # noqa: E402, F401

@@ -168,40 +168,115 @@ def rarities(plain: DataFrame, buckets: int) -> np.ndarray:
     return np.minimum(15, np.log2(np.maximum(1, total / max(1, np.median(total)) * 2))).astype(np.uint64)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Rows (word, a, two sketches, size << 32 | position) sorted by word and place to pairs of different sets that pass the filters, with their sketches' distance."""
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole lists of a word, from batches sorted by word."""
     held: list[np.ndarray] = []
-
-    def pairs(word, a, sketch, sketch2, place) -> np.ndarray | None:
-        fresh = np.concatenate(([True], (word[1:] != word[:-1]) | (a[1:] != a[:-1]))) if len(word) else np.zeros(0, bool)
-        word, a, sketch, sketch2, place = (x[fresh] for x in (word, a, sketch, sketch2, place))
-        size, position = place >> 32, place & 0xFFFFFFFF
-        found, at, gap = [], np.arange(len(word)), 0
-        while len(at):
-            gap += 1
-            at = at[at + gap < len(word)]
-            at = at[(word[at] == word[at + gap]) & (size[at] >= np.ceil(t * size[at + gap] - 1e-9))]  # sizes ascend: no later one fits either
-            i, j = at, at + gap
-            both = size[i] + size[j]
-            least = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
-            apart = np.bitwise_count((sketch[i] ^ sketch[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((sketch2[i] ^ sketch2[j]).view(np.uint64))
-            good = (a[i] != a[j]) & (np.minimum(size[i] - position[i], size[j] - position[j]) >= least) & (apart <= both - 2 * least)
-            if good.any():
-                found.append(np.stack([np.minimum(a[i], a[j])[good], np.maximum(a[i], a[j])[good], apart[good]]))
-        return np.unique(np.concatenate(found, axis=1), axis=1) if found else None
-
-    def out(p: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        if p is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["x", "y", "apart"])
-
     for b in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
         cols = [np.concatenate(x) for x in zip(held, cols)] if held else cols
         last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
         held = [c[last:] for c in cols]
-        yield from out(pairs(*[c[:last] for c in cols]))
+        if last:
+            yield [c[:last] for c in cols]
     if held:
-        yield from out(pairs(*held))
+        yield held
+
+
+class _Postings:
+    """Lists of (word, place: size << 32 | position, two sketches, id, tail: line << 32 | 32 bits of the set's hash), the earliest line of each set kept."""
+
+    def __init__(self, word, place, sketch, sketch2, ids, tail):
+        tag = tail & 0xFFFFFFFF
+        new = [x[1:] != x[:-1] for x in (word, place, sketch, sketch2, tag)]
+        fresh = np.concatenate(([True], np.logical_or.reduce(new)))
+        self.word, place, self.sketch, self.sketch2, self.id, tail, self.tag = (x[fresh] for x in (word, place, sketch, sketch2, ids, tail, tag))
+        self.size, self.position, self.line = place >> 32, place & 0xFFFFFFFF, tail >> 32
+        self.rank = np.empty(len(self.id), dtype=np.int64)
+        self.rank[np.lexsort((self.line, self.id))] = np.arange(len(self.id))
+
+    def passes(self, i, j, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """Whether pairs with a smaller or equal set i and a set j pass all filters, and how far their sketches are apart."""
+        both = self.size[i] + self.size[j]
+        least = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+        apart = np.bitwise_count((self.sketch[i] ^ self.sketch[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((self.sketch2[i] ^ self.sketch2[j]).view(np.uint64))
+        same = (apart == 0) & (self.tag[i] == self.tag[j]) & (self.size[i] == self.size[j])
+        return ~same & (np.minimum(self.size[i] - self.position[i], self.size[j] - self.position[j]) >= least) & (apart <= both - 2 * least), apart
+
+    def fits(self, i, j, t: float) -> np.ndarray:
+        """Whether two places are in one list and the sizes may match; sizes ascend, so no later place fits if this one does not."""
+        return (self.word[i] == self.word[j]) & (self.size[i] >= np.ceil(t * self.size[j] - 1e-9))
+
+
+def _closest(batches: Iterator[pa.RecordBatch], t: float, window: int) -> Iterator[pa.RecordBatch]:
+    """For each line of each list its closest earlier candidate among its neighbours, and whether the list goes on beyond them."""
+    for cols in _lists(batches):
+        p = _Postings(*cols)
+        n = len(p.word)
+        best, who, over = np.full(n, 1 << 30), np.full(n, -1), np.zeros(n, dtype=bool)
+        at = np.arange(n)
+        for gap in range(1, window + 2):
+            at = at[at + gap < n]
+            at = at[p.fits(at, at + gap, t)]
+            if not len(at):
+                break
+            if gap > window:
+                over = np.isin(p.word, p.word[at])
+                break
+            i, j = at, at + gap
+            good, apart = p.passes(i, j, t)
+            i, j, apart = i[good], j[good], apart[good]
+            for late, early in ((i, j), (j, i)):
+                ok = (p.rank[late] > p.rank[early]) & (apart < best[late])
+                best[late[ok]], who[late[ok]] = apart[ok], early[ok]
+        x = np.flatnonzero((who >= 0) | over)
+        if len(x):
+            y = who[x]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (p.id[x], p.line[x], best[x], np.where(y < 0, -1, p.id[y]), np.where(y < 0, -1, p.line[y]), over[x])], ["xi", "xl", "apart", "yi", "yl", "over"])
+
+
+def _all_earlier(batches: Iterator[pa.RecordBatch], t: float, wanted) -> Iterator[pa.RecordBatch]:
+    """All earlier candidates of the lines that `wanted` marks."""
+    for cols in _lists(batches):
+        p = _Postings(*cols)
+        for x in np.flatnonzero(wanted(p.id, p.line)).tolist():
+            lo, hi = np.searchsorted(p.word, p.word[x]), np.searchsorted(p.word, p.word[x], side="right")
+            y = np.arange(lo, hi)
+            y = y[(p.rank[y] < p.rank[x]) & np.where(p.size[y] <= p.size[x], p.fits(y, np.full(len(y), x), t), p.fits(np.full(len(y), x), y, t))]
+            small, large = np.where(p.size[y] <= p.size[x], y, x), np.where(p.size[y] <= p.size[x], x, y)
+            y = y[p.passes(small, large, t)[0]]
+            if len(y):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), p.id[x])), pa.array(np.full(len(y), p.line[x])), pa.array(p.id[y]), pa.array(p.line[y])], ["xi", "xl", "yi", "yl"])
+
+
+def _place(ids: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(ids.astype(np.int64).view(np.uint64) * _BASE + line.astype(np.int64).view(np.uint64), 0xA0761D6478BD642F) % np.uint64(bits)).astype(np.int64)
+
+
+def _filter(table: DataFrame, bits: int, places) -> np.ndarray:
+    """A filter of `bits` bits set where `places(batch)` says; bits / 8 bytes reach the driver."""
+    chunk = 1 << 15
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = np.unique(places(b))
+        part = at // chunk
+        start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(at) else at
+        ends = [*start[1:].tolist(), len(at)]
+        low = (at % chunk).astype(np.uint16)
+        return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array([low[x:y].tobytes() for x, y in zip(start.tolist(), ends)], pa.binary())], ["part", "low"])
+
+    def join(t: pa.Table) -> pa.Table:
+        hit = np.zeros(chunk, dtype=np.uint8)
+        hit[np.frombuffer(b"".join(t["low"].to_pylist()), dtype=np.uint16)] = 1
+        return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(hit, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in map_rows(table, run, "part long, low binary").groupBy("part").applyInArrow(join, "part long, bits binary").collect():
+        out[r["part"] * chunk // 8 : (r["part"] + 1) * chunk // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out
+
+
+def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def _line_table(plain: DataFrame, rarity, threshold: float, min_words: int) -> DataFrame:
@@ -228,136 +303,98 @@ def _line_table(plain: DataFrame, rarity, threshold: float, min_words: int) -> D
 
 
 def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position, word) of the prefix words of rows whose set hash is new in the batch; columns a and words come first."""
-    _, once = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
-    parts = b.column(1).to_pylist()
+    """(row, position, word) of the prefix words of rows, of the earliest row of each set in the batch; columns id, line, a and words come first."""
+    order = np.lexsort((b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False)))
+    _, once = np.unique(b.column(2).to_numpy(zero_copy_only=False)[order], return_index=True)
+    once = order[once]
+    parts = b.column(3).to_pylist()
     parts = [parts[i] for i in once.tolist()]
     n = np.fromiter((len(p) // 8 for p in parts), np.int64, len(parts))
     row = np.repeat(once, n)
     return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), np.frombuffer(b"".join(parts), dtype=np.int64)
 
 
-def _shared_words(table: DataFrame, bits: int) -> np.ndarray:
-    """A filter of `bits` bits: unset ones are of words that stand in the prefix of one line only. bits / 8 bytes reach the driver."""
-    chunk = 1 << 16
+def _word_place(word: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(word.view(np.uint64), 0xA0761D6478BD642F) % np.uint64(bits)).astype(np.int64)
 
-    def places(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        row, _, word = _unpack(b)
-        if not len(word):
-            return None
-        tag = (b.column(0).to_numpy(zero_copy_only=False)[row].view(np.uint64) >> np.uint64(56)).astype(np.uint64)
-        key = np.unique(((_mix(word.view(np.uint64), 0xA0761D6478BD642F) % np.uint64(bits)) << np.uint64(8)) | tag)
-        part = (key >> np.uint64(24)).astype(np.int64)
-        start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        ends = [*start[1:].tolist(), len(part)]
-        place, tags = ((key >> np.uint64(8)) & np.uint64(chunk - 1)).astype(np.uint16), (key & np.uint64(255)).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array([place[x:y].tobytes() for x, y in zip(start.tolist(), ends)], pa.binary()), pa.array([tags[x:y].tobytes() for x, y in zip(start.tolist(), ends)], pa.binary())], ["part", "place", "tag"])
 
-    def join(t: pa.Table) -> pa.Table:
-        place = np.frombuffer(b"".join(t["place"].to_pylist()), dtype=np.uint16).astype(np.int64)
-        tag = np.frombuffer(b"".join(t["tag"].to_pylist()), dtype=np.uint8)
-        low, high = np.full(chunk, 255, np.uint8), np.zeros(chunk, np.uint8)
-        np.minimum.at(low, place, tag)
-        np.maximum.at(high, place, tag)
-        return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(high > low, bitorder="little").tobytes()], pa.binary())})
-
-    found = map_rows(table.select("a", "words"), places, "part long, place binary, tag binary").groupBy("part").applyInArrow(join, "part long, bits binary").collect()
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in found:
-        out[r["part"] * chunk // 8 : (r["part"] + 1) * chunk // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
+def _postings(every: DataFrame, only=None) -> DataFrame:
+    """Prefix words of all sets, dealt by word and in order; `only(words)` may leave some out."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, position, word = _unpack(b)
+        if only is not None:
+            hit = only(word)
+            row, position, word = row[hit], position[hit], word[hit]
+        ids, line, a, sketch, sketch2, size = (b.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 2, 4, 5, 6))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (word, size << 32 | position, sketch, sketch2, ids, line << 32 | (a & 0xFFFFFFFF))], ["word", "place", "sketch", "sketch2", "id", "tail"])
+
+    words = map_rows(every.select("id", "line", "a", "words", "sketch", "sketch2", "size"), run, "word long, place long, sketch long, sketch2 long, id long, tail long")
+    return words.repartition("word").sortWithinPartitions("word", "place", "sketch", "sketch2", "id", "tail")
 
 
-def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, buckets: int = 1 << 18, word_bits: int = 1 << 27, line_bits: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, buckets: int = 1 << 18, bits: int = 1 << 24, window: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to remove: (id, line), the line counted from 0.
 
-    `word_bits` and `line_bits` (multiples of 65,536) size two filters of fixed size that only save shuffling: one knows the
-    prefix words of one line only, the other the lines that are in no pair. Full filters cost time and lose nothing.
+    Each line is first verified against its closest earlier candidate among `window` neighbours by size in each list; the
+    lines that this leaves open, and those of longer lists, are verified against all of theirs. `bits` (a multiple of 32,768) sizes filters of fixed size that only save shuffling: full ones cost time
+    and lose nothing.
     """
     spark = docs.sparkSession
+    share = spark.sparkContext.broadcast
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("text is not null")
-    rarity = spark.sparkContext.broadcast(rarities(plain, buckets))
+    rarity = share(rarities(plain, buckets))
     every = _line_table(plain, rarity, threshold, min_words)
-    classes = every.groupBy("a", "b").agg(F.min(F.struct("id", "line")).alias("first"))
-    shared = spark.sparkContext.broadcast(_shared_words(every, word_bits))
-
-    def postings(b: pa.RecordBatch) -> pa.RecordBatch:
-        row, position, word = _unpack(b)
-        at = (_mix(word.view(np.uint64), 0xA0761D6478BD642F) % np.uint64(word_bits)).astype(np.int64)
-        hit = ((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
-        row, position, word = row[hit], position[hit], word[hit]
-        cols = [c.to_numpy(zero_copy_only=False)[row] for c in (b.column(0), b.column(2), b.column(3), b.column(4))]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (word, *cols[:3], cols[3] << 32 | position)], ["word", "a", "sketch", "sketch2", "place"])
-
-    words = map_rows(every.select("a", "words", "sketch", "sketch2", "size"), postings, "word long, a long, sketch long, sketch2 long, place long")
-    met = words.repartition("word").sortWithinPartitions("word", "place", "a").mapInArrow(lambda it: _candidates(it, threshold), "x long, y long, apart long")
-    pairs = cut(met.distinct())
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct()
-    known = cut(classes.join(wanted, "a"))
-    side = lambda k: known.select(F.col("a").alias(k), F.col("b").alias(f"{k}b"), F.col("first").alias(f"f{k}"))
-    ends = pairs.join(side("x"), "x").join(side("y"), "y")
-    # each pair as (later, earlier)
-    ordered = ends.select(*[F.when(F.col("fx") > F.col("fy"), F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("x", "x", "y"), ("xb", "xb", "yb"), ("y", "y", "x"), ("yb", "yb", "xb"))], "apart")
-    ordered = cut(ordered)
-
-    place = F.pmod("a", F.lit(line_bits).cast("long"))
-    filled = known.select("a").distinct().groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64).cast("long")).cast("int"))).alias("bits")).collect()
-    bits = np.zeros(line_bits // 64, dtype=np.int64)
-    for r in filled:
-        bits[r["at"]] = r["bits"]
-    at = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
-    _texts(plain, rarity, spark.sparkContext.broadcast(bits), threshold, min_words).write.parquet(at)
-    texts = spark.read.parquet(at)
-    # the closest candidate of a line first, which mostly is similar; only lines that it leaves undecided need their others
-    tries = ordered.groupBy("x", "xb").agg(F.min(F.struct("apart", "y", "yb")).alias("e")).select("x", "xb", F.struct("e.y", "e.yb").alias("e")).select("x", "xb", "e.*")
-    late = cut(_verified(tries, texts, threshold).select("x", "xb").distinct())
-    more = ordered.select("x", "xb", "y", "yb").join(late, ["x", "xb"], "left_anti").join(tries, ["x", "xb", "y", "yb"], "left_anti")
-    more = cut(more)
-    if not more.isEmpty():
-        late = late.unionAll(_verified(more, texts, threshold).select("x", "xb").distinct())
-    late = late.select(F.col("x").alias("a"), F.col("xb").alias("b"), F.lit(True).alias("late"))
-    gone = every.select("id", "line", "a", "b").join(classes.join(late, ["a", "b"], "left"), ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (F.struct("id", "line") > F.col("first")))
+    met = _postings(every).mapInArrow(lambda it: _closest(it, threshold, window), "xi long, xl long, apart long, yi long, yl long, over boolean")
+    best = F.min(F.when(F.col("yi") >= 0, F.struct("apart", "yi", "yl")))
+    tries = cut(met.groupBy("xi", "xl").agg(best.alias("e"), F.max("over").alias("over")).select("xi", "xl", "over", "e.yi", "e.yl"))
+    late = cut(_verified(tries.where("yi is not null").select("xi", "xl", "yi", "yl"), plain, threshold, bits))
+    undecided = cut(tries.select("xi", "xl").join(late, ["xi", "xl"], "left_anti"))
+    if not undecided.isEmpty():
+        lines = share(_filter(undecided, bits, lambda b: _place(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)))
+        mine = every.join(undecided.select(F.col("xi").alias("id"), F.col("xl").alias("line")), ["id", "line"], "left_semi").select("id", "line", "a", "words")
+        words = share(_filter(mine, bits, lambda b: _word_place(_unpack(b)[2], bits)))
+        more = _postings(every, lambda w: _has(words.value, _word_place(w, bits))).mapInArrow(lambda it: _all_earlier(it, threshold, lambda i, k: _has(lines.value, _place(i, k, bits))), "xi long, xl long, yi long, yl long").distinct()
+        more = cut(more.join(undecided, ["xi", "xl"], "left_semi").join(tries.where("yi is not null").select("xi", "xl", "yi", "yl"), ["xi", "xl", "yi", "yl"], "left_anti"))
+        late = late.unionAll(_verified(more, plain, threshold, bits)).distinct()
+    firsts = every.groupBy("a", "b").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
+    firsts = firsts.select("a", "b", "n", "first", F.col("first.id").alias("xi"), F.col("first.line").alias("xl")).join(late.withColumn("late", F.lit(True)), ["xi", "xl"], "left")
+    state = firsts.where("n > 1 or late").select("a", "b", "first", "late")
+    gone = every.select("id", "line", "a", "b").join(state, ["a", "b"]).where(F.coalesce("late", F.lit(False)) | (F.struct("id", "line") > F.col("first")))
     return gone.select("id", "line").distinct()
 
 
-def _texts(plain: DataFrame, rarity, bits, threshold: float, min_words: int) -> DataFrame:
-    """(a, b, t) of the lines whose hash is in the filter; t is the compressed line, once a batch."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out_a, out_b, out_t, seen = [], [], [], set()
-        work, size = Lines(rarity.value, threshold, min_words), np.int64(len(bits.value) * 64)
-        for _, _, data in _blocks(b):
-            s = work.sets(data)
-            at = s["a"].view(np.int64) % size
-            hit = np.flatnonzero((bits.value[at >> 6] >> (at & 63)) & 1)
-            split = data.split(b"\n") if len(hit) else []
-            for i, key in zip(hit.tolist(), zip(s["a"][hit].view(np.int64).tolist(), s["b"][hit].view(np.int64).tolist())):
-                if key not in seen:
-                    seen.add(key)
-                    out_a.append(key[0])
-                    out_b.append(key[1])
-                    out_t.append(zlib.compress(b" ".join(sorted(set(split[s["line"][i]].split()))), 6))
-        return pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_t, pa.binary())], ["a", "b", "t"])
-
-    return map_rows(plain, run, "a long, b long, t binary")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of classes (x, xb, y, yb) whose words have the similarity."""
+def _verified(pairs: DataFrame, plain: DataFrame, threshold: float, bits: int) -> DataFrame:
+    """(xi, xl) of the pairs (xi, xl, yi, yl) of lines whose words have the similarity."""
+    spark = plain.sparkSession
+    used = pairs.select(F.explode(F.array(F.struct(F.col("xi").alias("id"), F.col("xl").alias("line")), F.struct(F.col("yi").alias("id"), F.col("yl").alias("line")))).alias("c")).select("c.*")
+    shared = spark.sparkContext.broadcast(_filter(used, bits, lambda b: _place(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)))
+
+    def texts(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, out_i, out_l, out_t = b.column(0).to_numpy(), [], [], []
+        for i, x in enumerate(b.column(1)):
+            text = x.as_py()
+            n = text.count("\n") + 1
+            hit = np.flatnonzero(_has(shared.value, _place(np.full(n, ids[i]), np.arange(n), bits)))
+            lines = text.split("\n") if len(hit) else []
+            for k in hit.tolist():
+                out_i.append(int(ids[i]))
+                out_l.append(k)
+                out_t.append(zlib.compress(b" ".join(sorted(set(lower_ascii(lines[k]).split()))), 1))
+        return pa.RecordBatch.from_arrays([pa.array(out_i, pa.int64()), pa.array(out_l, pa.int64()), pa.array(out_t, pa.binary())], ["id", "line", "t"])
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
         words = lambda t: set(zlib.decompress(t).split(b" "))
         keep = []
-        for p, q in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
+        for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             p, q = words(p), words(q)
             keep.append(len(p & q) >= threshold * len(p | q) - 1e-9)
-        return pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:4]], ["x", "xb", "y", "yb"])
+        return pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["xi", "xl"])
 
-    used = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("xb").alias("b")), F.struct(F.col("y").alias("a"), F.col("yb").alias("b")))).alias("c")).select("c.*").distinct()
-    found = texts.groupBy("a", "b").agg(F.min("t").alias("t")).join(used, ["a", "b"], "left_semi")
-    side = lambda k: found.select(F.col("a").alias(k), F.col("b").alias(f"{k}b"), F.col("t").alias(f"{k}t"))
-    joined = pairs.select("x", "xb", "y", "yb").join(side("x"), ["x", "xb"]).join(side("y"), ["y", "yb"]).select("x", "xb", "y", "yb", "xt", "yt")
-    return map_rows(joined, check, "x long, xb long, y long, yb long")
+    found = map_rows(plain, texts, "id long, line long, t binary").groupBy("id", "line").agg(F.min("t").alias("t"))
+    side = lambda k: found.select(F.col("id").alias(f"{k}i"), F.col("line").alias(f"{k}l"), F.col("t").alias(f"{k}t"))
+    joined = pairs.join(side("x"), ["xi", "xl"]).join(side("y"), ["yi", "yl"]).select("xi", "xl", "xt", "yt")
+    return map_rows(joined, check, "xi long, xl long").distinct()
 
 
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -131,7 +131,8 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 2, group_limit: int = 2
         met = _variants(fps, 1, radius)
         least = met.groupBy("variant").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1")
         return met.join(least, "variant").where("fp != a").select("a", F.col("fp").alias("b")).distinct()
-    met = _variants(fps, blocks, radius)
+    # a fingerprint becomes 66 rows, so they are spread by number, which no later plan undoes
+    met = _variants(fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp"), blocks, radius)
     # most variants are of one fingerprint: those go before any list is made
     shared = cut(met.groupBy("block", "variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
     pairs = shared.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")

@@ -11,7 +11,7 @@ bucket cost time and lose nothing. Equal sets are one class, represented by its
 thousands of times enters the join once.
 
 Lines with fewer than `min_words` different words (blank ones too) are kept and remove nothing. A null text has no lines and
-stays null. Rows that repeat a document id are one document with equal line numbers; an exact repeat of a line at an equal
+stays null; a row without an id is left as it is. Rows that repeat a document id are one document with equal line numbers; an exact repeat of a line at an equal
 place counts once. An empty table gives an empty result.
 """
 
@@ -342,7 +342,7 @@ def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5
     """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
-    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("text is not null")
+    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text is not null")
     rarity = share(rarities(plain, buckets))
     every = _line_table(plain, rarity, threshold, min_words)
     met = _postings(every).mapInArrow(lambda it: _closest(it, threshold, window), "xi long, xl long, apart long, yi long, yl long, over boolean")

@@ -75,7 +75,7 @@ def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power:
 
 
 def sample(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns, that `mix` keeps."""
+    """The documents, all columns, that `mix` keeps; a row without an id is never sampled."""
     kept = mix(docs, id_col=id_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
     return docs.join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
 

@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, blocks:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all columns, without those whose near-duplicate group has a smaller id; of rows with one id all or none stay."""
+    """The documents, all columns, without those whose near-duplicate group has a smaller id; rows without an id stay, of rows with one id all or none do."""
     groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    first = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(first, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")

@@ -118,6 +118,13 @@ def test_near_duplicates_of_nulls_and_copies(spark):
     assert {r.doc_id for r in kept.collect()} & {0, 1, 9, 11, 12} == {0, 11}
 
 
+def test_rows_without_an_id(spark):
+    d = spark.createDataFrame([(None, "one two three four five"), (1, "one two three four five"), (2, "one two three four five")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string")})
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(d).collect()) == ["1", "None"]
+    assert sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_lines(d).collect()) == [("1", "one two three four five"), ("2", ""), ("None", "one two three four five")]
+    assert mixing.mix(d).count() == 3 and token_counts.count_tokens(d, PIECES).count() == 3
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3), (200, 199)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -333,7 +333,7 @@ def _postings(every: DataFrame, only=None) -> DataFrame:
     return words.repartition("word").sortWithinPartitions("word", "place", "sketch", "sketch2", "id", "tail")
 
 
-def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, buckets: int = 1 << 18, bits: int = 1 << 24, window: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, buckets: int = 1 << 18, bits: int = 1 << 24, window: int = 32768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to remove: (id, line), the line counted from 0.
 
     Each line is first verified against its closest earlier candidate among `window` neighbours by size in each list; the

@@ -51,9 +51,9 @@ PICK = """WITH RECURSIVE g AS (
 ) SELECT cohort, commuter, route FROM g WHERE k > 0"""
 
 
-@query("g7_stable_matching", "commuters routes", "SELECT * FROM (" + PICK + ")", SERIAL)
+@query("g7_stable_matching", "commuters routes", "SELECT cohort, commuter, coalesce(route, -1) AS route FROM (" + PICK + ")", SERIAL)
 def _(t):
-    return matched(t)[0]
+    return matched(t)[0].select("cohort", "commuter", F.coalesce("route", F.lit(-1)).alias("route"))  # -1: no place
 
 
 @query("g8_stability", "commuters", "SELECT cohort, count(*) AS commuters, 0 AS blocking FROM commuters WHERE cohort IN (SELECT DISTINCT CAST(s_nationkey AS BIGINT) FROM supplier) GROUP BY 1")

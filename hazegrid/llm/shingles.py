@@ -1,0 +1,225 @@
+"""Near-duplicate documents by the Jaccard similarity of their word shingles, exactly (the pipeline's near-duplicate stage).
+
+A document is the set of its shingles of `words` words (between ASCII white space, A-Z lower-cased); one with fewer words is
+one shingle, one without words the empty set. Shingles are 64-bit hashes. In their order two sets with a similarity of at
+least `threshold` share a shingle in their prefixes of n - ceil(t n) + 1, so prefix shingles are shuffled, and what meets on
+one passes the length filter, the positional filter and a parity sketch of 1,024 bits (which cannot differ in more places
+than the sets do) and is verified on the whole sets. None of these loses a pair.
+
+Equal sets are one node, so thousands of copies cost one. As only groups are wanted, a list of more than two sets first gives
+the pairs of a spanning forest by sketch distance; once those are verified, it gives only pairs that are still in different
+groups. Lists longer than `block` are dealt as pairs of blocks, so no task holds more than two blocks of one list.
+"""
+
+from __future__ import annotations
+
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut, lower_ascii, map_rows, shared_dir
+from .components import components
+from .line_dedup import _filter, _has, _mix, _pieces, _place, _word_place, word_hashes
+
+_SKETCH = 1024
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending."""
+    parts = [word_hashes(piece)[1] for piece, _ in _pieces(lower_ascii(text or ""))]
+    w = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    if not len(w):
+        return w
+    k = min(words, len(w))
+    n = len(w) - k + 1
+    h = np.full(n, k, dtype=np.uint64)
+    for i in range(k):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n], 0xD6E8FEB86659FD93)
+    return np.unique(h)
+
+
+def _key(s: np.ndarray) -> int:
+    return int(_mix(_mix(s, 0xFF51AFD7ED558CCD).sum(dtype=np.uint64)[None] ^ np.uint64(len(s)), 0x9FB21C651E98DF25).view(np.int64)[0])
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    at = (_mix(s, 0xC4CEB9FE1A85EC53) >> np.uint64(54)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=_SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def _sets(plain: DataFrame, words: int, t: float) -> DataFrame:
+    """(id, a: key of the set, n, sketch, prefix), written once."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingles(x.as_py(), words) for x in b.column(1)]
+        first = [s[: len(s) - int(np.ceil(t * len(s) - 1e-9)) + 1].tobytes() for s in sets]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary()), pa.array(first, pa.binary())], ["id", "a", "n", "sketch", "prefix"])
+
+    spark = plain.sparkSession
+    at = f"{shared_dir(spark)}/shingles-{uuid.uuid4().hex}"
+    map_rows(plain, run, "id long, a long, n long, sketch binary, prefix binary").write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, shingle) of the prefixes, which are the last column; equal keys in the first column count once."""
+    _, once = np.unique(b.column(0).to_numpy(), return_index=True)
+    parts = b.column(b.num_columns - 1).take(pa.array(once)).to_pylist()
+    n = np.fromiter((len(p) // 8 for p in parts), np.int64, len(parts))
+    row = np.repeat(once, n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), np.frombuffer(b"".join(parts), dtype=np.int64)
+
+
+def _candidates(lists: DataFrame, t: float, forest: bool) -> DataFrame:
+    """Pairs (x, y) of lists (word, k1, k2, k, a, label, place, sketch) that pass all filters and differ in label: all of them, or a spanning forest of each list."""
+
+    def pairs(a, label, k, own, place, sketch) -> tuple[np.ndarray, np.ndarray]:
+        n, position = place >> 32, place & 0xFFFFFFFF
+        m, xs, ys = len(a), [], []
+        left = n - position
+
+        def far(i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of places j those that may be similar to i, and how far their sketches are."""
+            both = n[i] + n[j]
+            least = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+            ok = (label[j] != label[i]) & (np.minimum(left[i], left[j]) >= least)
+            if not own:
+                ok &= k[j] != k[i]
+            j, most = j[ok], (both - 2 * least)[ok]
+            d = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            return j[d <= most], d[d <= most]
+
+        if not forest:
+            for i in range(m - 1):
+                j, _ = far(i, np.arange(i + 1, m))
+                xs.append(np.full(len(j), a[i]))
+                ys.append(a[j])
+            return np.concatenate(xs), np.concatenate(ys)
+        best, who, todo, i = np.full(m, 1 << 30), np.zeros(m, np.int64), np.ones(m, bool), 0
+        for _ in range(m - 1):
+            todo[i] = False
+            j, d = far(i, np.flatnonzero(todo))
+            nearer = d < best[j]
+            best[j[nearer]], who[j[nearer]] = d[nearer], i
+            rest = np.flatnonzero(todo)
+            i = int(rest[np.argmin(best[rest])])
+            if best[i] < 1 << 30:
+                xs.append(a[[who[i]]])
+                ys.append(a[[i]])
+        return (np.concatenate(xs), np.concatenate(ys)) if xs else (a[:0], a[:0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def out(cols) -> Iterator[pa.RecordBatch]:
+            edge = np.flatnonzero(np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]), [True])))
+            xs, ys = [], []
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                if hi - lo > 1:
+                    x, y = pairs(cols[4][lo:hi], cols[5][lo:hi], cols[3][lo:hi], cols[1][lo] == cols[2][lo], cols[6][lo:hi], cols[7][lo:hi])
+                    xs.append(np.minimum(x, y))
+                    ys.append(np.maximum(x, y))
+            if xs and sum(map(len, xs)):
+                p = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["x", "y"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:7]] + [np.frombuffer(b"".join(b.column(7).to_pylist()), dtype=np.uint64).reshape(-1, _SKETCH // 64)]
+            cols = [np.concatenate(x) for x in zip(held, cols)] if held else cols
+            last = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1])
+            cut_at = len(last) - int(last.sum())
+            held = [c[cut_at:] for c in cols]
+            if cut_at:
+                yield from out([c[:cut_at] for c in cols])
+        if held:
+            yield from out(held)
+
+    dealt = lists.select("word", "k1", "k2", "k", "a", "label", "place", "sketch").repartition("word", "k1", "k2").sortWithinPartitions("word", "k1", "k2", "a")
+    return dealt.mapInArrow(run, "x long, y long").distinct()
+
+
+def _blocks(members: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Members of lists (word, m) with their block k, once for each pair of blocks (k1, k2) they are in."""
+    count = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    dealt = members.join(sizes.select("word", "m"), "word").withColumn("count", count).withColumn("k", F.pmod(F.xxhash64("a"), F.col("count")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
+    return dealt.withColumns({"k1": F.least("k", "other"), "k2": F.greatest("k", "other")})
+
+
+def _verified(pairs: DataFrame, plain: DataFrame, once: DataFrame, words: int, t: float, bits: int) -> DataFrame:
+    """The pairs (x, y) whose whole sets have the similarity."""
+    spark = plain.sparkSession
+    used = pairs.select(F.explode(F.array("x", "y")).alias("a")).distinct().join(once.select("a", "least"), "a").select("least", "a")
+    hit = spark.sparkContext.broadcast(_filter(used, bits, lambda b: _place(b.column(0).to_numpy(), np.zeros(b.num_rows, np.int64), bits)))
+
+    def whole(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(_has(hit.value, _place(ids, np.zeros(len(ids), np.int64), bits)))
+        sets = [shingles(b.column(1)[i].as_py(), words) for i in at.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.int64()), pa.array([zlib.compress(lower_ascii(b.column(1)[i].as_py() or ""), 6) for i in at.tolist()], pa.binary())], ["a", "s"])
+
+    def check(b: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for p, q in zip(b.column(2), b.column(3)):
+            p, q = (shingles(zlib.decompress(v.as_py()).decode(), words) for v in (p, q))
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(both >= t * (len(p) + len(q) - both) - 1e-9)
+        return pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["x", "y"])
+
+    found = map_rows(plain.where("id is not null"), whole, "a long, s binary").join(used.select("a"), "a", "left_semi").groupBy("a").agg(F.min("s").alias("s"))
+    side = lambda k: found.select(F.col("a").alias(k), F.col("s").alias(f"{k}s"))
+    return map_rows(pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "xs", "ys"), check, "x long, y long")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 5, threshold: float = 0.8, block: int = 2048, bits: int = 1 << 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document with an id: id, component_id (the smallest id reachable over similar pairs, itself included).
+
+    `bits` (a multiple of 32,768) sizes filters of fixed size that only save shuffling: full ones cost time and lose nothing.
+    """
+    share = docs.sparkSession.sparkContext.broadcast
+    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null")
+    every = _sets(plain, words, threshold)
+    once = cut(every.groupBy("a").agg(F.min("id").alias("least")))
+
+    def brief(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, _, word = _unpack(b)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(b.column(0).to_numpy()[row])], ["word", "a"])
+
+    # most shingles are of one set: those go before any list is made
+    shared = cut(map_rows(every.where("n > 0").select("a", "prefix"), brief, "word long, a long").groupBy("word").agg(F.count("*").alias("m"), F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y"))
+    longer = share(_filter(shared.where("m > 2").select("word"), bits, lambda b: _word_place(b.column(0).to_numpy(), bits)))
+
+    def full(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, position, word = _unpack(b)
+        at = _has(longer.value, _word_place(word, bits))
+        row, position, word = row[at], position[at], word[at]
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(b.column(0).to_numpy()[row]), pa.array(b.column(1).to_numpy()[row] << 32 | position), b.column(2).take(pa.array(row))], ["word", "a", "place", "sketch"])
+
+    lists = cut(map_rows(every.where("n > 0").select("a", "n", "sketch", "prefix"), full, "word long, a long, place long, sketch binary").join(shared.where("m > 2").select("word"), "word", "left_semi").dropDuplicates(["word", "a"]))
+    tree = _candidates(_blocks(lists.withColumn("label", F.col("a")), lists.groupBy("word").agg(F.count("*").alias("m")), block), threshold, True)
+    tried = cut(shared.where("m = 2").select("x", "y").unionAll(tree).distinct())
+    links = cut(_verified(tried, plain, once, words, threshold, bits))
+    groups = cut(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    labelled = lists.join(groups.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("component", "a"))
+    open_lists = labelled.groupBy("word").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
+    more = cut(_candidates(_blocks(labelled, open_lists, block), threshold, False).join(tried, ["x", "y"], "left_anti"))
+    if not more.isEmpty():
+        links = links.unionAll(_verified(more, plain, once, words, threshold, bits))
+        groups = cut(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    named = cut(once.select("a", "least").join(groups.withColumnRenamed("node", "a"), "a", "left").select("a", "least", F.coalesce("component", "a").alias("component")))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return every.select("id", "a").join(named.join(ids, "component").select("a", "component_id"), "a").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, without those whose near-duplicate group has a smaller id; rows without an id stay, of rows with one id all or none do."""
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")

@@ -1,0 +1,71 @@
+"""Near-duplicate documents against brute-force Jaccard on word shingles."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from hazegrid.llm import shingles
+
+
+def brute_sets(texts, words=5):
+    out = []
+    for x in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x or "").encode().split()
+        k = min(words, len(w))
+        out.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set())
+    return out
+
+
+def brute_groups(texts, t=0.8):
+    sets, group = brute_sets(texts), list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= t * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+def changed(rng, words, share):
+    return [f"new{rng.random()}" if rng.random() < share else w for w in words]
+
+
+def texts(seed):
+    rng, out = random.Random(seed), [None, "", " \n ", "one two", "ONE two", "a b c d e", "a b c d f"]
+    passage = [f"p{i}" for i in range(40)]
+    for k in range(30):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.choice([12, 60, 300]))] + (passage if k % 2 else [])
+        out += [" ".join(changed(rng, base, s)) for s in (0, 0, 0.005, 0.01, 0.02, 0.03)]
+    hub = [f"h{i}" for i in range(200)]
+    out += [" ".join(changed(rng, hub, 0.012)) for _ in range(40)]
+    rng.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "block"), [(1, 2048), (2, 7)])
+def test_groups_equal_brute_force(spark, seed, block):
+    t = texts(seed)
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(d, block=block).collect()}
+    assert got == dict(enumerate(brute_groups(t)))
+    small = {r.doc_id: r.component_id for r in shingles.near_duplicates(d, block=block, bits=32768).collect()} if block == 7 else got
+    assert small == got
+
+
+def test_stage_drops_near_copies_beyond_four_bits(spark):
+    rng = random.Random(5)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) for _ in range(30)]
+    near = [" ".join(changed(rng, x.split(), 0.012)) for x in base]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(base + near)], "doc_id long, text string")
+    want = {i for i, g in enumerate(brute_groups(base + near)) if i == g}
+    got = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, d, "").collect()}
+    assert got == want and len(want) < 40
+
+
+def test_rows_without_an_id_stay(spark):
+    d = spark.createDataFrame([(None, "x y z"), (1, "x y z"), (2, "x y z"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in shingles.keep_one(d).collect()) == [(False, 1), (True, 0), (True, 0)]
+    assert shingles.keep_one(d.where(F.lit(False))).count() == 0

@@ -10,7 +10,9 @@ Rarity comes from a table of `buckets` counts over all words of all documents; i
 bucket cost time and lose nothing. Equal sets are one class, represented by its earliest line, so a line that is repeated
 thousands of times enters the join once.
 
-Lines with fewer than `min_words` different words (blank ones too) are kept and remove nothing. A null text has no lines and
+Lines with fewer than `min_words` different words (blank ones too) are kept and remove nothing, as are lines with fewer
+than `short[0]` different words that also have fewer than `short[1]` bytes. Sets so small that only equal sets are similar
+(at 0.8 up to three words) are grouped by the hashes of their words and take no part in the join. A null text has no lines and
 stays null; a row without an id is left as it is. Rows that repeat a document id are one document with equal line numbers; an exact repeat of a line at an equal
 place counts once. An empty table gives an empty result.
 """
@@ -79,45 +81,51 @@ def _pieces(data: bytes, size: int = 1 << 20) -> Iterator[tuple[bytes, int]]:
 class Lines:
     """Sets of words of lines, gathered text by text; `flush` yields what has come together."""
 
-    def __init__(self, rarity: np.ndarray, threshold: float, min_words: int):
-        self.rarity, self.t, self.min = rarity, threshold, min_words
+    def __init__(self, rarity: np.ndarray, threshold: float, min_words: int, short: tuple[int, int] = (0, 0)):
+        self.rarity, self.t, self.min, self.short = rarity, threshold, min_words, short
         self.shift = np.uint64(64 - int(len(rarity)).bit_length() + 1)
 
-    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(line, word number), distinct, of one text or several joined by newlines."""
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(line, word number, whole hash of the word), distinct, of one text or several joined by newlines."""
         parts = []
         for piece, before in _pieces(data):
             line, h = word_hashes(piece)
             number = (self.rarity[h >> self.shift] << np.uint64(_HASH)) | (h >> np.uint64(64 - _HASH))
-            parts.append((line + before, number))
-        line, number = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        out_line, out_number = [], []
+            parts.append((line + before, number, h))
+        line, number, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        out_line, out_number, out_hash = [], [], []
         at = 0
         while at < len(line):
             first = line[at]
             to = int(np.searchsorted(line, first + _LINES))
-            key = np.unique(((line[at:to] - first).astype(np.uint64) << np.uint64(50)) | number[at:to])
+            key, one = np.unique(((line[at:to] - first).astype(np.uint64) << np.uint64(50)) | number[at:to], return_index=True)
             out_line.append((key >> np.uint64(50)).astype(np.int64) + first)
             out_number.append(key & np.uint64((1 << 50) - 1))
+            out_hash.append(h[at:to][one])
             at = to
-        return (np.concatenate(out_line), np.concatenate(out_number)) if out_line else (line, number)
+        return (np.concatenate(out_line), np.concatenate(out_number), np.concatenate(out_hash)) if out_line else (line, number, h)
 
     def sets(self, data: bytes) -> dict[str, np.ndarray]:
         """Per line of min_words or more: line, start and size in `number`, two set hashes and the parity sketch of 128 bits."""
-        line, number = self.words(data)
+        line, number, h = self.words(data)
         start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((start, [len(line)])))
         if not len(start):
             return {"line": start, "start": start, "size": size, "a": number, "b": number, "sketch": number, "sketch2": number, "number": number}
-        h = _mix(number, 0xFF51AFD7ED558CCD)
+        h = _mix(h, 0xFF51AFD7ED558CCD)
         a, b = np.add.reduceat(h, start), np.add.reduceat(_mix(h, 0xC4CEB9FE1A85EC53), start)
         sketch, sketch2 = (np.bitwise_xor.reduceat(np.where(half, np.uint64(0), np.uint64(1) << (h >> np.uint64(58))), start) for half in ((h & np.uint64(1)) == 1, (h & np.uint64(1)) == 0))
         keep = size >= self.min
+        if self.short[1]:
+            ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
+            length = np.diff(np.concatenate(([-1], ends, [len(data)]))) - 1
+            keep &= (size >= self.short[0]) | (length[line[start]] >= self.short[1])
         return {"line": line[start][keep], "start": start[keep], "size": size[keep], "a": _mix(a ^ size.astype(np.uint64), 0x9FB21C651E98DF25)[keep], "b": b[keep], "sketch": sketch[keep], "sketch2": sketch2[keep], "number": number}
 
     def prefix(self, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(set, position, word number) of the prefix words of sets."""
+        """(set, position, word number) of the prefix words of sets; none of sets so small that only an equal one is similar."""
         length = s["size"] - np.ceil(self.t * s["size"] - 1e-9).astype(np.int64) + 1
+        length[np.ceil(self.t * (s["size"] + 1) - 1e-9) > s["size"]] = 0
         which = np.repeat(np.arange(len(length)), length)
         position = np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
         return which, position, s["number"][s["start"][which] + position]
@@ -279,12 +287,12 @@ def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
 
 
-def _line_table(plain: DataFrame, rarity, threshold: float, min_words: int) -> DataFrame:
+def _line_table(plain: DataFrame, rarity, threshold: float, min_words: int, short: tuple[int, int]) -> DataFrame:
     """Every line of min_words or more: id, line, two set hashes, sketch, size, and its prefix words as bytes. Written once, read by all later steps."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, out, words = b.column(0).to_numpy(zero_copy_only=False), [], []
-        work = Lines(rarity.value, threshold, min_words)
+        work = Lines(rarity.value, threshold, min_words, short)
         for rows, firsts, data in _blocks(b):
             s = work.sets(data)
             of = np.searchsorted(firsts, s["line"], side="right") - 1
@@ -333,7 +341,7 @@ def _postings(every: DataFrame, only=None) -> DataFrame:
     return words.repartition("word").sortWithinPartitions("word", "place", "sketch", "sketch2", "id", "tail")
 
 
-def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, buckets: int = 1 << 18, bits: int = 1 << 24, window: int = 32768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, short: tuple[int, int] = (0, 0), buckets: int = 1 << 18, bits: int = 1 << 24, window: int = 32768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to remove: (id, line), the line counted from 0.
 
     Each line is first verified against its closest earlier candidate among `window` neighbours by size in each list; the
@@ -344,7 +352,7 @@ def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5
     share = spark.sparkContext.broadcast
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text is not null")
     rarity = share(rarities(plain, buckets))
-    every = _line_table(plain, rarity, threshold, min_words)
+    every = _line_table(plain, rarity, threshold, min_words, short)
     met = _postings(every).mapInArrow(lambda it: _closest(it, threshold, window), "xi long, xl long, apart long, yi long, yl long, over boolean")
     best = F.min(F.when(F.col("yi") >= 0, F.struct("apart", "yi", "yl")))
     tries = cut(met.groupBy("xi", "xl").agg(best.alias("e"), F.max("over").alias("over")).select("xi", "xl", "over", "e.yi", "e.yl"))

@@ -18,7 +18,7 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.removed_lines(table(spark, sf_dir, "documents"), threshold=0.8, min_words=5)
+    return line_dedup.removed_lines(table(spark, sf_dir, "documents"), threshold=0.8, min_words=1)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,10 @@ empty result; other columns are left out.
 
 from __future__ import annotations
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,23 +28,30 @@ TEXT_STEPS = (
     (r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|nav|title|body|html|head|main|blockquote|pre|hr)\b[^>]*>", "\n"),
     (r"<[^>]*>", ""),
 )
+#: What the SQL decodes; the operator decodes all references.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 SPACE_STEPS = ((r"[ \t\r\f]+", " "), (r" ?\n[ \n]*", "\n"), (r"^[ \n]+", ""), (r"[ \n]+$", ""))
 
 
-def _replace(c: Column, old: str, new: str) -> Column:
-    return F.replace(c, F.lit(old), F.lit(new))
+def _decoded(text: Column) -> Column:
+    """Every character reference of HTML decoded once, named ones and numeric ones alike; no-break spaces from references become spaces."""
+    # all inside, so that workers need not find this module
+    unescape, space = html.unescape, re.compile(r"&(?:nbsp;?|#0*160(?![0-9]);?|#[xX]0*[aA]0(?![0-9a-fA-F]);?)")
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x if x is None or "&" not in x else unescape(space.sub(" ", x)))
 
+    return F.pandas_udf(run, "string")(text)
 
-def plain_text(html: Column) -> Column:
-    """Text of a page: scripts, styles and comments go, block tags end lines, other tags vanish, common entities are decoded."""
+
+def plain_text(page: Column) -> Column:
+    """Text of a page: scripts, styles and comments go, block tags end lines, other tags vanish, character references are decoded."""
     for pattern, to in TEXT_STEPS:
-        html = F.regexp_replace(html, pattern, to)
-    for old, new in ENTITIES:
-        html = _replace(html, old, new)
+        page = F.regexp_replace(page, pattern, to)
+    page = _decoded(page)
     for pattern, to in SPACE_STEPS:
-        html = F.regexp_replace(html, pattern, to)
-    return html
+        page = F.regexp_replace(page, pattern, to)
+    return page
 
 
 def record_id(kind: str, *parts: Column) -> Column:

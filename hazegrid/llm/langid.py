@@ -26,13 +26,14 @@ BUCKETS = 1 << 14
 MAX_LANGS = 400
 #: What an added language must gain, in log-likelihood per log of the number of trigrams.
 PENALTY = 6.0
-_LETTER = np.array([chr(c).isalpha() for c in range(0xD800)] + [False] * 0x800 + [chr(c).isalpha() for c in range(0xE000, 0x10000)])
+#: Which of all code points are letters; surrogates are none.
+_LETTER = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def trigrams(text: str) -> np.ndarray:
     """Buckets of a text's trigrams, over lower-cased letters with every other stretch as one space."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    letter = np.where(c < 0x10000, _LETTER[np.minimum(c, 0xFFFF)], True)
+    letter = _LETTER[c]
     if not letter.any():
         return np.zeros(0, dtype=np.int64)
     keep = letter.copy()

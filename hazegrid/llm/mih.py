@@ -88,9 +88,12 @@ def search_shard(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, query_ids: n
                 if share >= 0:
                     values, bucket = index[i]
                     hits |= (np.bitwise_count(q_subs[todo, i][:, None] ^ values[None, :]) <= share)[:, bucket]
-            far = sum(np.bitwise_count(q_words[todo, w][:, None] ^ words[None, :, w]).astype(np.uint16) for w in range(words.shape[1]))
-            hits &= far <= wide
             hits &= query_ids[todo][:, None] != ids[None, :]
+            # the full distance of what was probed, and of nothing else
+            row, col = np.nonzero(hits)
+            for a in range(0, len(row), 1 << 16):
+                r, c = row[a : a + (1 << 16)], col[a : a + (1 << 16)]
+                hits[r, c] = np.bitwise_count(q_words[todo[r]] ^ words[c]).sum(axis=1, dtype=np.int64) <= wide
             enough = (hits.sum(axis=1) >= min(k, max(0, len(ids) - 1))) | (wide >= BITS)
             row, col = np.nonzero(hits & enough[:, None])
             score = np.empty(len(row))

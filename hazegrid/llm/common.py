@@ -38,6 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_path(df: DataFrame) -> DataFrame:
+    """df, whose workers will find this package where the driver found it, installed or not."""
+    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+    return df
+
+
 def map_rows(df: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow for a function of one batch, which may return None for no rows."""
 
@@ -47,9 +53,7 @@ def map_rows(df: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch | N
             if out is not None and out.num_rows:
                 yield out
 
-    # workers find the package where the driver found it, installed or not
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
-    return df.mapInArrow(run, schema)
+    return with_path(df).mapInArrow(run, schema)
 
 
 def lower_ascii(text: str) -> bytes:

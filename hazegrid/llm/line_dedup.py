@@ -7,20 +7,27 @@ bits cannot differ in more places than the sets do), and what is left is verifie
 if any earlier line, in order of (document id, line number), is similar to it.
 
 Rarity comes from a table of `buckets` counts over all words of all documents; it fixes only the order, so words that share a
-bucket cost time and lose nothing. Equal sets are one class, represented by its earliest line, so a line that is repeated
-thousands of times enters the join once.
-
-Lines with fewer than `min_words` different words (blank ones too) are kept and remove nothing, as are lines with fewer
-than `short[0]` different words that also have fewer than `short[1]` bytes. Sets so small that only equal sets are similar
-(at 0.8 up to three words) are grouped by the hashes of their words and take no part in the join. A null text has no lines and
-stays null; a row without an id is left as it is. Rows that repeat a document id are one document with equal line numbers; an exact repeat of a line at an equal
-place counts once. An empty table gives an empty result.
+bucket cost time and lose nothing. A word that more than `limit` lines have in their prefixes is split: sets that share k words
+also share them in prefixes of k - 1 more words, so its lines are dealt again by two words, then by three, and lists that are
+still longer by pairs of blocks. No list in a task is longer than about twice the limit, and no pair is lost.
+
+Each line is verified against its closest earlier candidates first, one a list; a line that this leaves open, and that has
+others, against all of them.
+
+Lines with fewer than `min_words` different words (blank ones too) are kept and remove nothing, as are lines with fewer than
+`short[0]` different words that also have fewer than `short[1]` bytes. A null text has no lines and stays null; a row without
+an id is left as it is. Rows that repeat a document id are one document with equal line numbers; an exact repeat of a line at
+an equal place counts once. A text of any length is read whole, about a megabyte at a time. An empty table gives an empty
+result. Other columns are kept by `dedup_lines`, whatever their names, and ignored by the rest.
+
+Sets are found equal by two 64-bit sums over 48-bit word hashes, and a pair of one size with equal 128-bit sketches and 32-bit
+tags is taken for such: at these widths an error is to be expected once in about 10**10 nearly equal pairs. All other links
+are verified on the words.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,107 +35,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, lower_ascii, map_rows, shared_dir
+from .blobs import KEY, bits_of, deal, gather, has, pack, room, unpack
+from .common import cut, lower_ascii, map_rows, shared_dir, with_path
+from .words import mix, word_hashes
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: A word's number is 4 bits of rarity and 46 of its hash; within a piece of work the line takes the 14 bits above.
-_HASH, _LINES = 46, 1 << 14
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        _powers[:] = [np.cumprod(np.concatenate(([np.uint64(1)], np.full(size, x, dtype=np.uint64)))) for x in (_BASE, _BACK)]
-    return _powers[0], _powers[1]
-
-
-def _mix(h: np.ndarray, k: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(k)
-    return h ^ (h >> np.uint64(29))
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of each word of lower-cased bytes, the line counted from the first newline in them."""
-    b = np.frombuffer(data, dtype=np.uint8)
-    if not len(b):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    space = _SPACE[b]
-    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _power(len(b) + 1)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(_BYTES[b] * up[: len(b)])))
-    line = np.cumsum(b == 10)[start] if len(start) else start
-    return line, _mix((sums[end] - sums[start]) * down[start], 0xD6E8FEB86659FD93)
-
-
-def _pieces(data: bytes, size: int = 1 << 20) -> Iterator[tuple[bytes, int]]:
-    """Pieces of a text cut at white space, each with the number of newlines before it."""
-    at, before = 0, 0
-    while at < len(data):
-        to = min(len(data), at + size)
-        while to < len(data) and not _SPACE[data[to]]:
-            to += 1
-        yield data[at:to], before
-        before += data.count(b"\n", at, to)
-        at = to
+#: A word's number is 6 bits of rarity and 48 of its hash; a line within a piece of work takes the 10 bits above. Of the hash, 40 bits are its key.
+_HASH, _LINES = 48, 10
+#: Words stored beyond the prefix, for lists that are split.
+_MORE = 2
+_POSTING = ["u4", "u4", "u4", "i8", "u4", "u4", "u8", "u8"]
 
 
 class Lines:
-    """Sets of words of lines, gathered text by text; `flush` yields what has come together."""
+    """Sets of words of lines, of one text or several joined by newlines."""
 
     def __init__(self, rarity: np.ndarray, threshold: float, min_words: int, short: tuple[int, int] = (0, 0)):
-        self.rarity, self.t, self.min, self.short = rarity, threshold, min_words, short
-        self.shift = np.uint64(64 - int(len(rarity)).bit_length() + 1)
-
-    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(line, word number, whole hash of the word), distinct, of one text or several joined by newlines."""
-        parts = []
-        for piece, before in _pieces(data):
-            line, h = word_hashes(piece)
-            number = (self.rarity[h >> self.shift] << np.uint64(_HASH)) | (h >> np.uint64(64 - _HASH))
-            parts.append((line + before, number, h))
-        line, number, h = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        out_line, out_number, out_hash = [], [], []
-        at = 0
+        self.rarity, self.t, self.min, self.short = rarity.astype(np.uint64) << np.uint64(_HASH), threshold, min_words, short
+        self.shift = np.uint64(65 - len(rarity).bit_length())
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(line, word number) of the distinct words of each line, rarest first."""
+        line, h = word_hashes(data)
+        number = self.rarity[h >> self.shift] | (h >> np.uint64(64 - _HASH))
+        out_line, out, at = [], [], 0
         while at < len(line):
             first = line[at]
-            to = int(np.searchsorted(line, first + _LINES))
-            key, one = np.unique(((line[at:to] - first).astype(np.uint64) << np.uint64(50)) | number[at:to], return_index=True)
-            out_line.append((key >> np.uint64(50)).astype(np.int64) + first)
-            out_number.append(key & np.uint64((1 << 50) - 1))
-            out_hash.append(h[at:to][one])
+            to = int(np.searchsorted(line, first + (1 << _LINES)))
+            key = np.sort(((line[at:to] - first).astype(np.uint64) << np.uint64(64 - _LINES)) | number[at:to])
+            key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+            out_line.append((key >> np.uint64(64 - _LINES)).astype(np.int64) + first)
+            out.append(key & np.uint64((1 << (64 - _LINES)) - 1))
             at = to
-        return (np.concatenate(out_line), np.concatenate(out_number), np.concatenate(out_hash)) if out_line else (line, number, h)
+        return (np.concatenate(out_line), np.concatenate(out)) if out else (line, number)
 
     def sets(self, data: bytes) -> dict[str, np.ndarray]:
-        """Per line of min_words or more: line, start and size in `number`, two set hashes and the parity sketch of 128 bits."""
-        line, number, h = self.words(data)
+        """Per line that takes part: line, start and size in `number`, two set hashes and the parity sketch of 128 bits."""
+        line, number = self.words(data)
         start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if len(line) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((start, [len(line)])))
         if not len(start):
             return {"line": start, "start": start, "size": size, "a": number, "b": number, "sketch": number, "sketch2": number, "number": number}
-        h = _mix(h, 0xFF51AFD7ED558CCD)
-        a, b = np.add.reduceat(h, start), np.add.reduceat(_mix(h, 0xC4CEB9FE1A85EC53), start)
-        sketch, sketch2 = (np.bitwise_xor.reduceat(np.where(half, np.uint64(0), np.uint64(1) << (h >> np.uint64(58))), start) for half in ((h & np.uint64(1)) == 1, (h & np.uint64(1)) == 0))
+        h = mix(number & np.uint64((1 << _HASH) - 1), 0xFF51AFD7ED558CCD)
+        a, b = np.add.reduceat(h, start), np.add.reduceat(mix(h, 0xC4CEB9FE1A85EC53), start)
+        bit = np.uint64(1) << (h >> np.uint64(58))
+        half = (h & np.uint64(1)) == 1
+        sketch, sketch2 = (np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), start) for x in (half, ~half))
         keep = size >= self.min
         if self.short[1]:
             ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
             length = np.diff(np.concatenate(([-1], ends, [len(data)]))) - 1
             keep &= (size >= self.short[0]) | (length[line[start]] >= self.short[1])
-        return {"line": line[start][keep], "start": start[keep], "size": size[keep], "a": _mix(a ^ size.astype(np.uint64), 0x9FB21C651E98DF25)[keep], "b": b[keep], "sketch": sketch[keep], "sketch2": sketch2[keep], "number": number}
+        return {"line": line[start][keep], "start": start[keep], "size": size[keep], "a": mix(a ^ size.astype(np.uint64), 0x9FB21C651E98DF25)[keep], "b": b[keep], "sketch": sketch[keep], "sketch2": sketch2[keep], "number": number}
+
 
-    def prefix(self, s: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(set, position, word number) of the prefix words of sets; none of sets so small that only an equal one is similar."""
-        length = s["size"] - np.ceil(self.t * s["size"] - 1e-9).astype(np.int64) + 1
-        length[np.ceil(self.t * (s["size"] + 1) - 1e-9) > s["size"]] = 0
-        which = np.repeat(np.arange(len(length)), length)
-        position = np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
-        return which, position, s["number"][s["start"][which] + position]
+def _reach(size: np.ndarray, t: float) -> np.ndarray:
+    """Length of the prefixes of sets; 0 for those so small that only an equal set is similar."""
+    length = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+    length[np.ceil(t * (size + 1) - 1e-9) > size] = 0
+    return length
 
 
 def _blocks(b: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, bytes]]:
@@ -152,143 +116,41 @@ def _blocks(b: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[np.ndarray
 
 
 def rarities(plain: DataFrame, buckets: int) -> np.ndarray:
-    """For each bucket of words its class of rarity, 0 (rarest) to 15, from counts over all texts. `buckets` numbers reach the driver."""
-    shift, chunk = np.uint64(64 - buckets.bit_length() + 1), 1024
+    """For each bucket of words its class of rarity, 0 (rarest) to 63, half an octave each, from counts over all texts. `buckets` numbers reach the driver."""
+    shift, chunk = np.uint64(65 - buckets.bit_length()), min(buckets, 4096)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, dtype=np.int64)
+        total, held, n = np.zeros(buckets, dtype=np.uint64), [], 0
+
+        def add() -> None:
+            if held:
+                total[:] += np.bincount(np.concatenate(held), minlength=buckets).astype(np.uint64)
+
         for b in batches:
             for _, _, data in _blocks(b):
-                for piece, _ in _pieces(data):
-                    total += np.bincount((word_hashes(piece)[1] >> shift).astype(np.int64), minlength=buckets)
+                held.append((word_hashes(data)[1] >> shift).astype(np.int64))
+                n += len(held[-1])
+                if n > 1 << 22:
+                    add()
+                    held, n = [], 0
+        add()
         used = [i for i in range(0, buckets, chunk) if total[i : i + chunk].any()]
         if used:
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([total[i : i + chunk].tobytes() for i in used], pa.binary())], ["at", "n"])
+            at = np.arange(chunk, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([pack([at, total[i : i + chunk]]) for i in used], pa.binary())], ["at", "n"])
 
     def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.int64) for x in t["n"].to_pylist())
-        return pa.table({"at": t["at"][:1].cast(pa.int64()), "n": pa.array([total.tobytes()], pa.binary())})
-
-    parts = plain.mapInArrow(count, "at long, n binary").groupBy("at").applyInArrow(add, "at long, n binary").collect()
-    total = np.zeros(buckets, dtype=np.int64)
-    for r in parts:
-        total[r["at"] : r["at"] + chunk] = np.frombuffer(r["n"], dtype=np.int64)
-    return np.minimum(15, np.log2(np.maximum(1, total / max(1, np.median(total)) * 2))).astype(np.uint64)
-
-
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole lists of a word, from batches sorted by word."""
-    held: list[np.ndarray] = []
-    for b in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-        cols = [np.concatenate(x) for x in zip(held, cols)] if held else cols
-        last = int(np.searchsorted(cols[0], cols[0][-1])) if len(cols[0]) else 0
-        held = [c[last:] for c in cols]
-        if last:
-            yield [c[:last] for c in cols]
-    if held:
-        yield held
-
-
-class _Postings:
-    """Lists of (word, place: size << 32 | position, two sketches, id, tail: line << 32 | 32 bits of the set's hash), the earliest line of each set kept."""
-
-    def __init__(self, word, place, sketch, sketch2, ids, tail):
-        tag = tail & 0xFFFFFFFF
-        new = [x[1:] != x[:-1] for x in (word, place, sketch, sketch2, tag)]
-        fresh = np.concatenate(([True], np.logical_or.reduce(new)))
-        self.word, place, self.sketch, self.sketch2, self.id, tail, self.tag = (x[fresh] for x in (word, place, sketch, sketch2, ids, tail, tag))
-        self.size, self.position, self.line = place >> 32, place & 0xFFFFFFFF, tail >> 32
-        self.rank = np.empty(len(self.id), dtype=np.int64)
-        self.rank[np.lexsort((self.line, self.id))] = np.arange(len(self.id))
-
-    def passes(self, i, j, t: float) -> tuple[np.ndarray, np.ndarray]:
-        """Whether pairs with a smaller or equal set i and a set j pass all filters, and how far their sketches are apart."""
-        both = self.size[i] + self.size[j]
-        least = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
-        apart = np.bitwise_count((self.sketch[i] ^ self.sketch[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((self.sketch2[i] ^ self.sketch2[j]).view(np.uint64))
-        same = (apart == 0) & (self.tag[i] == self.tag[j]) & (self.size[i] == self.size[j])
-        return ~same & (np.minimum(self.size[i] - self.position[i], self.size[j] - self.position[j]) >= least) & (apart <= both - 2 * least), apart
-
-    def fits(self, i, j, t: float) -> np.ndarray:
-        """Whether two places are in one list and the sizes may match; sizes ascend, so no later place fits if this one does not."""
-        return (self.word[i] == self.word[j]) & (self.size[i] >= np.ceil(t * self.size[j] - 1e-9))
-
-
-def _closest(batches: Iterator[pa.RecordBatch], t: float, window: int) -> Iterator[pa.RecordBatch]:
-    """For each line of each list its closest earlier candidate among its neighbours, and whether the list goes on beyond them."""
-    for cols in _lists(batches):
-        p = _Postings(*cols)
-        n = len(p.word)
-        best, who, over = np.full(n, 1 << 30), np.full(n, -1), np.zeros(n, dtype=bool)
-        at = np.arange(n)
-        for gap in range(1, window + 2):
-            at = at[at + gap < n]
-            at = at[p.fits(at, at + gap, t)]
-            if not len(at):
-                break
-            if gap > window:
-                over = np.isin(p.word, p.word[at])
-                break
-            i, j = at, at + gap
-            good, apart = p.passes(i, j, t)
-            i, j, apart = i[good], j[good], apart[good]
-            for late, early in ((i, j), (j, i)):
-                ok = (p.rank[late] > p.rank[early]) & (apart < best[late])
-                best[late[ok]], who[late[ok]] = apart[ok], early[ok]
-        x = np.flatnonzero((who >= 0) | over)
-        if len(x):
-            y = who[x]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (p.id[x], p.line[x], best[x], np.where(y < 0, -1, p.id[y]), np.where(y < 0, -1, p.line[y]), over[x])], ["xi", "xl", "apart", "yi", "yl", "over"])
-
-
-def _all_earlier(batches: Iterator[pa.RecordBatch], t: float, wanted) -> Iterator[pa.RecordBatch]:
-    """All earlier candidates of the lines that `wanted` marks."""
-    for cols in _lists(batches):
-        p = _Postings(*cols)
-        for x in np.flatnonzero(wanted(p.id, p.line)).tolist():
-            lo, hi = np.searchsorted(p.word, p.word[x]), np.searchsorted(p.word, p.word[x], side="right")
-            y = np.arange(lo, hi)
-            y = y[(p.rank[y] < p.rank[x]) & np.where(p.size[y] <= p.size[x], p.fits(y, np.full(len(y), x), t), p.fits(np.full(len(y), x), y, t))]
-            small, large = np.where(p.size[y] <= p.size[x], y, x), np.where(p.size[y] <= p.size[x], x, y)
-            y = y[p.passes(small, large, t)[0]]
-            if len(y):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), p.id[x])), pa.array(np.full(len(y), p.line[x])), pa.array(p.id[y]), pa.array(p.line[y])], ["xi", "xl", "yi", "yl"])
-
-
-def _place(ids: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
-    return (_mix(ids.astype(np.int64).view(np.uint64) * _BASE + line.astype(np.int64).view(np.uint64), 0xA0761D6478BD642F) % np.uint64(bits)).astype(np.int64)
-
-
-def _filter(table: DataFrame, bits: int, places) -> np.ndarray:
-    """A filter of `bits` bits set where `places(batch)` says; bits / 8 bytes reach the driver."""
-    chunk = 1 << 15
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        at = np.unique(places(b))
-        part = at // chunk
-        start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(at) else at
-        ends = [*start[1:].tolist(), len(at)]
-        low = (at % chunk).astype(np.uint16)
-        return pa.RecordBatch.from_arrays([pa.array(part[start]), pa.array([low[x:y].tobytes() for x, y in zip(start.tolist(), ends)], pa.binary())], ["part", "low"])
-
-    def join(t: pa.Table) -> pa.Table:
-        hit = np.zeros(chunk, dtype=np.uint8)
-        hit[np.frombuffer(b"".join(t["low"].to_pylist()), dtype=np.uint16)] = 1
-        return pa.table({"part": t["part"][:1], "bits": pa.array([np.packbits(hit, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in map_rows(table, run, "part long, low binary").groupBy("part").applyInArrow(join, "part long, bits binary").collect():
-        out[r["part"] * chunk // 8 : (r["part"] + 1) * chunk // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return out
-
+        total = sum(unpack(x, ["u8"])[1] for x in t["n"].to_pylist())
+        return pa.table({"at": t["at"][:1], "n": pa.array([total.tobytes()], pa.binary())})
 
-def _has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+    total = np.zeros(buckets, dtype=np.uint64)
+    for r in with_path(plain).mapInArrow(count, "at long, n binary").groupBy("at").applyInArrow(add, "at long, n binary").collect():
+        total[r["at"] : r["at"] + chunk] = np.frombuffer(r["n"], dtype=np.uint64)
+    return np.minimum(63, 2 * np.log2(np.maximum(1, total).astype(np.float64))).astype(np.uint8)
 
 
 def _line_table(plain: DataFrame, rarity, threshold: float, min_words: int, short: tuple[int, int]) -> DataFrame:
-    """Every line of min_words or more: id, line, two set hashes, sketch, size, and its prefix words as bytes. Written once, read by all later steps."""
+    """Every line that takes part: id, line, two set hashes, sketch, size, prefix length, and the keys of its first words, 5 bytes each. Written once, read by all later steps."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, out, words = b.column(0).to_numpy(zero_copy_only=False), [], []
@@ -296,75 +158,232 @@ def _line_table(plain: DataFrame, rarity, threshold: float, min_words: int, shor
         for rows, firsts, data in _blocks(b):
             s = work.sets(data)
             of = np.searchsorted(firsts, s["line"], side="right") - 1
-            out.append((ids[rows[of]], s["line"] - firsts[of], s["a"].view(np.int64), s["b"].view(np.int64), s["sketch"].view(np.int64), s["sketch2"].view(np.int64), s["size"]))
-            which, _, number = work.prefix(s)
-            ends = np.searchsorted(which, np.arange(len(s["size"])), side="right") * 8
-            flat = number.tobytes()
-            words += [flat[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 7
-        return pa.RecordBatch.from_arrays([*[pa.array(c.astype(np.int64)) for c in cols], pa.array(words, pa.binary())], ["id", "line", "a", "b", "sketch", "sketch2", "size", "words"])
+            n = _reach(s["size"], threshold)
+            out.append((ids[rows[of]], s["line"] - firsts[of], *[s[k].view(np.int64) for k in ("a", "b", "sketch", "sketch2")], s["size"], n))
+            stored = np.where(n > 0, np.minimum(n + _MORE, s["size"]), 0)
+            row = np.repeat(np.arange(len(n)), stored)
+            ends = np.cumsum(stored)
+            key = (s["number"][s["start"][row] + np.arange(len(row)) - np.repeat(ends - stored, stored)] & np.uint64((1 << _HASH) - 1)) >> np.uint64(_HASH - KEY)
+            flat = key.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            words += [flat[5 * x : 5 * y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())] if len(ends) else []
+        cols = [np.concatenate(x).astype(np.int64) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 8
+        return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(words, pa.binary())], ["id", "line", "a", "b", "sketch", "sketch2", "size", "n", "words"])
 
     spark = plain.sparkSession
     at = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-    map_rows(plain, run, "id long, line long, a long, b long, sketch long, sketch2 long, size long, words binary").write.parquet(at)
+    map_rows(plain, run, "id long, line long, a long, b long, sketch long, sketch2 long, size long, n long, words binary").write.parquet(at)
     return spark.read.parquet(at)
 
 
-def _unpack(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, position, word) of the prefix words of rows, of the earliest row of each set in the batch; columns id, line, a and words come first."""
-    order = np.lexsort((b.column(1).to_numpy(zero_copy_only=False), b.column(0).to_numpy(zero_copy_only=False)))
-    _, once = np.unique(b.column(2).to_numpy(zero_copy_only=False)[order], return_index=True)
+def _keys(parts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), dtype=np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), dtype=np.uint8)
+    out[:, :5] = raw
+    return out.view(np.uint64).ravel()
+
+
+def _numbers(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _prefixes(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, key) of the prefix words of rows, of the earliest row of each set in the batch."""
+    ids, line, a, n = _numbers(b, "id", "line", "a", "n")
+    order = np.lexsort((line, ids))
+    _, once = np.unique(a[order], return_index=True)
     once = order[once]
-    parts = b.column(3).to_pylist()
-    parts = [parts[i] for i in once.tolist()]
-    n = np.fromiter((len(p) // 8 for p in parts), np.int64, len(parts))
+    once = once[n[once] > 0]
+    parts = b.column(b.schema.get_field_index("words"))
+    n = n[once]
     row = np.repeat(once, n)
-    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), np.frombuffer(b"".join(parts), dtype=np.int64)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), _keys([parts[i].as_py()[: 5 * k] for i, k in zip(once.tolist(), n.tolist())])
 
 
-def _word_place(word: np.ndarray, bits: int) -> np.ndarray:
-    return (_mix(word.view(np.uint64), 0xA0761D6478BD642F) % np.uint64(bits)).astype(np.int64)
+def _posting(b: pa.RecordBatch, row: np.ndarray, position: np.ndarray, key: np.ndarray, side: np.ndarray | None = None) -> list[np.ndarray]:
+    ids, line, a, size, one, two = (c[row] for c in _numbers(b, "id", "line", "a", "size", "sketch", "sketch2"))
+    return [key, size, position, np.zeros(len(row)) if side is None else side, ids, line, (a & 0xFFFFFFFF), one.view(np.uint64), two.view(np.uint64)]
 
 
-def _postings(every: DataFrame, only=None) -> DataFrame:
-    """Prefix words of all sets, dealt by word and in order; `only(words)` may leave some out."""
+class _Lists:
+    """Lists of lines by key, sizes ascending in each; of equal sets at one place the earliest line."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        row, position, word = _unpack(b)
+    def __init__(self, cols: list[np.ndarray], depth: int, t: float):
+        key, size, position, side, ids, line, tag, one, two = cols
+        order = np.lexsort((line, ids, tag, two, one, side, position, size, key))
+        key, size, position, side, ids, line, tag, one, two = (c[order] for c in (key, size, position, side, ids, line, tag, one, two))
+        fresh = np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in (key, size, position, side, one, two, tag)])))
+        self.key, self.size, self.position, self.side, self.id, self.line, self.tag, self.one, self.two = (c[fresh] for c in (key, size.astype(np.int64), position.astype(np.int64), side, ids, line.astype(np.int64), tag, one, two))
+        self.depth, self.t = depth, t
+
+    def only(self, keep: np.ndarray) -> None:
+        for name in ("key", "size", "position", "side", "id", "line", "tag", "one", "two"):
+            setattr(self, name, getattr(self, name)[keep])
+
+    def longer(self, limit: int) -> np.ndarray:
+        """Places of lists of more than `limit` lines."""
+        start = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1]))) if len(self.key) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate((start, [len(self.key)])))
+        return np.repeat(n > limit, n)
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(later, earlier, bits apart) of the pairs of one list that pass all filters."""
+        n, at, gap, t = len(self.key), np.arange(len(self.key)), 0, self.t
+        while len(at):
+            gap += 1
+            at = at[at + gap < n]
+            # sizes ascend, so no later place fits where this one does not
+            at = at[(self.key[at] == self.key[at + gap]) & (self.size[at] >= np.ceil(t * self.size[at + gap] - 1e-9))]
+            i, j = at, at + gap
+            both = self.size[i] + self.size[j]
+            least = np.ceil(t / (1 + t) * both - 1e-9).astype(np.int64)
+            ok = (np.minimum(self.size[i] - self.position[i], self.size[j] - self.position[j]) + self.depth - 1 >= least) & ((self.side[i] == 0) | (self.side[i] != self.side[j]))
+            i, j, most = i[ok], j[ok], (both - 2 * least)[ok]
+            apart = np.bitwise_count(self.one[i] ^ self.one[j]).astype(np.int64) + np.bitwise_count(self.two[i] ^ self.two[j])
+            same = (apart == 0) & (self.tag[i] == self.tag[j]) & (self.size[i] == self.size[j])
+            ok = (apart <= most) & ~same
+            if ok.any():
+                i, j, apart = i[ok], j[ok], apart[ok]
+                swap = (self.id[i] > self.id[j]) | ((self.id[i] == self.id[j]) & (self.line[i] > self.line[j]))
+                yield np.where(swap, i, j), np.where(swap, j, i), apart
+
+
+_FOUND = "xi long, xl long, apart long, yi long, yl long, more boolean"
+
+
+def _search(batches: Iterator[pa.RecordBatch], t: float, depth: int, limit: int, wanted) -> Iterator[pa.RecordBatch]:
+    """For each line of each list its closest earlier candidate and whether there are more; of lines that `wanted` marks, all of them.
+    Lists over the limit come back as (id, line, -1, key, position)."""
+
+    def out(xi, xl, apart, yi, yl, more) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(np.asarray(c).astype(np.int64)) for c in (xi, xl, apart, yi, yl)), pa.array(np.asarray(more, dtype=bool))], ["xi", "xl", "apart", "yi", "yl", "more"])
+
+    spilt: list[pa.RecordBatch] = []
+    known: set[int] = set()
+
+    def hot(cols: list[np.ndarray]) -> list[np.ndarray]:
+        key, n = np.unique(cols[0], return_counts=True)
+        known.update(key[n > limit].tolist())
+        mine = np.isin(cols[0], np.fromiter(known, np.uint64, len(known)))
+        spilt.append(out(cols[4][mine], cols[5][mine], np.full(mine.sum(), -1), cols[0][mine].view(np.int64), cols[2][mine], np.zeros(mine.sum())))
+        return [c[~mine] for c in cols]
+
+    for cols in gather(batches, _POSTING, hot=hot if limit else None):
+        if known:
+            cols = hot(cols)
+        yield from spilt
+        spilt.clear()
+        p = _Lists(cols, depth, t)
+        if limit and (far := p.longer(limit)).any():
+            yield out(p.id[far], p.line[far], np.full(far.sum(), -1), p.key[far].view(np.int64), p.position[far], np.zeros(far.sum()))
+            p.only(~far)
+        n = len(p.key)
+        best, who, count = np.full(n, 1 << 30), np.full(n, -1), np.zeros(n, dtype=np.int64)
+        mine = None if wanted is None else wanted(p.id, p.line)
+        for late, early, apart in p.pairs():
+            if mine is not None:
+                x, y = late[mine[late]], early[mine[late]]
+                if len(x):
+                    yield out(p.id[x], p.line[x], np.zeros(len(x)), p.id[y], p.line[y], np.zeros(len(x)))
+                continue
+            # a line is the later one of at most two pairs of one distance between places
+            for part in (late == np.minimum(late, early), late > early):
+                x, y, d = late[part], early[part], apart[part]
+                count[x] += 1
+                closer = d < best[x]
+                best[x[closer]], who[x[closer]] = d[closer], y[closer]
+        x = np.flatnonzero(who >= 0)
+        if len(x):
+            y = who[x]
+            yield out(p.id[x], p.line[x], best[x], p.id[y], p.line[y], count[x] > 1)
+
+
+def _place(ids: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.int64).view(np.uint64), 0xA0761D6478BD642F) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _key_place(key: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(key.astype(np.uint64), 0xA0761D6478BD642F) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _next_key(key: np.ndarray, more: np.ndarray) -> np.ndarray:
+    return mix((key << np.uint64(20)) ^ mix(more, 0xA0761D6478BD642F), 0xD6E8FEB86659FD93) >> np.uint64(64 - KEY)
+
+
+def _candidates(every: DataFrame, t: float, limit: int, only=None, wanted=None) -> DataFrame:
+    """Candidates of all lists; `only(keys)` may leave keys out, and `wanted(ids, lines)` marks the lines that want all of theirs."""
+    total = every.agg(F.sum("n")).first()[0] or 0
+
+    def first(b: pa.RecordBatch) -> list[np.ndarray]:
+        row, position, key = _prefixes(b)
         if only is not None:
-            hit = only(word)
-            row, position, word = row[hit], position[hit], word[hit]
-        ids, line, a, sketch, sketch2, size = (b.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1, 2, 4, 5, 6))
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (word, size << 32 | position, sketch, sketch2, ids, line << 32 | (a & 0xFFFFFFFF))], ["word", "place", "sketch", "sketch2", "id", "tail"])
+            keep = only(key)
+            row, position, key = row[keep], position[keep], key[keep]
+        return _posting(b, row, position, key)
+
+    def found(dealt: DataFrame, depth: int, limit: int) -> DataFrame:
+        return cut(dealt.mapInArrow(lambda it: _search(it, t, depth, limit, wanted), _FOUND))
+
+    lines = every.where("n > 0").select("id", "line", "a", "n", "words", "sketch", "sketch2", "size")
+    out = found(deal(lines, first, _POSTING, total), 1, limit)
+    parts, depth = [out.where("apart >= 0")], 1
+    hot = out.where("apart < 0")
+    # below 0.7 some sets have too few words for lists of three
+    while not hot.isEmpty():
+        hot = hot.select(F.col("xi").alias("id"), F.col("xl").alias("line"), F.col("yi").alias("key"), F.col("yl").alias("position")).distinct()
+        if depth <= _MORE and t >= 0.7:
+            depth += 1
+
+            def longer(b: pa.RecordBatch, depth=depth) -> list[np.ndarray]:
+                n, key, position = _numbers(b, "n", "key", "position")
+                parts = b.column(b.schema.get_field_index("words")).to_pylist()
+                have = np.minimum(n + depth - 1, np.array([len(p) // 5 for p in parts], dtype=np.int64))
+                more = np.maximum(0, have - position - 1)
+                row = np.repeat(np.arange(len(n)), more)
+                at = np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more) + position[row] + 1
+                begin = np.cumsum([0, *[len(p) // 5 for p in parts[:-1]]])
+                return _posting(b, row, at, _next_key(key[row].view(np.uint64), _keys(parts)[begin[row] + at]))
+
+            out = found(deal(hot.join(lines, ["id", "line"]), longer, _POSTING, total), depth, limit)
+            parts.append(out.where("apart >= 0"))
+            hot = out.where("apart < 0")
+            continue
+        # pairs of blocks of about `limit` lines
+        blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(limit)).cast("long").alias("blocks"))
+        dealt = hot.join(blocks, "key").withColumn("k", F.pmod(F.xxhash64("id", "line"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(lines, ["id", "line"])
 
-    words = map_rows(every.select("id", "line", "a", "words", "sketch", "sketch2", "size"), run, "word long, place long, sketch long, sketch2 long, id long, tail long")
-    return words.repartition("word").sortWithinPartitions("word", "place", "sketch", "sketch2", "id", "tail")
+        def paired(b: pa.RecordBatch) -> list[np.ndarray]:
+            key, position, k, other = _numbers(b, "key", "position", "k", "other")
+            pair = np.minimum(k, other).view(np.uint64) * np.uint64(1 << 24) + np.maximum(k, other).view(np.uint64) + np.uint64(1)
+            return _posting(b, np.arange(len(key)), position, _next_key(key.view(np.uint64), pair), np.where(k == other, 0, np.where(k < other, 1, 2)))
 
+        parts.append(found(deal(dealt, paired, _POSTING, total), depth, 0))
+        break
+    for x in parts[1:]:
+        parts[0] = parts[0].unionAll(x)
+    return parts[0]
 
-def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, short: tuple[int, int] = (0, 0), buckets: int = 1 << 18, bits: int = 1 << 24, window: int = 32768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines to remove: (id, line), the line counted from 0.
 
-    Each line is first verified against its closest earlier candidate among `window` neighbours by size in each list; the
-    lines that this leaves open, and those of longer lists, are verified against all of theirs. `bits` (a multiple of 32,768) sizes filters of fixed size that only save shuffling: full ones cost time
-    and lose nothing.
-    """
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
+def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5, short: tuple[int, int] = (0, 0), buckets: int = 1 << 20, limit: int = 1 << 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lines to remove: (id, line), the line counted from 0. `limit` is the longest list that one task compares as it is."""
+    share = docs.sparkSession.sparkContext.broadcast
     plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text is not null")
     rarity = share(rarities(plain, buckets))
     every = _line_table(plain, rarity, threshold, min_words, short)
-    met = _postings(every).mapInArrow(lambda it: _closest(it, threshold, window), "xi long, xl long, apart long, yi long, yl long, over boolean")
-    best = F.min(F.when(F.col("yi") >= 0, F.struct("apart", "yi", "yl")))
-    tries = cut(met.groupBy("xi", "xl").agg(best.alias("e"), F.max("over").alias("over")).select("xi", "xl", "over", "e.yi", "e.yl"))
-    late = cut(_verified(tries.where("yi is not null").select("xi", "xl", "yi", "yl"), plain, threshold, bits))
-    undecided = cut(tries.select("xi", "xl").join(late, ["xi", "xl"], "left_anti"))
-    if not undecided.isEmpty():
-        lines = share(_filter(undecided, bits, lambda b: _place(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)))
-        mine = every.join(undecided.select(F.col("xi").alias("id"), F.col("xl").alias("line")), ["id", "line"], "left_semi").select("id", "line", "a", "words")
-        words = share(_filter(mine, bits, lambda b: _word_place(_unpack(b)[2], bits)))
-        more = _postings(every, lambda w: _has(words.value, _word_place(w, bits))).mapInArrow(lambda it: _all_earlier(it, threshold, lambda i, k: _has(lines.value, _place(i, k, bits))), "xi long, xl long, yi long, yl long").distinct()
-        more = cut(more.join(undecided, ["xi", "xl"], "left_semi").join(tries.where("yi is not null").select("xi", "xl", "yi", "yl"), ["xi", "xl", "yi", "yl"], "left_anti"))
-        late = late.unionAll(_verified(more, plain, threshold, bits)).distinct()
+    met = _candidates(every, threshold, limit)
+    tries = cut(met.groupBy("xi", "xl").agg(F.collect_set(F.struct("yi", "yl")).alias("ys"), F.max("more").alias("more")))
+    tried = tries.select("xi", "xl", F.explode("ys").alias("y")).select("xi", "xl", "y.yi", "y.yl")
+    late = cut(_verified(tried, plain, threshold))
+    undecided = cut(tries.where("more").select("xi", "xl").join(late, ["xi", "xl"], "left_anti"))
+    n = undecided.count()
+    if n:
+        bits = room(n)
+        marked = share(bits_of(undecided, bits, lambda b: _place(*_numbers(b, "xi", "xl"), bits)))
+        mine = every.join(undecided.select(F.col("xi").alias("id"), F.col("xl").alias("line")), ["id", "line"], "left_semi")
+        wide = room(8 * n)
+        keys = share(bits_of(mine, wide, lambda b: _key_place(_prefixes(b)[2], wide)))
+        more = _candidates(every, threshold, limit, lambda k: has(keys.value, _key_place(k, wide)), lambda i, k: has(marked.value, _place(i, k, bits)))
+        more = cut(more.select("xi", "xl", "yi", "yl").distinct().join(undecided, ["xi", "xl"], "left_semi").join(tried, ["xi", "xl", "yi", "yl"], "left_anti"))
+        late = late.unionAll(_verified(more, plain, threshold)).distinct()
     firsts = every.groupBy("a", "b").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n"))
     firsts = firsts.select("a", "b", "n", "first", F.col("first.id").alias("xi"), F.col("first.line").alias("xl")).join(late.withColumn("late", F.lit(True)), ["xi", "xl"], "left")
     state = firsts.where("n > 1 or late").select("a", "b", "first", "late")
@@ -372,34 +391,34 @@ def similar_lines(docs: DataFrame, *, threshold: float = 0.8, min_words: int = 5
     return gone.select("id", "line").distinct()
 
 
-def _verified(pairs: DataFrame, plain: DataFrame, threshold: float, bits: int) -> DataFrame:
+def _verified(pairs: DataFrame, plain: DataFrame, threshold: float) -> DataFrame:
     """(xi, xl) of the pairs (xi, xl, yi, yl) of lines whose words have the similarity."""
-    spark = plain.sparkSession
     used = pairs.select(F.explode(F.array(F.struct(F.col("xi").alias("id"), F.col("xl").alias("line")), F.struct(F.col("yi").alias("id"), F.col("yl").alias("line")))).alias("c")).select("c.*")
-    shared = spark.sparkContext.broadcast(_filter(used, bits, lambda b: _place(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)))
+    bits = room(2 * pairs.count())
+    shared = plain.sparkSession.sparkContext.broadcast(bits_of(used, bits, lambda b: _place(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)))
 
     def texts(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, out_i, out_l, out_t = b.column(0).to_numpy(), [], [], []
         for i, x in enumerate(b.column(1)):
-            text = x.as_py()
-            n = text.count("\n") + 1
-            hit = np.flatnonzero(_has(shared.value, _place(np.full(n, ids[i]), np.arange(n), bits)))
-            lines = text.split("\n") if len(hit) else []
+            data = x.as_py()
+            n = data.count("\n") + 1
+            hit = np.flatnonzero(has(shared.value, _place(np.full(n, ids[i]), np.arange(n), bits)))
+            lines = data.split("\n") if len(hit) else []
             for k in hit.tolist():
                 out_i.append(int(ids[i]))
                 out_l.append(k)
-                out_t.append(zlib.compress(b" ".join(sorted(set(lower_ascii(lines[k]).split()))), 1))
+                out_t.append(b" ".join(sorted(set(lower_ascii(lines[k]).split()))))
         return pa.RecordBatch.from_arrays([pa.array(out_i, pa.int64()), pa.array(out_l, pa.int64()), pa.array(out_t, pa.binary())], ["id", "line", "t"])
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
-        words = lambda t: set(zlib.decompress(t).split(b" "))
         keep = []
         for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            p, q = words(p), words(q)
-            keep.append(len(p & q) >= threshold * len(p | q) - 1e-9)
+            p, q = set(p.split(b" ")), set(q.split(b" "))
+            both = len(p & q)
+            keep.append(both >= threshold * (len(p) + len(q) - both) - 1e-9)
         return pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["xi", "xl"])
 
-    found = map_rows(plain, texts, "id long, line long, t binary").groupBy("id", "line").agg(F.min("t").alias("t"))
+    found = map_rows(plain, texts, "id long, line long, t binary")
     side = lambda k: found.select(F.col("id").alias(f"{k}i"), F.col("line").alias(f"{k}l"), F.col("t").alias(f"{k}t"))
     joined = pairs.join(side("x"), ["xi", "xl"]).join(side("y"), ["yi", "yl"]).select("xi", "xl", "xt", "yt")
     return map_rows(joined, check, "xi long, xl long").distinct()
@@ -417,13 +436,21 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns, with the similar later lines taken out of their texts."""
     gone = similar_lines(docs, id_col=id_col, text_col=text_col, **options).groupBy("id").agg(F.collect_list("line").alias("lines"))
-    gone = gone.select(F.col("id").alias("_id"), F.col("lines").alias("_lines"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_lines"), i.cast("long"))), "\n")
-    out = docs.join(gone, docs[id_col].cast("long") == F.col("_id"), "left")
-    return out.withColumn(text_col, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"), docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).join(gone, "id", "left")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = []
+        for text, lines in zip(b.column(1), b.column(2)):
+            text, drop = text.as_py(), set(lines.as_py() or ())
+            texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop else text)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], schema=pa.schema([b.schema.field(0), pa.field("text", pa.string())]))
+
+    kind = whole.select("row").schema
+    out = map_rows(whole.select("row", "text", "lines"), run, type(kind)([*kind.fields]).add("text", "string"))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def oracle(threshold: float = 0.8, min_words: int = 5) -> str:
+def oracle(threshold: float = 0.8, min_words: int = 1) -> str:
     """The query's rows over the table documents, for DuckDB."""
     return f"""
 WITH docs AS (SELECT doc_id, string_split(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS l FROM documents),

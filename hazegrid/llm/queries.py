@@ -71,7 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op2_line_dedup": line_dedup.oracle(0.8, 5),
+    "op2_line_dedup": line_dedup.oracle(0.8, 1),
     "op6_mixing": mixing.oracle(0.8, 12, 11),
     "op9_warc": warc.oracle(),
 }

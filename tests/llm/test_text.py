@@ -12,7 +12,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from hazegrid.llm import byte_bpe, langid, line_dedup, mixing, quality, simhash, token_counts, warc
+from hazegrid.llm import byte_bpe, langid, line_dedup, mixing, quality, simhash, token_counts, warc, words
 from hazegrid.llm.components import components
 from tests.oracle import same
 
@@ -138,8 +138,8 @@ def brute_lines(texts, t, least):
     return {(i, j) for k, (i, j, s) in enumerate(big) if any(len(s & o) >= t * len(s | o) - 1e-9 for _, _, o in big[:k])}
 
 
-@pytest.mark.parametrize("t,least,seed,window", [(0.8, 5, 1, 64), (0.6, 2, 2, 1), (0.9, 1, 3, 64), (0.7, 3, 4, 2)])
-def test_lines_equal_brute_force(spark, t, least, seed, window):
+@pytest.mark.parametrize("t,least,seed,limit", [(0.8, 5, 1, 64), (0.6, 2, 2, 2), (0.9, 1, 3, 64), (0.7, 3, 4, 2), (0.8, 1, 5, 3)])
+def test_lines_equal_brute_force(spark, t, least, seed, limit):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(60)] + ["The", "the", "of"] * 4
     lines = [" ".join(rng.choices(words, k=rng.randint(0, 18))) for _ in range(120)]
@@ -151,9 +151,9 @@ def test_lines_equal_brute_force(spark, t, least, seed, window):
         lines.append(" ".join(w))
     rng.shuffle(lines)
     texts = ["\n".join(lines[i : i + 6]) for i in range(0, len(lines), 6)] + [None, "", "\n\n"]
-    got = {(r.id, r.line) for r in line_dedup.similar_lines(docs(spark, texts, True), threshold=t, min_words=least, window=window).collect()}
+    got = {(r.id, r.line) for r in line_dedup.similar_lines(docs(spark, texts, True), threshold=t, min_words=least, limit=limit).collect()}
     assert got == brute_lines(texts, t, least)
-    small = {(r.id, r.line) for r in line_dedup.similar_lines(docs(spark, texts), threshold=t, min_words=least, buckets=64, bits=32768).collect()}
+    small = {(r.id, r.line) for r in line_dedup.similar_lines(docs(spark, texts), threshold=t, min_words=least, buckets=64).collect()}
     assert small == got
 
 
@@ -164,12 +164,26 @@ def test_dedup_lines_keeps_columns_and_nulls(spark):
     assert [r.text for r in out.orderBy("doc_id").collect()] == ["one two three four five\nkept", None, "other", ""]
 
 
-def test_word_hashes_across_pieces(monkeypatch):
-    data = b" ab cd\nef ab  gh\n\nij ab"
-    line, h = line_dedup.word_hashes(data)
-    assert line.tolist() == [0, 0, 1, 1, 1, 3, 3] and h[0] == h[3] == h[6] and len(set(h.tolist())) == 5
-    pieces = list(line_dedup._pieces(data, 4))
-    assert b"".join(p for p, _ in pieces) == data and [n for _, n in pieces] == [data[: sum(len(p) for p, _ in pieces[:i])].count(b"\n") for i in range(len(pieces))]
+def test_lists_of_one_word_are_split(spark):
+    """Templated lines share all words but one: every list but those of that word is over the limit, at two and three words too."""
+    texts = [f"user {i} logged in from the same host today at noon" for i in range(40)] + [f"user {i} logged in from the same host today at night" for i in range(0, 40, 4)] + [f"u{i} logged in today" for i in range(30)]
+    got = {(r.id, r.line) for r in line_dedup.similar_lines(docs(spark, texts), threshold=0.8, min_words=1, limit=4).collect()}
+    assert got == brute_lines(texts, 0.8, 1) and len(got) > 10
+
+
+def test_word_hashes_across_pieces():
+    data = b" ab cd\nef ab  gh\n\nij ab" + b" abcdefghijkl" * 2 + b"\nab"
+    line, h = words.word_hashes(data)
+    assert line.tolist() == [0, 0, 1, 1, 1, 3, 3, 3, 3, 4] and h[0] == h[3] == h[6] == h[9] and h[7] == h[8] and len(set(h.tolist())) == 6
+    small, g = words.word_hashes(data, 6)
+    assert small.tolist() == line.tolist() and g[[0, 1, 2, 3, 4, 5, 6, 9]].tolist() == h[[0, 1, 2, 3, 4, 5, 6, 9]].tolist() and g[7] == g[8]
+
+
+def test_one_very_long_word_and_line(spark):
+    long = "x" * (3 << 20)
+    texts = [long, "a b c d e " * 300_000, long + "\nshort", " ".join(map(str, range(200_000))), " ".join(map(str, range(1, 200_000)))]
+    got = {(r.id, r.line) for r in line_dedup.similar_lines(docs(spark, texts), min_words=1).collect()}
+    assert got == {(2, 0), (4, 0)}
 
 
 def test_language_of_held_out_rows(spark):

@@ -41,8 +41,8 @@ def unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-def deal(rows: DataFrame, make: Callable[[pa.RecordBatch], list[np.ndarray]], kinds: list[str], total: int, per: int = 1 << 20) -> DataFrame:
-    """(bucket, blob) dealt by bucket and in its order; `make` gives the key (uint64) and columns of `kinds` of a batch, `total` rows in all."""
+def deal(rows: DataFrame, make: Callable[[pa.RecordBatch], list[np.ndarray]], kinds: list[str], total: int, per: int = 1 << 20, step: int = 10_000) -> DataFrame:
+    """(bucket, blob) dealt by bucket and in its order; `make` gives the key (uint64) and columns of `kinds` of at most `step` rows, `total` in all."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = int(min(1 << 22, max(3 * parts, -(-total // per))))
 
@@ -59,7 +59,7 @@ def deal(rows: DataFrame, make: Callable[[pa.RecordBatch], list[np.ndarray]], ki
             blobs = [pack([c[a:b] for c in cols]) for a, b in zip(start.tolist(), ends)]
             return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-        for b in batches:
+        for b in (x.slice(at, step) for x in batches for at in range(0, x.num_rows, step)):
             cols = [np.asarray(c).astype(k, copy=False) for c, k in zip(make(b), ("u8", *kinds))]
             if len(cols[0]):
                 held.append(cols)

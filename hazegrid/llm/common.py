@@ -79,3 +79,23 @@ def word_blocks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
 def uniform(key, seed: int):
     """A number in [0, 1) from a key's md5, the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+#: Ids that are broadcast at most, about 100 MB in memory; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """docs, all columns, without the rows whose id is in gone (id); rows without an id stay. Few ids are broadcast, so that no text is shuffled."""
+    gone = cut(gone.select(F.col("id").alias(free_name(docs))).distinct())
+    if gone.count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(gone), docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
+    return docs.join(gone, docs[id_col].cast("long") == gone[gone.columns[0]], "left_anti")
+
+
+def free_name(docs: DataFrame) -> str:
+    """A column name that docs does not have."""
+    name = "id"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name

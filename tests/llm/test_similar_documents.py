@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hazegrid.llm import shingles
+from hazegrid.llm import simhash
 
 
 def brute_sets(texts, words=5):
@@ -46,13 +46,23 @@ def texts(seed):
 
 
 @pytest.mark.parametrize(("seed", "block"), [(1, 2048), (2, 7)])
-def test_groups_equal_brute_force(spark, seed, block):
+def test_groups_against_brute_force(spark, seed, block):
+    """No link is below the similarity; of pairs at 0.9 or more none is lost, of those at 0.8 or more few."""
     t = texts(seed)
-    d = spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(d, block=block).collect()}
-    assert got == dict(enumerate(brute_groups(t)))
-    small = {r.doc_id: r.component_id for r in shingles.near_duplicates(d, block=block, bits=32768).collect()} if block == 7 else got
-    assert small == got
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(t)], "doc_id long, text string").repartition(3).withColumns({c: F.lit("x") for c in ("a", "least", "fp", "x", "g", "n", "id")})
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(d, block=block).collect()}
+    want, sets = brute_groups(t), brute_sets(t)
+    assert all(want[i] == want[g] for i, g in got.items()) and len(got) == len(t)
+    lost = {0.8: [0, 0], 0.9: [0, 0]}
+    for i in range(len(t)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            s = both / max(1, len(sets[i] | sets[j])) if sets[i] or sets[j] else 1.0
+            for least, n in lost.items():
+                if s >= least:
+                    n[0] += got[i] != got[j]
+                    n[1] += 1
+    assert lost[0.9][0] == 0 and lost[0.8][0] <= 0.05 * lost[0.8][1], lost
 
 
 def test_stage_drops_near_copies_beyond_four_bits(spark):
@@ -62,10 +72,10 @@ def test_stage_drops_near_copies_beyond_four_bits(spark):
     d = spark.createDataFrame([(i, x) for i, x in enumerate(base + near)], "doc_id long, text string")
     want = {i for i, g in enumerate(brute_groups(base + near)) if i == g}
     got = {r.doc_id for r in corpus_pipeline.simhash_dedup(spark, d, "").collect()}
-    assert got == want and len(want) < 40
+    assert got >= want and len(got - want) <= 1 and len(want) < 40
 
 
 def test_rows_without_an_id_stay(spark):
     d = spark.createDataFrame([(None, "x y z"), (1, "x y z"), (2, "x y z"), (None, None)], "doc_id long, text string")
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in shingles.keep_one(d).collect()) == [(False, 1), (True, 0), (True, 0)]
-    assert shingles.keep_one(d.where(F.lit(False))).count() == 0
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.keep_one(d).collect()) == [(False, 1), (True, 0), (True, 0)]
+    assert simhash.keep_one(d.where(F.lit(False))).count() == 0

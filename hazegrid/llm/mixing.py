@@ -1,13 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 6), in DataFrame functions only.
 
 Documents are counted into cells of (source, language, topic) with their token weight. The cell weights are raked in turn to
-the target shares of each of the three marginals. A document's probability is proportional to its cell's calibrated weight
+the target shares of each of the three marginals. Tokens are an estimate from bytes and topics are shapes of text unless
+other expressions are given. A document's probability is proportional to its cell's calibrated weight
 over its natural weight, scaled so that the largest is 1: expected tokens then have the target marginals. A document is
 kept if a hash of its id falls below its probability, so a rerun keeps the same ones.
 
 A null source, language or topic is a category of its own, "(none)". A null text has no tokens; a cell or category without
-tokens keeps weight 0 and its documents are never sampled. Repeated rows count each time. An empty table gives an empty
-result. Other columns are left out, so clashing names do no harm.
+tokens keeps weight 0 and its documents are never sampled. Repeated rows count each time; rows of one id are all kept or none,
+and a row without an id is never sampled. There are no ties to break. Texts of any length are weighed whole. An empty table
+gives an empty result. Other columns are left out by `mix` and kept by `sample`, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,11 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, uniform
+from .common import cut, free_name, uniform
 
 MARGINS = ("source", "lang", "topic")
-#: Cells up to this number are raked in one partition, so that the windows need no shuffle; beyond, they are dealt by key.
+#: Cells up to this number are raked in one partition, so that the windows need no shuffle; beyond, they are dealt by key. Results are the same.
 ONE_PARTITION_CELLS = 100_000
+#: Cells whose table is broadcast when documents are sampled, about 100 MB in memory; more are joined by a shuffle.
+BROADCAST_CELLS = 1_000_000
 
 
 def token_weight(text: Column) -> Column:
@@ -58,26 +62,48 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], iterations: int = 12)
     return out.select(*MARGINS, "w", "raked")
 
 
-def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power: float = 0.8, iterations: int = 12, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic) -> DataFrame:
-    """One row a document: id, source, lang, topic, tokens, multiplier (calibrated over natural share), probability, kept."""
-    text = F.col(text_col)
-    marked = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("(none)")).alias("source"), F.coalesce(F.col(lang_col), F.lit("(none)")).alias("lang"), topic_of(text).alias("topic"), token_weight(text).alias("tokens")))
-    cells = cut(marked.groupBy(*MARGINS).agg(F.sum("tokens").alias("w")))
-    goals = {m: (targets or {}).get(m) or tempered(cells, m, power) for m in MARGINS}
-    raked = rake(cells, goals, iterations)
+def reached(raked: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """How far raking has come: (margin, category, target, share) for every category of raked cells."""
+    rows = None
+    total = raked.agg(F.sum("raked").alias("total"))
+    for m in MARGINS:
+        part = raked.groupBy(m).agg(F.sum("raked").alias("s")).crossJoin(total).join(targets[m].select(m, "share"), m, "left")
+        part = part.select(F.lit(m).alias("margin"), F.col(m).alias("category"), F.coalesce("share", F.lit(0.0)).alias("target"), F.when(F.col("total") > 0, F.col("s") / F.col("total")).otherwise(0.0).alias("share"))
+        rows = part if rows is None else rows.unionAll(part)
+    return rows
+
+
+def _probabilities(docs: DataFrame, categories: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | None, power: float, iterations: int) -> DataFrame:
+    """(source, lang, topic, multiplier, probability) of each cell of docs."""
+    cells = cut(docs.select(*[c.alias(m) for m, c in categories.items()], tokens.alias("w")).groupBy(*MARGINS).agg(F.sum("w").alias("w")))
+    raked = cut(rake(cells, {m: (targets or {}).get(m) or tempered(cells, m, power) for m in MARGINS}, iterations))
     natural = raked.agg(F.sum("w").alias("all_w"), F.sum("raked").alias("all_raked"))
-    ratio = raked.crossJoin(natural).select(*MARGINS, F.when((F.col("w") > 0) & (F.col("all_raked") > 0), F.col("raked") / F.col("all_raked") / (F.col("w") / F.col("all_w"))).otherwise(0.0).alias("multiplier"))
-    ratio = cut(ratio)
+    ratio = cut(raked.crossJoin(natural).select(*MARGINS, F.when((F.col("w") > 0) & (F.col("all_raked") > 0), F.col("raked") / F.col("all_raked") / (F.col("w") / F.col("all_w"))).otherwise(0.0).alias("multiplier")))
     most = ratio.agg(F.max("multiplier").alias("most"))
-    scaled = ratio.crossJoin(most).select(*MARGINS, "multiplier", F.when(F.col("most") > 0, F.col("multiplier") / F.col("most")).otherwise(0.0).alias("probability"))
+    return cut(ratio.crossJoin(most).select(*MARGINS, "multiplier", F.when(F.col("most") > 0, F.col("multiplier") / F.col("most")).otherwise(0.0).alias("probability")))
+
+
+def _categories(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topic_of) -> dict[str, Column]:
+    return {"source": F.coalesce(docs[source_col].cast("string"), F.lit("(none)")), "lang": F.coalesce(docs[lang_col].cast("string"), F.lit("(none)")), "topic": topic_of(docs[text_col])}
+
+
+def mix(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power: float = 0.8, iterations: int = 12, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic, tokens_of=token_weight) -> DataFrame:
+    """One row a document: id, source, lang, topic, tokens, multiplier (calibrated over natural share), probability, kept."""
+    marked = cut(docs.select(docs[id_col].cast("long").alias("id"), *[c.alias(m) for m, c in _categories(docs, text_col, source_col, lang_col, topic_of).items()], tokens_of(docs[text_col]).alias("tokens")))
+    scaled = _probabilities(marked, {m: F.col(m) for m in MARGINS}, F.col("tokens"), targets, power, iterations)
     out = marked.join(scaled, list(MARGINS)).withColumn("kept", uniform(F.col("id"), seed) < F.col("probability"))
     return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "tokens", F.round("multiplier", 6).alias("multiplier"), F.round("probability", 6).alias("probability"), "kept")
 
 
-def sample(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns, that `mix` keeps; a row without an id is never sampled."""
-    kept = mix(docs, id_col=id_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long") == F.col("_kept"), "left_semi")
+def sample(docs: DataFrame, *, targets: dict[str, DataFrame] | None = None, power: float = 0.8, iterations: int = 12, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_of=topic, tokens_of=token_weight) -> DataFrame:
+    """The documents, all columns, that `mix` keeps. Whether a document is kept follows from its row and its cell, so few cells are broadcast and no text is shuffled."""
+    categories = _categories(docs, text_col, source_col, lang_col, topic_of)
+    cell = free_name(docs)
+    scaled = _probabilities(docs, categories, tokens_of(docs[text_col]), targets, power, iterations).select(F.struct(*MARGINS, "probability").alias(cell))
+    if scaled.count() <= BROADCAST_CELLS:
+        scaled = F.broadcast(scaled)
+    same = [c == F.col(cell)[m] for m, c in categories.items()]
+    return docs.join(scaled, same).where(uniform(docs[id_col].cast("long"), seed) < F.col(cell)["probability"]).select(*[docs[c] for c in docs.columns])
 
 
 def oracle(power: float = 0.8, iterations: int = 12, seed: int = 11) -> str:

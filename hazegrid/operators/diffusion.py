@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from hazegrid.functions import physics
 from hazegrid.functions.geo import to_utm
 from hazegrid.functions.timeutil import floor_hour  # noqa: F401
-from hazegrid.operators.graph import midpoint, shared_checkpoint, with_bearing
+from hazegrid.operators.graph import midpoint, with_bearing
+from hazegrid.operators.scratch import shared_checkpoint
 
 CENTRE = (12.9716, 77.5946)
 

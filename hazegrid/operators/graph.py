@@ -9,19 +9,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.clean import road_class
 from hazegrid.functions.geo import bearing_deg
-
-
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one only on one machine."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        at = sc.getConf().get("spark.checkpoint.dir")
-        if not at and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from hazegrid.operators.scratch import shared_checkpoint
 
 
 def index_ids(df: DataFrame, key: str, out: str, block: int = 1 << 16) -> DataFrame:

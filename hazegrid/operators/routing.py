@@ -8,45 +8,61 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazegrid.operators.graph import shared_checkpoint
+from hazegrid.operators.scratch import Rounds
 
 
-def shortest(requests: DataFrame, edges: DataFrame, max_hops: int = 64) -> DataFrame:
-    """(request_id, cost, path) of the cheapest path of at most max_hops edges; requests without one are left out.
+def reach(requests: DataFrame, edges: DataFrame, slack: float | None = 0.0) -> DataFrame:
+    """(request_id, node, cost, prev): nodes within `slack` of each request's cheapest arrival, with their least cost and the node before on one such way.
 
-    edges (u, v, w >= 0), requests (request_id, source, target). Each round relaxes all requests' frontiers by one join; a
-    node stays in the frontier only while it improves and is cheaper than the request's best arrival so far.
+    edges (u, v, w >= 0), requests (request_id, source, target). Each round relaxes all requests' frontiers by one join, until
+    no node improves: however many edges that takes. A node is in the frontier only while it improves and is no dearer than the
+    request's best arrival so far plus the slack. Every round is written and read back.
     """
-    start = requests.select("request_id", "target", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.array("source").alias("path"))
-    best, front = shared_checkpoint(start), start
-    for _ in range(max_hops):
-        goal = best.where("node = target").select("request_id", F.col("cost").alias("_goal"))
-        step = front.where("node <> target").join(edges.select(F.col("u").alias("node"), "v", "w"), "node")
-        step = step.select("request_id", "target", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("v")).alias("path"))
-        step = step.join(goal, "request_id", "left").where(F.col("_goal").isNull() | (F.col("cost") < F.col("_goal"))).drop("_goal")
-        step = step.groupBy("request_id", "target", "node").agg(F.min(F.struct("cost", "path")).alias("m")).select("request_id", "target", "node", "m.*")
-        known = best.select("request_id", "node", F.col("cost").alias("_old"))
-        front = shared_checkpoint(step.join(known, ["request_id", "node"], "left").where(F.col("_old").isNull() | (F.col("cost") < F.col("_old"))).drop("_old"))
+    rounds = Rounds(requests.sparkSession)
+    out = edges.groupBy(F.col("u").alias("node"), "v").agg(F.min("w").alias("w"))
+    out = rounds.put("edges", out)
+    start = requests.select("request_id", "target", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["u"].dataType).alias("prev"))
+    best = rounds.put("best", start)
+    goal = rounds.put("goal", best.where("node = target").groupBy("request_id").agg(F.min("cost").alias("goal")))
+    front = best
+    while True:
+        step = front.where("node <> target").join(out, "node").select("request_id", "target", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("prev"))
+        step = step.groupBy("request_id", "target", "node").agg(F.min(F.struct("cost", "prev")).alias("m")).select("request_id", "target", "node", "m.*")
+        step = step.join(goal, "request_id", "left").where(F.col("goal").isNull() | (F.col("cost") <= F.col("goal") + slack)).drop("goal")
+        known = best.select("request_id", "node", F.col("cost").alias("old"))
+        front = rounds.put("front", step.join(known, ["request_id", "node"], "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).select(*best.columns))
         if front.isEmpty():
             break
-        best = shared_checkpoint(best.join(front.select("request_id", "node"), ["request_id", "node"], "left_anti").unionByName(front))
-    return best.where("node = target").select("request_id", "cost", "path")
-
-
-def corridor(requests: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(request_id, source, target, u, v, w): edges on walks of at most so many hops from the source."""
-    front = requests.select("request_id", F.col("source").alias("u")).distinct()
-    seen = front
-    for _ in range(hops):
-        front = front.join(edges.select("u", "v"), "u").select("request_id", F.col("v").alias("u")).distinct().join(seen, ["request_id", "u"], "left_anti")
-        front = shared_checkpoint(front)
-        seen = seen.unionByName(front)
-    inside = seen.join(edges, "u").join(seen.select("request_id", F.col("u").alias("v")), ["request_id", "v"])
-    return inside.join(requests, "request_id").select("request_id", "source", "target", "u", "v", "w")
-
-
-def k_paths(requests: DataFrame, edges: DataFrame, k: int = 3, hops: int = 6) -> DataFrame:
-    """(request_id, rank, cost, path): the k cheapest simple paths within each request's corridor, one request a group."""
+        best = rounds.put("best", best.join(front.select("request_id", "node"), ["request_id", "node"], "left_anti").select(*best.columns).unionByName(front))
+        goal = rounds.put("goal", best.where("node = target").select("request_id", F.col("cost").alias("goal")))
+    near = best.join(goal, "request_id").where(F.col("cost") <= F.col("goal") + slack)
+    return near.select("request_id", "target", "node", "cost", "prev", "goal")
+
+
+def shortest(requests: DataFrame, edges: DataFrame) -> DataFrame:
+    """(request_id, cost, path) of the cheapest path, of any number of edges; requests without one are left out."""
+    rounds = Rounds(requests.sparkSession)
+    best = rounds.put("best", reach(requests, edges))
+    open_ = best.where("node = target").select("request_id", F.col("goal").alias("cost"), F.col("prev").alias("node"), F.array("node").alias("path"))
+    done = None
+    while True:
+        now = rounds.put("open", open_)
+        ended = now.where("node is null").drop("node")
+        done = rounds.put("done", ended if done is None else done.unionByName(ended))
+        left = now.where("node is not null")
+        if left.isEmpty():
+            return done
+        back = best.select("request_id", "node", "prev")
+        open_ = left.join(back, ["request_id", "node"]).select("request_id", "cost", F.col("prev").alias("node"), F.concat(F.array("node"), "path").alias("path"))
+
+
+def k_paths(requests: DataFrame, edges: DataFrame, k: int = 3, slack: float = 4.0) -> DataFrame:
+    """(request_id, rank, cost, path): the k cheapest simple paths, exactly, or all if fewer.
+
+    A path of a cost keeps to nodes within that cost of its source, so paths found among the nodes within `slack` of the
+    cheapest arrival are right up to that cost. Requests with fewer than k such paths are done again with twice the slack,
+    until no more nodes come. One request's nodes are one group.
+    """
 
     def cheapest(out: dict, source: int, target: int, banned_nodes: set, banned_edges: set) -> tuple[float, list] | None:
         heap, done = [(0.0, [source])], set()
@@ -65,9 +81,7 @@ def k_paths(requests: DataFrame, edges: DataFrame, k: int = 3, hops: int = 6) ->
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: dict = {}
-        weight = {}
-        for u, v, w in zip(pdf["u"], pdf["v"], pdf["w"]):
-            weight[u, v] = min(w, weight.get((u, v), float("inf")))
+        weight = dict(zip(zip(pdf["u"], pdf["v"]), pdf["w"]))
         for (u, v), w in sorted(weight.items()):
             out.setdefault(u, []).append((v, w))
         source, target = int(pdf["source"].iloc[0]), int(pdf["target"].iloc[0])
@@ -89,7 +103,27 @@ def k_paths(requests: DataFrame, edges: DataFrame, k: int = 3, hops: int = 6) ->
             found.append(spare.pop(0))
         return pd.DataFrame({"request_id": [pdf["request_id"].iloc[0]] * len(found), "rank": range(1, len(found) + 1), "cost": [c for c, _ in found], "path": [p for _, p in found]})
 
-    return corridor(requests, edges, hops).groupBy("request_id").applyInPandas(run, "request_id long, rank int, cost double, path array<long>")
+    rounds = Rounds(requests.sparkSession)
+    plain = rounds.put("edges", edges.groupBy("u", "v").agg(F.min("w").alias("w")))
+    # a request from a node to itself has the path of that node alone
+    alone = requests.where("source = target").select("request_id", F.lit(1).alias("rank"), F.lit(0.0).alias("cost"), F.array("source").alias("path"))
+    left, done, before = requests.where("source <> target").select("request_id", "source", "target"), rounds.put("done", alone), None
+    while True:
+        near = rounds.put("near", reach(left, plain, slack))
+        nodes = near.groupBy("request_id").agg(F.count("*").alias("nodes"), F.first("goal").alias("goal"))
+        inside = near.select("request_id", F.col("node").alias("u")).join(plain, "u").join(near.select("request_id", F.col("node").alias("v")), ["request_id", "v"]).join(left, "request_id")
+        found = rounds.put("found", inside.select("request_id", "source", "target", "u", "v", "w").groupBy("request_id").applyInPandas(run, "request_id long, rank int, cost double, path array<long>"))
+        last = found.groupBy("request_id").agg(F.count("*").alias("n"), F.max("cost").alias("most")).join(nodes, "request_id")
+        ready = (F.col("n") == k) & (F.col("most") <= F.col("goal") + slack)
+        if before is not None:
+            last, ready = last.join(before, "request_id", "left"), ready | (F.col("nodes") == F.col("nodes_before"))
+        last = rounds.put("last", last.select("request_id", "nodes", F.coalesce(ready, F.lit(False)).alias("ready")))
+        done = rounds.put("done", done.unionByName(found.join(last.where("ready").select("request_id"), "request_id", "left_semi")))
+        if last.where("not ready").isEmpty():
+            return done
+        before = last.where("not ready").select("request_id", F.col("nodes").alias("nodes_before"))
+        left = rounds.put("left", left.join(before.select("request_id"), "request_id", "left_semi"))
+        slack *= 2
 
 
 def path_sums(paths: DataFrame, edges: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:

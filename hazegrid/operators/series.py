@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from hazegrid.functions.timeutil import seconds
 
 
-def _around(keys: list[str], time: str, inclusive: bool = True):
-    w = Window.partitionBy(*keys).orderBy(time)
-    here = 0 if inclusive else 1
-    return w, w.rowsBetween(Window.unboundedPreceding, -here), w.rowsBetween(here, Window.unboundedFollowing)
+def _around(df: DataFrame, keys: list[str], time: str, inclusive: bool = True):
+    """df with its row numbers `_rn` in order of time, and the frames before and after a row. Both end at the row: the one
+    after it runs down from the last row, as a frame that reaches to the end of its partition is read anew for every row."""
+    here = 0 if inclusive else -1
+    d = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(time)))
+    w = Window.partitionBy(*keys)
+    return d, *(w.orderBy(o).rowsBetween(Window.unboundedPreceding, here) for o in (F.asc("_rn"), F.desc("_rn")))
 
 
 def interpolate(df: DataFrame, keys: list[str], time: str, value: str, out: str, *, limit: int | None = 24, by_time: bool = True) -> DataFrame:
     """Linear interpolation both ways: by time or by row position; ends are filled flat; with a limit, only rows within so many rows of an observed one."""
-    w, back, ahead = _around(keys, time)
+    d, back, ahead = _around(df, keys, time)
     x = seconds(F.col(time)) if by_time else F.col("_rn").cast("double")
     known = F.when(F.col(value).isNotNull(), F.struct(x.alias("x"), F.col(value).cast("double").alias("v"), F.col("_rn").alias("rn")))
-    d = df.withColumn("_rn", F.row_number().over(w)).withColumn("_p", F.last(known, True).over(back)).withColumn("_n", F.first(known, True).over(ahead))
+    d = d.withColumn("_p", F.last(known, True).over(back)).withColumn("_n", F.last(known, True).over(ahead))
     p, n = F.col("_p"), F.col("_n")
     line = p["v"] + (n["v"] - p["v"]) * (x - p["x"]) / (n["x"] - p["x"])
     filled = F.when(F.col(value).isNotNull(), F.col(value)).when(p.isNotNull() & n.isNotNull(), line).otherwise(F.coalesce(p["v"], n["v"]))
@@ -31,20 +34,20 @@ def interpolate(df: DataFrame, keys: list[str], time: str, value: str, out: str,
 
 def leave_one_out(df: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:
     """Time interpolation of each observed point from its neighbours on either side."""
-    _, back, ahead = _around(keys, time, inclusive=False)
+    d, back, ahead = _around(df, keys, time, inclusive=False)
     x = seconds(F.col(time))
     known = F.when(F.col(value).isNotNull(), F.struct(x.alias("x"), F.col(value).alias("v")))
-    d = df.withColumn("_p", F.last(known, True).over(back)).withColumn("_n", F.first(known, True).over(ahead))
+    d = d.withColumn("_p", F.last(known, True).over(back)).withColumn("_n", F.last(known, True).over(ahead))
     p, n = F.col("_p"), F.col("_n")
     line = F.when(n["x"] == p["x"], p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * (x - p["x"]) / (n["x"] - p["x"]))
-    return d.withColumn(out, F.when(p.isNotNull() & n.isNotNull(), line).otherwise(F.coalesce(p["v"], n["v"]))).drop("_p", "_n")
+    return d.withColumn(out, F.when(p.isNotNull() & n.isNotNull(), line).otherwise(F.coalesce(p["v"], n["v"]))).drop("_rn", "_p", "_n")
 
 
 def fill_both(df: DataFrame, keys: list[str], time: str, columns: list[str], default: float | None = None) -> DataFrame:
     """Forward, then backward fill; what is left takes the default."""
-    _, back, ahead = _around(keys, time)
-    fill = lambda c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead), *([F.lit(default)] if default is not None else []))
-    return df.withColumns({c: fill(c) for c in columns})
+    d, back, ahead = _around(df, keys, time)
+    fill = lambda c: F.coalesce(F.last(c, True).over(back), F.last(c, True).over(ahead), *([F.lit(default)] if default is not None else []))
+    return d.withColumns({c: fill(c) for c in columns}).drop("_rn")
 
 
 def gap_lengths(df: DataFrame, keys: list[str], time: str, value: str, out: str = "gap_hours") -> DataFrame:

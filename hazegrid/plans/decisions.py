@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hazegrid.functions import physics
 from hazegrid.functions.timeutil import floor_hour
 from hazegrid.operators import audit, evaluate, features, matching, routing
-from hazegrid.operators import graph as GR
+from hazegrid.operators.scratch import Rounds
 from hazegrid.plans.registry import query, r6
 
 PREF = {
@@ -59,55 +59,87 @@ def _(t):
 @query("g8_stability", "commuters", "SELECT cohort, count(*) AS commuters, 0 AS blocking FROM commuters WHERE cohort IN (SELECT DISTINCT CAST(s_nationkey AS BIGINT) FROM supplier) GROUP BY 1")
 def _(t):
     m, prefs, ranks, cap = matched(t)
-    m = GR.shared_checkpoint(m)
+    m = Rounds(t.spark).put("matched", m)
     bad = matching.blocking_pairs(m, prefs, ranks, cap).groupBy("cohort").agg(F.count("*").alias("blocking"))
     return m.groupBy("cohort").agg(F.count("*").alias("commuters")).join(bad, "cohort", "left").select("cohort", "commuters", F.coalesce("blocking", F.lit(0)).cast("int").alias("blocking"))
 
 
-@query("g7_fallback", "commuters routes", "SELECT cohort, true AS stable FROM commuters WHERE cohort IN (SELECT cohort FROM routes) GROUP BY 1")
+#: What is left goes to the least loaded routes: the i-th commuter, by id, takes the i-th slot in order of (load, route).
+LEFT = SERIAL | {
+    "m": PICK,
+    "ld": "SELECT r.cohort, r.route_id AS route, count(m.commuter) AS load FROM routes r LEFT JOIN m ON m.cohort = r.cohort AND m.route = r.route_id GROUP BY ALL",
+    "wt": "SELECT cohort, commuter, row_number() OVER (PARTITION BY cohort ORDER BY commuter) AS i FROM m WHERE route IS NULL",
+    "sl": "SELECT cohort, route, row_number() OVER (PARTITION BY cohort ORDER BY level, route) AS i FROM (SELECT ld.cohort, route, unnest(generate_series(load, load + need - 1)) AS level FROM ld JOIN (SELECT cohort, count(*) AS need FROM wt GROUP BY 1) USING (cohort))",
+    "placed": "SELECT cohort, commuter, route FROM m WHERE route IS NOT NULL UNION ALL SELECT cohort, commuter, route FROM wt JOIN sl USING (cohort, i)",
+}
+
+
+@query("g7_fallback", "commuters routes", "SELECT cohort, commuter, route FROM placed", LEFT)
 def _(t):
-    return matching.all_assigned(matching.fallback(matched(t)[0], t.routes()))
+    return matching.fallback(matched(t)[0], t.routes())
 
 
-@query("g7_queue_matching", "commuters", "SELECT cohort, true AS same FROM commuters WHERE cohort IN (SELECT DISTINCT CAST(s_nationkey AS BIGINT) FROM supplier) GROUP BY 1")
+@query("g7_nearest_fallback", "commuters routes", "SELECT cohort, commuter, coalesce(m.route, n.route) AS route FROM m JOIN (SELECT c.cohort, c.id AS commuter, arg_min(route_id, (abs(distance_m - distance_tolerance_m), route_id)) AS route FROM commuters c JOIN routes r USING (cohort) GROUP BY ALL) n USING (cohort, commuter)", SERIAL | {"m": PICK})
 def _(t):
-    m, prefs, ranks, cap = matched(t)
-    q = matching.match_by_queue(prefs, ranks, cap)
-    return m.join(q.withColumnRenamed("route", "other"), ["cohort", "commuter"]).groupBy("cohort").agg(F.bool_and(F.col("route").eqNullSafe(F.col("other"))).alias("same"))
+    far = t.commuters().join(t.routes(), "cohort").select("cohort", F.col("id").alias("commuter"), F.col("route_id").alias("route"), F.abs(F.col("distance_m") - F.col("distance_tolerance_m")).alias("d"))
+    return matching.fallback(matched(t)[0], t.routes(), far)
+
+
+@query("g8_assigned", "commuters routes", "SELECT cohort, bool_and(route IS NOT NULL) AS stable FROM m GROUP BY 1", SERIAL | {"m": PICK})
+def _(t):
+    return matching.all_assigned(matched(t)[0])
 
 
-W = {"w": "SELECT u, v, min(1 + length % 7) AS w FROM road_edges GROUP BY u, v", "rq": "SELECT * FROM od_requests WHERE source <> target"}
+#: Weights are whole numbers of at least 1, so no path of a cost has more edges than that; all costs here stay below the bound.
+BOUND = 30
+W = {"w": "SELECT u, v, min(1 + length % 7) AS w FROM road_edges GROUP BY u, v", "wl": "SELECT u, v, min(length / 10) AS w FROM road_edges GROUP BY u, v"}
 
 
-RELAX = W | {"r0": "SELECT request_id, target, source AS node, 0.0::DOUBLE AS cost FROM rq"} | {f"r{k}": f"SELECT request_id, target, node, min(cost) AS cost FROM (SELECT * FROM r{k - 1} UNION ALL SELECT request_id, target, v, cost + w FROM r{k - 1} JOIN w ON u = node) GROUP BY ALL" for k in range(1, 6)} | {"r": "SELECT * FROM r5"}
+def relaxed(w: str, bound: int) -> str:
+    """Least costs of all requests up to a bound, by a recursive query over (request, node, cost)."""
+    return f"WITH RECURSIVE x AS (SELECT request_id, target, source AS node, 0.0::DOUBLE AS cost FROM od_requests UNION SELECT request_id, target, v, cost + w FROM x JOIN {w} ON u = node WHERE node <> target AND cost + w <= {bound}) SELECT request_id, min(cost) AS cost FROM x WHERE node = target GROUP BY 1"
+
+
+RELAX = W | {"r": relaxed("w", BOUND)}
 
 
 def weights(t):
     return t.road_edges().groupBy("u", "v").agg(F.min(1 + F.col("length") % 7).alias("w"))
 
 
-@query("g3_shortest_paths", "od_requests road_edges", "SELECT request_id, min(cost) AS cost FROM r WHERE node = target GROUP BY 1", RELAX)
+@query("g3_shortest_paths", "od_requests road_edges", "SELECT request_id, cost FROM r", RELAX)
 def _(t):
-    return routing.shortest(t.od_requests().where("source <> target"), weights(t), 5).select("request_id", "cost")
+    return routing.shortest(t.od_requests(), weights(t)).select("request_id", "cost")
 
 
 @query("g3_k_paths")
 def _(t):
-    return routing.k_paths(t.od_requests().where("source <> target"), weights(t), 3, 4).select("request_id", "rank", "cost")
+    return routing.k_paths(t.od_requests(), weights(t), 3).select("request_id", "rank", "cost")
 
 
-@query("a22_path_sums", "od_requests road_edges", "SELECT request_id, cost AS dose, hops FROM (SELECT request_id, min(cost) AS cost, true AS hops FROM r WHERE node = target GROUP BY 1)", RELAX)
+@query("a22_path_sums", "od_requests road_edges", "SELECT request_id, cost AS dose, true AS hops FROM r WHERE cost > 0", RELAX)
 def _(t):
     e = weights(t)
-    p = routing.shortest(t.od_requests().where("source <> target"), e, 5)
-    return routing.path_sums(p, e.withColumn("one", F.lit(1)), "request_id", {"dose": "w", "hops": "one"}).select("request_id", "dose", (F.col("hops") <= 5).alias("hops"))
+    p = routing.shortest(t.od_requests(), e)
+    return routing.path_sums(p, e.withColumn("one", F.lit(1)), "request_id", {"dose": "w", "hops": "one"}).select("request_id", "dose", (F.col("hops") >= 1).alias("hops"))
+
 
+#: Routes whose dose is the least toxicity of their request's paths and whose distance follows from it; the rest is the matching above.
+ALLOCATION = {"routes": "SELECT o.cohort, o.request_id AS route_id, r.cost AS dose, 500 + r.cost * 100 AS distance_m FROM od_requests o JOIN r USING (request_id) WHERE o.request_id IN (SELECT s_suppkey FROM supplier)"}
 
-@query("g9_allocation", "commuters routes", "SELECT c.cohort, count(*) AS commuters, count(DISTINCT r.route_id) >= 1 AS used FROM commuters c JOIN routes r USING (cohort) WHERE r.route_id = (SELECT min(route_id) FROM routes x WHERE x.cohort = c.cohort) GROUP BY 1")
+
+@query("g9_allocation", "commuters od_requests road_edges", "SELECT p.cohort, p.commuter, p.route, round(r.dose, 6) AS dose, round(r.distance_m, 6) AS distance_m, pf.pref_rank FROM placed p JOIN routes r ON r.cohort = p.cohort AND r.route_id = p.route JOIN pf ON pf.cohort = p.cohort AND pf.commuter = p.commuter AND pf.route = p.route", RELAX | ALLOCATION | LEFT)
 def _(t):
-    m = matching.fallback(matched(t)[0], t.routes())
-    r = t.routes().select("cohort", F.col("route_id").alias("route"), "dose")
-    return m.join(r, ["cohort", "route"]).groupBy("cohort").agg(F.count("*").alias("commuters"), (F.countDistinct("route") >= 1).alias("used"))
+    """Paths to doses, preferences, quotas, places and what each commuter takes in."""
+    asked = t.od_requests().join(t.raw("supplier").select(F.col("s_suppkey").alias("request_id")), "request_id", "left_semi")
+    e = weights(t)
+    dose = routing.path_sums(routing.shortest(asked, e), e, "request_id", {"dose": "w"})
+    r = Rounds(t.spark).put("routes", asked.join(dose, "request_id").select("cohort", F.col("request_id").alias("route_id"), "dose", (500 + F.col("dose") * 100).alias("distance_m")))
+    c = t.commuters().join(r.select("cohort").distinct(), "cohort", "left_semi")
+    prefs, ranks, cap = matching.commuter_ranking(c, r), matching.segment_ranking(c, r), matching.quotas(r, F.col("dose"), 40.0)
+    m = matching.fallback(matching.match(prefs, ranks, cap), r)
+    cost = r.select("cohort", F.col("route_id").alias("route"), *r6("dose", "distance_m"))
+    return m.join(cost, ["cohort", "route"]).join(prefs, ["cohort", "commuter", "route"]).select("cohort", "commuter", "route", "dose", "distance_m", "pref_rank")
 
 
 @query("g10_wake_hits", "routes", "SELECT route_id AS route, dose BETWEEN 8 AND 20 AND distance_m / 100 BETWEEN 20 AND 45 AS hit FROM routes")
@@ -195,13 +227,13 @@ def _(t):
     return evaluate.weighted_mse(t.predictions()).select(*r6("weighted_mse"))
 
 
-UP = {"ue": "SELECT DISTINCT l_partkey % 150 AS u, l_suppkey % 150 AS v, 20 + 10 * l_quantity AS length FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 150 <> l_suppkey % 150", "up": "SELECT *, 1 / (2 * pi() * 2 * sy * sz) * exp(-4 / (2 * sz * sz)) AS pl FROM (SELECT *, greatest(2, 0.2::DOUBLE * length) AS sy, greatest(1, 0.06::DOUBLE * length) AS sz FROM ue)"}
+UP = {"ue": "SELECT DISTINCT l_partkey % 150 AS u, l_suppkey % 150 AS v, 20 + 10 * l_quantity AS length FROM lineitem WHERE l_partkey % 150 <> l_suppkey % 150", "up": "SELECT *, 1 / (2 * pi() * 2 * sy * sz) * exp(-4 / (2 * sz * sz)) AS pl FROM (SELECT *, greatest(2, 0.2::DOUBLE * length) AS sy, greatest(1, 0.06::DOUBLE * length) AS sz FROM ue)"}
 
 
 @query("a27_upwind_penalty", "predictions", "SELECT round(coalesce(avg(pow(greatest(0, b.pred - a.pred), 2) * (1 + pl / (SELECT greatest(max(pl), 1e-8) FROM up))), 0), 4) AS penalty FROM predictions a JOIN up ON up.u = a.station_id JOIN predictions b ON b.station_id = up.v AND b.time = a.time", UP)
 def _(t):
     p = t.predictions().select(F.col("time").alias("t"), F.col("station_id").alias("node"), "pred")
-    li = t.raw("lineitem").where("l_linenumber = 1")
+    li = t.raw("lineitem")
     e = li.select((F.col("l_partkey") % 150).alias("u"), (F.col("l_suppkey") % 150).alias("v"), (20 + 10 * F.col("l_quantity")).alias("length")).where("u <> v").distinct()
     return evaluate.upwind_penalty(p, e).select(F.round("penalty", 4).alias("penalty"))
 

@@ -161,9 +161,9 @@ def _(t):
     return GR.simple_edges(t.road_edges(), ["length"], ["highway"])
 
 
-@query("j6_nearest_node", "road_nodes", "SELECT id, arg_min(osmid, (sqrt(pow(n.x - p.x, 2) + pow(n.y - p.y, 2)), osmid)) AS tid, round(min(sqrt(pow(n.x - p.x, 2) + pow(n.y - p.y, 2))), 6) AS distance_meters FROM (SELECT o_orderkey AS id, 769000 + o_orderkey * 331 % 32011 AS x, 1419000 + o_custkey * 577 % 36013 AS y FROM orders WHERE o_orderkey % 20 = 0) p, road_nodes n GROUP BY id")
+@query("j6_nearest_node", "road_nodes", "SELECT id, arg_min(osmid, (sqrt(pow(n.x - p.x, 2) + pow(n.y - p.y, 2)), osmid)) AS tid, round(min(sqrt(pow(n.x - p.x, 2) + pow(n.y - p.y, 2))), 6) AS distance_meters FROM (SELECT o_orderkey AS id, 769000 + o_orderkey * 331 % 32011 AS x, 1419000 + o_custkey * 577 % 36013 AS y FROM orders) p, road_nodes n GROUP BY id")
 def _(t):
-    p = t.raw("orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"), (769000 + F.col("o_orderkey") * 331 % 32011).cast("double").alias("x"), (1419000 + F.col("o_custkey") * 577 % 36013).cast("double").alias("y"))
+    p = t.raw("orders").select(F.col("o_orderkey").alias("id"), (769000 + F.col("o_orderkey") * 331 % 32011).cast("double").alias("x"), (1419000 + F.col("o_custkey") * 577 % 36013).cast("double").alias("y"))
     return GR.nearest(p, t.road_nodes().withColumnRenamed("osmid", "tid"), 1500.0).select("id", "tid", *r6("distance_meters"))
 
 
@@ -182,9 +182,9 @@ def _(t):
     return GR.induced(t.road_edges(), t.road_nodes().where("osmid % 3 <> 0")).select("u", "v", "key", "length")
 
 
-@query("g4_two_hops", "road_edges", "SELECT osmid, min(hop) AS hop FROM (SELECT s AS osmid, 0 AS hop FROM sd UNION ALL SELECT u, 1 FROM road_edges JOIN sd ON v = s UNION ALL SELECT a.u, 2 FROM road_edges a JOIN road_edges b ON a.v = b.u JOIN sd ON b.v = s) GROUP BY 1", {"sd": "SELECT DISTINCT p_partkey AS s FROM part WHERE p_partkey % 97 = 0"})
+@query("g4_two_hops", "road_edges station_meta", "SELECT osmid, min(hop) AS hop FROM (SELECT s AS osmid, 0 AS hop FROM sd UNION ALL SELECT u, 1 FROM road_edges JOIN sd ON v = s UNION ALL SELECT a.u, 2 FROM road_edges a JOIN road_edges b ON a.v = b.u JOIN sd ON b.v = s) GROUP BY 1", {"sd": "SELECT DISTINCT id * 3 AS s FROM station_meta"})
 def _(t):
-    return GR.k_hop(t.road_edges(), t.road_nodes().where("osmid % 97 = 0"), 2)
+    return GR.k_hop(t.road_edges(), t.station_meta().select((F.col("id") * 3).alias("osmid")), 2)
 
 
 @query("t4_capped_subgraph", "road_nodes road_edges", "SELECT u, v, key FROM road_edges WHERE u IN (SELECT osmid FROM cap) AND v IN (SELECT osmid FROM cap)", {"cap": "SELECT osmid FROM road_nodes ORDER BY osmid * 2654435761 % 1000003, osmid LIMIT 100"})
@@ -213,17 +213,11 @@ def _(t):
     return GR.feature_medians(t.air_hourly().withColumn("h", F.hour("time")), ["h"], ["pm10", "pm2_5"]).select("h", *r6("pm10", "pm2_5"))
 
 
-SNAP = SIMPLE | {
-    "sn": "SELECT row_number() OVER (ORDER BY time) - 1 AS snapshot_id, w.wind_speed_10m AS ws, w.wind_direction_10m AS wd, coalesce(a.nitrogen_dioxide, 0) AS no2, coalesce(a.pm2_5, 0) AS pm FROM weather_hourly w JOIN air_hourly a USING (time) WHERE hour(time) = 7 AND day(time) <= 3",
-    "pts": "SELECT snapshot_id, ws, wd, 781481.0201::DOUBLE AS px, 1435426.4068::DOUBLE AS py, no2, pm FROM sn",
-}
-
-
 def snapshots(t):
-    from pyspark.sql import Window
-
-    h = t.weather_hourly().join(t.air_hourly(), "time").where("hour(time) = 7 and day(time) <= 3")
-    return h.select((F.row_number().over(Window.orderBy("time")) - 1).cast("long").alias("snapshot_id"), F.struct("wind_speed_10m", "wind_direction_10m", F.lit("x").alias("lat"), F.lit("x").alias("lon")).alias("weather"), F.struct("nitrogen_dioxide", "sulphur_dioxide", "pm2_5", F.lit("#city").alias("lat"), F.lit("#city").alias("lon")).alias("air"), F.struct(F.lit("12.95").alias("lat"), F.lit("77.60").alias("lon"), F.lit("11.5").alias("no2"), F.lit("n/a").alias("so2"), F.lit(30.0).alias("pm2_5")).alias("sensor"))
+    """A snapshot for each weekday: the mean state of its hours."""
+    h = t.weather_hourly().join(t.air_hourly(), "time").groupBy(F.weekday("time").cast("long").alias("snapshot_id"))
+    h = h.agg(*[F.avg(c).alias(c) for c in ("wind_speed_10m", "wind_direction_10m", "nitrogen_dioxide", "sulphur_dioxide", "pm2_5")])
+    return h.select("snapshot_id", F.struct("wind_speed_10m", "wind_direction_10m", F.lit("x").alias("lat"), F.lit("x").alias("lon")).alias("weather"), F.struct("nitrogen_dioxide", "sulphur_dioxide", "pm2_5", F.lit("#city").alias("lat"), F.lit("#city").alias("lon")).alias("air"), F.struct(F.lit("12.95").alias("lat"), F.lit("77.60").alias("lon"), F.lit("11.5").alias("no2"), F.lit("n/a").alias("so2"), F.lit(30.0).alias("pm2_5")).alias("sensor"))
 
 
 def _xy(lat: float, lon: float) -> tuple[float, float]:
@@ -237,7 +231,7 @@ def _xy(lat: float, lon: float) -> tuple[float, float]:
 
 (CX, CY), (SX, SY) = _xy(*D.CENTRE), _xy(12.95, 77.60)
 FUSED = SIMPLE | {
-    "sn": "SELECT row_number() OVER (ORDER BY time) - 1 AS snapshot_id, w.wind_speed_10m AS ws, w.wind_direction_10m AS wd, coalesce(a.nitrogen_dioxide, 0) AS no2, coalesce(a.sulphur_dioxide, 0) AS so2, coalesce(a.pm2_5, 0) AS pm FROM weather_hourly w JOIN air_hourly a USING (time) WHERE hour(time) = 7 AND day(time) <= 3",
+    "sn": "SELECT isodow(time) - 1 AS snapshot_id, avg(w.wind_speed_10m) AS ws, avg(w.wind_direction_10m) AS wd, coalesce(avg(a.nitrogen_dioxide), 0) AS no2, coalesce(avg(a.sulphur_dioxide), 0) AS so2, coalesce(avg(a.pm2_5), 0) AS pm FROM weather_hourly w JOIN air_hourly a USING (time) GROUP BY 1",
     "fz": f"SELECT snapshot_id, u, v, ws, wd, bearing, x, y, (w1 * no2 + w2 * 11.5) / (w1 + w2) AS no2, w1 * so2 / (w1 + w2) AS so2, (w1 * pm + w2 * 30) / (w1 + w2) AS pm2_5 FROM (SELECT *, 1 / (pow(x - {CX!r}::DOUBLE, 2) + pow(y - {CY!r}::DOUBLE, 2) + 1) AS w1, 1 / (pow(x - {SX!r}::DOUBLE, 2) + pow(y - {SY!r}::DOUBLE, 2) + 1) AS w2 FROM (SELECT u, v, bearing, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y FROM se) e, sn)",
     "fused": f"SELECT snapshot_id, u, v, no2, so2, pm2_5, greatest(0, no2 + so2 + pm2_5) * greatest(0.2, (1 + 0.15::DOUBLE * ws) * exp(-pow({ANGLE.format(a='bearing', b='wd')} / 45, 2))) AS toxicity, x, y FROM fz",
 }
@@ -275,12 +269,25 @@ def _(t):
     return out.select("u", "v", F.round(F.col("s") + 1e-7, 4).alias("s"))
 
 
-@query("c10_training_rows")
+def _step_by(source: str, name: str) -> dict[str, str]:
+    return {
+        f"{name}_in": f"SELECT snapshot_id, v, avg(s) / greatest(1, any_value(d)) * count(*) / count(*) AS up FROM {source} JOIN (SELECT v, count(*) AS d FROM se GROUP BY v) USING (v) GROUP BY snapshot_id, v",
+        name: f"SELECT q.snapshot_id, q.u, q.v, greatest(0, least(500, 0.4::DOUBLE * s + 0.6::DOUBLE * (s + dw * greatest(0.1, s) * pl + 0.35::DOUBLE * coalesce(i.up, 0) * dw) * cf)) AS s, dw, pl, cf FROM {source} q LEFT JOIN {name}_in i ON i.snapshot_id = q.snapshot_id AND i.v = q.u",
+    }
+
+
+SPREAD_BY = FUSED | {
+    "st": f"SELECT snapshot_id, u, v, 1.0::DOUBLE AS s, CASE WHEN d <= 75 THEN exp(-(d * d) / 2450) ELSE 0 END AS dw, 1 / (2 * pi() * ew * sy * sz) * exp(-pow(sin(radians(d)) * length, 2) / (2 * sy * sy)) * exp(-4 / (2 * sz * sz)) AS pl, 1 + 0.6::DOUBLE * bd + 0.15::DOUBLE * greatest(0, 1 - least(1, ew / 3)) AS cf FROM (SELECT *, {ANGLE.format(a='bearing', b='wd')} AS d, greatest(2, 0.2::DOUBLE * greatest(1, length)) AS sy, greatest(1, 0.06::DOUBLE * greatest(1, length)) AS sz, greatest(0.2, greatest(0.2, ws) * (1 - 0.55::DOUBLE * bd)) AS ew FROM se, sn)",
+} | _step_by("st", "q1") | _step_by("q1", "q2")
+
+
+@query("c10_training_rows", "road_nodes road_edges weather_hourly air_hourly", "SELECT snapshot_id, u, v, " + ", ".join(f"round(f.{c} + 1e-7, 4) AS {c}" for c in ("no2", "so2", "pm2_5", "toxicity")) + ", round(s + 1e-7, 4) AS target FROM fused f JOIN q2 USING (snapshot_id, u, v)", SPREAD_BY)
 def _(t):
     f, e = fused(t), simple(t)
     ids = snapshots(t).select("snapshot_id", F.col("weather.wind_speed_10m").alias("wind_speed"), F.col("weather.wind_direction_10m").alias("wind_dir"))
-    state = e.select("u", "v").crossJoin(ids.select("snapshot_id")).withColumn("s", F.lit(1.0))
-    return D.training_rows(f, D.propagate(state, e, ids, 2, keys=["snapshot_id"]))
+    state = e.select("u", "v").crossJoin(F.broadcast(ids.select("snapshot_id"))).withColumn("s", F.lit(1.0))  # seven rows
+    rows = D.training_rows(f, D.propagate(state, e, ids, 2, keys=["snapshot_id"]))
+    return rows.select("snapshot_id", "u", "v", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("no2", "so2", "pm2_5", "toxicity", "target")])
 
 
 @query("a21_incoming_mean", "road_nodes road_edges", "SELECT v AS u, round(avg(seed) / count(*), 6) AS upstream FROM se GROUP BY v", SIMPLE)

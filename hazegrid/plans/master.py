@@ -115,7 +115,7 @@ def _(t):
 
 
 SPINE = {
-    "obs": "SELECT station_id, date_trunc('hour', time)::TIMESTAMP AS time, avg(value) AS v, min(station_name) AS station_name FROM readings WHERE parameter = 'pm10' AND station_id % 5 = 0 GROUP BY ALL",
+    "obs": "SELECT station_id, date_trunc('hour', time)::TIMESTAMP AS time, avg(value) AS v, min(station_name) AS station_name FROM readings WHERE parameter = 'pm10' GROUP BY ALL",
     "hours": "SELECT unnest(generate_series((SELECT min(time) FROM obs), (SELECT max(time) FROM obs), INTERVAL 1 HOUR)) AS time",
     "cells": "SELECT s.station_id, h.time, o.v, o.station_name, row_number() OVER (PARTITION BY s.station_id ORDER BY h.time) AS rn FROM (SELECT DISTINCT station_id FROM obs) s CROSS JOIN hours h LEFT JOIN obs o ON o.station_id = s.station_id AND o.time = h.time",
     "filled": "SELECT *, last_value(CASE WHEN v IS NOT NULL THEN {'v': v, 'rn': rn} END IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, first_value(CASE WHEN v IS NOT NULL THEN {'v': v, 'rn': rn} END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM cells WINDOW w AS (PARTITION BY station_id ORDER BY time)",
@@ -124,13 +124,13 @@ SPINE = {
 
 @query("c6_hourly_spine", "readings", "SELECT station_id, time, round(CASE WHEN v IS NOT NULL THEN v WHEN p IS NOT NULL AND n IS NOT NULL THEN p.v + (n.v - p.v) * (rn - p.rn) / (n.rn - p.rn) ELSE coalesce(p.v, n.v) END, 6) AS value, 'station_' || station_id AS station_name FROM filled", SPINE)
 def _(t):
-    r = t.readings().where("parameter = 'pm10' and station_id % 5 = 0").select("station_id", "time", "value", "station_name")
+    r = t.readings().where("parameter = 'pm10'").select("station_id", "time", "value", "station_name")
     return M.hourly_spine(r, "station_id", "time", ["value"], ["station_name"]).select("station_id", "time", *r6("value"), "station_name")
 
 
 @query("a11_dedupe_keys", "readings", "SELECT station_id, time, round(v, 6) AS value, station_name FROM obs", {"obs": SPINE["obs"]})
 def _(t):
-    r = t.readings().where("parameter = 'pm10' and station_id % 5 = 0").select("station_id", floor_hour(F.col("time")).alias("time"), "value", "station_name")
+    r = t.readings().where("parameter = 'pm10'").select("station_id", floor_hour(F.col("time")).alias("time"), "value", "station_name")
     return M.dedupe(r, ["station_id", "time"]).select("station_id", "time", *r6("value"), "station_name")
 
 

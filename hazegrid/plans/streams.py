@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from hazegrid.functions.timeutil import floor_hour
 from hazegrid.operators import ratios as R
 from hazegrid.operators import gapfill as G
+from hazegrid.operators.scratch import shared_dir
 from hazegrid.plans.registry import query, r6
 from hazegrid.sources import files, json_sources
 from hazegrid.streaming import streams
@@ -17,13 +17,7 @@ from hazegrid.streaming import streams
 
 def scratch(t) -> str:
     """A new folder under the shared one, for what a query stores and reads again."""
-    sc = t.spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="spark-")
-    return f"{at}/{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/{uuid.uuid4().hex}"
 
 
 def as_stream(t, df):
@@ -73,10 +67,13 @@ def _(t):
     return d.agg(F.count("*").alias("rows"))
 
 
-@query("j16_latest_state_join", "payloads", "SELECT s.snapshot_id, " + ", ".join(f"(SELECT arg_max(payload, (ts, event_id)) FROM payloads p WHERE p.stream = '{n}' AND p.ts <= s.ts) AS {n.replace(':', '_')}" for n in ("weather:live", "sensors:live")) + " FROM (SELECT event_id AS snapshot_id, ts + INTERVAL 90 SECOND AS ts FROM payloads WHERE event_id % 97 = 0) s")
+LATEST = {n.replace(":", "_"): f"SELECT ts, arg_max(payload, event_id) AS {n.replace(':', '_')} FROM payloads WHERE stream = '{n}' GROUP BY ts" for n in ("weather:live", "sensors:live")}
+
+
+@query("j16_latest_state_join", "payloads", "SELECT s.snapshot_id, weather_live, sensors_live FROM (SELECT event_id AS snapshot_id, ts + INTERVAL 90 SECOND AS ts FROM payloads) s ASOF LEFT JOIN weather_live w ON s.ts >= w.ts ASOF LEFT JOIN sensors_live e ON s.ts >= e.ts", LATEST)
 def _(t):
     p = t.payloads()
-    s = p.where("event_id % 97 = 0").select(F.col("event_id").alias("snapshot_id"), (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ts"))
+    s = p.select(F.col("event_id").alias("snapshot_id"), (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ts"))
     return streams.as_of(s, p, ["weather:live", "sensors:live"]).drop("ts")
 
 

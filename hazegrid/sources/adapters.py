@@ -80,9 +80,10 @@ class Tables:
         return self.raw("supplier").select(F.col("s_nationkey").cast("long").alias("cohort"), k.alias("route_id"), (5 + (k * 29 % 97) / 4.0).alias("dose"), (1500 + k * 71 % 50 * 100).cast("double").alias("distance_m"))
 
     def od_requests(self) -> DataFrame:
+        """One request a customer."""
         n = self.raw("part").agg(F.count("*").alias("n"))
-        k = F.col("o_orderkey")
-        return self.raw("orders").where(k % 100 == 0).crossJoin(F.broadcast(n)).select(k.alias("request_id"), (k * 7 % F.col("n")).alias("source"), ((k * 7 + 60 + F.col("o_custkey") % 30) % F.col("n")).alias("target"))
+        k = F.col("c_custkey")
+        return self.raw("customer").crossJoin(F.broadcast(n)).select(k.alias("request_id"), (k * 7 % F.col("n")).alias("source"), ((k * 7 + 60 + k * 13 % 30) % F.col("n")).alias("target"), F.col("c_nationkey").cast("long").alias("cohort"))  # one row
 
     def predictions(self) -> DataFrame:
         r = self.readings().where("parameter = 'pm25'").groupBy(floor_hour(F.col("time")).alias("time"), "station_id").agg(F.avg("value").alias("target"))
@@ -107,7 +108,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "grid": ((), "SELECT p_partkey // 1000 AS grid_id, p_partkey % 1000 // 40 AS r, p_partkey % 40 AS c, p_retailprice / 10 AS concentration, (p_size % 7) / 3.0::DOUBLE AS wind_u, (p_size % 5) / 3.0::DOUBLE AS wind_v FROM part"),
     "commuters": ((), "SELECT CAST(c_nationkey AS BIGINT) AS cohort, c_custkey AS id, CASE c_mktsegment WHEN 'BUILDING' THEN 'jogger' WHEN 'HOUSEHOLD' THEN 'jogger' WHEN 'FURNITURE' THEN 'cyclist' WHEN 'AUTOMOBILE' THEN 'two_wheeler' WHEN 'MACHINERY' THEN 'car' END AS mode, 1.5::DOUBLE + (c_custkey % 7) * 0.25::DOUBLE AS id_min, CAST(6000 + c_custkey * 13 % 40 * 100 AS DOUBLE) AS distance_tolerance_m FROM customer"),
     "routes": ((), "SELECT CAST(s_nationkey AS BIGINT) AS cohort, s_suppkey AS route_id, 5 + (s_suppkey * 29 % 97) / 4.0::DOUBLE AS dose, CAST(1500 + s_suppkey * 71 % 50 * 100 AS DOUBLE) AS distance_m FROM supplier"),
-    "od_requests": ((), "SELECT o_orderkey AS request_id, o_orderkey * 7 % (SELECT count(*) FROM part) AS source, (o_orderkey * 7 + 60 + o_custkey % 30) % (SELECT count(*) FROM part) AS target FROM orders WHERE o_orderkey % 100 = 0"),
+    "od_requests": ((), "SELECT c_custkey AS request_id, c_custkey * 7 % (SELECT count(*) FROM part) AS source, (c_custkey * 7 + 60 + c_custkey * 13 % 30) % (SELECT count(*) FROM part) AS target, CAST(c_nationkey AS BIGINT) AS cohort FROM customer"),
     "predictions": (("readings",), "SELECT time, station_id, target, target * 0.9::DOUBLE + 1 AS pred, (station_id % 10) / 9.0::DOUBLE AS weight, station_id % 3 = 0 AS train_mask FROM (SELECT date_trunc('hour', time)::TIMESTAMP AS time, station_id, avg(value) AS target FROM readings WHERE parameter = 'pm25' GROUP BY ALL)"),
     "payloads": ((), "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'sensors:live' WHEN event_type IN ('purchase', 'signup') THEN 'airquality:live' ELSE 'weather:live' END AS stream, ts, props AS payload FROM events"),
 }

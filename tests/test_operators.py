@@ -1,5 +1,8 @@
 """Small literal cases and properties."""
 
+import itertools
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -136,21 +139,64 @@ def test_matching_preference_and_fallback(spark):
     assert {r.commuter: r.route for r in matching.fallback(m, routes).collect()}[1] == 10
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_rounds_equal_queue_on_random_cohorts(spark, seed):
-    rng = np.random.default_rng(seed)
-    prefs, ranks, cap = [], [], []
-    for cohort in range(6):
-        n, m = int(rng.integers(2, 9)), int(rng.integers(1, 5))
-        prefs += [(cohort, u, int(r), k) for u in range(n) for k, r in enumerate(rng.permutation(m)[: rng.integers(1, m + 1)], 1)]
-        ranks += [(cohort, r, int(u), k) for r in range(m) for k, u in enumerate(rng.permutation(n), 1)]
-        cap += [(cohort, r, int(rng.integers(1, 4))) for r in range(m)]
+def best_stable(prefs, ranks, room):
+    """Of all assignments that no commuter and route would both leave, the one that is best for every commuter."""
+    stable = []
+    for places in itertools.product(*[[None, *p] for p in prefs]):
+        held = {r: [u for u, x in enumerate(places) if x == r] for r in room}
+        if any(len(h) > room[r] for r, h in held.items()):
+            continue
+        better = [(u, r) for u, p in enumerate(prefs) for r in p[: p.index(places[u]) if places[u] is not None else len(p)]]
+        if not any(len(held[r]) < room[r] or ranks[r][u] < max(ranks[r][x] for x in held[r]) for u, r in better):
+            stable.append(places)
+    worth = lambda u, r: prefs[u].index(r) if r is not None else 99
+    return next(s for s in stable if all(worth(u, s[u]) <= worth(u, o[u]) for o in stable for u in range(len(prefs))))
+
+
+def test_matching_equals_the_best_stable_assignment(spark):
+    rng = np.random.default_rng(3)
+    prefs, ranks, cap, want = [], [], [], {}
+    for cohort in range(12):
+        n, m = int(rng.integers(2, 6)), int(rng.integers(1, 4))
+        wish = [[int(r) for r in rng.permutation(m)[: rng.integers(1, m + 1)]] for _ in range(n)]
+        order = {r: [int(x) for x in rng.permutation(n)] for r in range(m)}
+        room = {r: int(rng.integers(1, 3)) for r in range(m)}
+        known = {r: {u: k for k, u in enumerate(o) if rng.random() < 0.8} for r, o in order.items()}  # others come last, by id
+        prefs += [(cohort, u, r, k) for u, p in enumerate(wish) for k, r in enumerate(p, 1)]
+        ranks += [(cohort, r, u, k) for r, o in known.items() for u, k in o.items()]
+        cap += [(cohort, r, c) for r, c in room.items()]
+        want |= {(cohort, u): r for u, r in enumerate(best_stable(wish, {r: {u: o.get(u, 50 + u) for u in range(n)} for r, o in known.items()}, room))}
     p = spark.createDataFrame(prefs, "cohort long, commuter long, route long, pref_rank int")
     r = spark.createDataFrame(ranks, "cohort long, route long, commuter long, seg_rank int")
     c = spark.createDataFrame(cap, "cohort long, route long, capacity int")
-    one = {(x.cohort, x.commuter): x.route for x in matching.match(p, r, c).collect()}
-    two = {(x.cohort, x.commuter): x.route for x in matching.match_by_queue(p, r, c).collect()}
-    assert one == two
+    assert {(x.cohort, x.commuter): x.route for x in matching.match(p, r, c).collect()} == want
+
+
+def test_matching_of_many_rounds(spark):
+    """Each round moves one commuter on to the next route."""
+    n = 30
+    prefs = [(0, i, r, k) for i in range(n) for k, r in ((1, i), (2, i + 1))] + [(0, n, 0, 1)]
+    ranks = [(0, r, u, k) for r in range(n + 1) for k, u in ((1, r - 1 if r else n), (2, r))]
+    p, r = spark.createDataFrame(prefs, "cohort long, commuter long, route long, pref_rank int"), spark.createDataFrame(ranks, "cohort long, route long, commuter long, seg_rank int")
+    c = spark.createDataFrame([(0, 0, 1)], "cohort long, route long, capacity int")
+    assert {x.commuter: x.route for x in matching.match(p, r, c).collect()} == {i: i + 1 for i in range(n)} | {n: 0}
+
+
+def test_one_long_series(spark):
+    """Windows are linear in the length of a series: 35,000 rows of one series."""
+    d = spark.range(35_000).select(F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 3600).alias("time"), F.when(F.col("id") % 50 == 0, F.col("id").cast("double")).alias("v"))
+    began = time.time()
+    out = series.fill_both(series.interpolate(d, ["k"], "time", "v", "lin", limit=None), ["k"], "time", ["v"])
+    row = out.agg(F.max(F.abs(F.col("lin") - (F.unix_timestamp("time") / 3600)).cast("double")).alias("off"), F.count_if(F.col("v").isNull()).alias("open")).first()
+    assert row.off == 49.0 and row.open == 0 and time.time() - began < 30  # the last 49 hours are filled flat
+
+
+def test_path_of_many_edges(spark):
+    n = 25
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n)] + [(0, n, n + 0.5), (3, 900, 1.0)], "u long, v long, w double")
+    q = spark.createDataFrame([(1, 0, n), (2, 5, 900), (3, 4, 4)], "request_id long, source long, target long")
+    got = {r.request_id: (r.cost, r.path) for r in routing.shortest(q, e).collect()}
+    assert got == {1: (float(n), list(range(n + 1))), 3: (0.0, [4])}
 
 
 def test_nearest_equals_brute_force(spark):
@@ -166,10 +212,12 @@ def test_nearest_equals_brute_force(spark):
 def test_k_paths(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 4, 1.0), (1, 3, 1.5), (3, 4, 1.0), (1, 4, 5.0), (2, 3, 0.1)], "u long, v long, w double")
     q = spark.createDataFrame([(7, 1, 4)], "request_id long, source long, target long")
-    got = [(r.cost, r.path) for r in routing.k_paths(q, e, 3, 4).orderBy("rank").collect()]
+    got = [(r.cost, r.path) for r in routing.k_paths(q, e, 3).orderBy("rank").collect()]
     assert [round(c, 6) for c, _ in got] == [2.0, 2.1, 2.5]
     assert got[0][1] == [1, 2, 4] and got[1][1] == [1, 2, 3, 4] and got[2][1] == [1, 3, 4]
     assert routing.shortest(q, e).first().path == [1, 2, 4]
+    every = [(round(r.cost, 6), r.path) for r in routing.k_paths(q, e, 9, 0.05).orderBy("rank").collect()]
+    assert every == [(2.0, [1, 2, 4]), (2.1, [1, 2, 3, 4]), (2.5, [1, 3, 4]), (5.0, [1, 4])]
 
 
 def test_node_index_counts_through_ranges(spark):

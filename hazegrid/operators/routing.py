@@ -19,41 +19,31 @@ def reach(requests: DataFrame, edges: DataFrame, slack: float | None = 0.0) -> D
     request's best arrival so far plus the slack. Every round is written and read back.
     """
     rounds = Rounds(requests.sparkSession)
-    out = edges.groupBy(F.col("u").alias("node"), "v").agg(F.min("w").alias("w"))
-    out = rounds.put("edges", out)
-    start = requests.select("request_id", "target", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["u"].dataType).alias("prev"))
-    best = rounds.put("best", start)
-    goal = rounds.put("goal", best.where("node = target").groupBy("request_id").agg(F.min("cost").alias("goal")))
-    front = best
-    while True:
-        step = front.where("node <> target").join(out, "node").select("request_id", "target", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("prev"))
-        step = step.groupBy("request_id", "target", "node").agg(F.min(F.struct("cost", "prev")).alias("m")).select("request_id", "target", "node", "m.*")
-        step = step.join(goal, "request_id", "left").where(F.col("goal").isNull() | (F.col("cost") <= F.col("goal") + slack)).drop("goal")
-        known = best.select("request_id", "node", F.col("cost").alias("old"))
-        front = rounds.put("front", step.join(known, ["request_id", "node"], "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).select(*best.columns))
-        if front.isEmpty():
-            break
-        best = rounds.put("best", best.join(front.select("request_id", "node"), ["request_id", "node"], "left_anti").select(*best.columns).unionByName(front))
-        goal = rounds.put("goal", best.where("node = target").select("request_id", F.col("cost").alias("goal")))
-    near = best.join(goal, "request_id").where(F.col("cost") <= F.col("goal") + slack)
-    return near.select("request_id", "target", "node", "cost", "prev", "goal")
+    out = rounds.put("edges", edges.groupBy(F.col("u").alias("node"), "v").agg(F.min("w").alias("w")))
+    best = rounds.put("best", requests.select("request_id", "target", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["u"].dataType).alias("prev"), F.lit(True).alias("fresh")))
+    while not best.where("fresh").isEmpty():
+        goal = best.where("node = target").select("request_id", F.col("cost").alias("goal"))
+        step = best.where("fresh and node <> target").join(out, "node").select("request_id", "target", F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.col("node").alias("prev"))
+        step = step.groupBy("request_id", "target", "node").agg(F.min(F.struct("cost", "prev")).alias("new"))
+        step = step.join(goal, "request_id", "left").where(F.col("goal").isNull() | (F.col("new.cost") <= F.col("goal") + slack)).drop("goal")
+        better = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new.cost") < F.col("cost")))
+        both = best.drop("fresh").withColumnRenamed("target", "t").join(step, ["request_id", "node"], "full_outer").withColumn("fresh", F.coalesce(better, F.lit(False)))
+        pick = lambda c: F.when(F.col("fresh"), F.col("new")[c]).otherwise(F.col(c)).alias(c)
+        best = rounds.put("best", both.select("request_id", F.coalesce("t", "target").alias("target"), "node", pick("cost"), pick("prev"), "fresh"))
+    goal = best.where("node = target").select("request_id", F.col("cost").alias("goal"))
+    return best.join(goal, "request_id").where(F.col("cost") <= F.col("goal") + slack).select("request_id", "target", "node", "cost", "prev", "goal")
 
 
 def shortest(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """(request_id, cost, path) of the cheapest path, of any number of edges; requests without one are left out."""
     rounds = Rounds(requests.sparkSession)
     best = rounds.put("best", reach(requests, edges))
-    open_ = best.where("node = target").select("request_id", F.col("goal").alias("cost"), F.col("prev").alias("node"), F.array("node").alias("path"))
-    done = None
-    while True:
-        now = rounds.put("open", open_)
-        ended = now.where("node is null").drop("node")
-        done = rounds.put("done", ended if done is None else done.unionByName(ended))
-        left = now.where("node is not null")
-        if left.isEmpty():
-            return done
-        back = best.select("request_id", "node", "prev")
-        open_ = left.join(back, ["request_id", "node"]).select("request_id", "cost", F.col("prev").alias("node"), F.concat(F.array("node"), "path").alias("path"))
+    back = best.select("request_id", "node", F.col("prev").alias("before"))
+    now = rounds.put("paths", best.where("node = target").select("request_id", F.col("goal").alias("cost"), F.col("prev").alias("node"), F.array("node").alias("path")))
+    while not now.where("node is not null").isEmpty():
+        known = F.col("node").isNull()
+        now = rounds.put("paths", now.join(back, ["request_id", "node"], "left").select("request_id", "cost", F.col("before").alias("node"), F.when(known, F.col("path")).otherwise(F.concat(F.array("node"), "path")).alias("path")))
+    return now.drop("node")
 
 
 def k_paths(requests: DataFrame, edges: DataFrame, k: int = 3, slack: float = 4.0) -> DataFrame:

@@ -91,7 +91,7 @@ def _(t):
 
 
 #: Weights are whole numbers of at least 1, so no path of a cost has more edges than that; all costs here stay below the bound.
-BOUND = 30
+BOUND = 14
 W = {"w": "SELECT u, v, min(1 + length % 7) AS w FROM road_edges GROUP BY u, v", "wl": "SELECT u, v, min(length / 10) AS w FROM road_edges GROUP BY u, v"}
 
 

@@ -18,7 +18,7 @@ from .common import with_path
 
 KEY = 40
 #: Rows that a task holds before it writes its blobs.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def pack(cols: list[np.ndarray]) -> bytes:

@@ -28,7 +28,7 @@ from .common import map_rows
 #: Byte b is written as the character FIRST + b; none of these is white space or changed by sentencepiece.
 FIRST = 0x4E00
 #: Pre-tokens kept in each of a Python worker's two cache generations; the cache only saves work.
-CACHE = 300_000
+CACHE = 150_000
 _TO_CHARS = {b: chr(FIRST + b) for b in range(256)}
 
 

@@ -52,6 +52,7 @@ def map_rows(df: DataFrame, batch: Callable[[pa.RecordBatch], pa.RecordBatch | N
             out = batch(b)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()  # workers serve later stages too
 
     return with_path(df).mapInArrow(run, schema)
 

@@ -7,7 +7,8 @@ largest proportion on. The prediction is the language of the largest proportion
 Training reads only text and language of the rows given, about `per_lang` rows of each language (a hash of the id decides
 which), or all if fewer. A null text or one without letters is `und` with score 0, as is every text if nothing was learned.
 Ties go to the language that sorts first. Repeated rows get equal results, an empty table an empty one; other columns are
-ignored by the operator.
+ignored by the operator, whatever their names. Texts of any length are read whole. Every language that occurs is learned; a model
+takes BUCKETS numbers a language (128 kB), on the driver and on each executor, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -22,8 +23,6 @@ from pyspark.sql import functions as F
 from .common import map_rows, uniform
 
 BUCKETS = 1 << 14
-#: Languages that are learned at most, the most frequent first.
-MAX_LANGS = 400
 #: What an added language must gain, in log-likelihood per log of the number of trigrams.
 PENALTY = 6.0
 #: Which of all code points are letters; surrogates are none.
@@ -81,12 +80,9 @@ class Model:
 def train(rows: DataFrame, *, per_lang: int = 2000, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts trigrams of about `per_lang` rows of each language; what comes to the driver is at most BUCKETS numbers a language."""
     known = rows.select(rows[id_col].alias("id"), rows[text_col].cast("string").alias("text"), rows[lang_col].cast("string").alias("lang")).where("text is not null and lang is not null")
-    per = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not per:
-        return Model([], np.full((BUCKETS, 0), 0.5))
-    # shares as a literal, so that no text is shuffled by its language
-    share = F.create_map(*[F.lit(x) for r in per for x in (r["lang"], per_lang / r["n"])])
-    picked = known.where(uniform(F.col("id"), seed) < share[F.col("lang")]).select("lang", "text")
+    # a row a language, so that no text is shuffled by its language
+    per = F.broadcast(known.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")))
+    picked = known.join(per, "lang").where(uniform(F.col("id"), seed) < F.col("share")).select("lang", "text")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
         total: dict[str, np.ndarray] = {}

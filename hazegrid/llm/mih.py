@@ -10,8 +10,9 @@ The queries are a stated part of the rows, and meet the rows in blocks: each pai
 of bounded size. Their best k are merged in groups of at most 64 lists.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than the sample's most common one
-take no part, neither as queries nor as rows. Equal scores rank by the smaller id. A query is never its own neighbour; with
-fewer than k other rows all are returned. Empty tables give empty results; other columns are ignored.
+take no part, neither as queries nor as rows. Rows that repeat an id are one row, the one whose vector sorts first. Equal
+scores rank by the smaller id. A query is never its own neighbour; with fewer than k other rows all are returned. Empty tables
+give empty results; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def _merge(lists: DataFrame, k: int) -> DataFrame:
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = 20, sample_rows: int = 4096, seed: int = 9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest found of each query row: query_id, rank from 1, id, score. `sample_rows` bounds what the model is fitted on."""
-    plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    plain = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("v"), is_query.alias("is_query")).where(F.col("id").isNotNull() & usable(F.col("v")))
     counts = plain.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.sum(F.col("is_query").cast("long")).alias("q")).orderBy(F.desc("n"), "d").first()
     empty = "query_id long, rank int, id long, score double"
     if counts is None or not counts.q:
@@ -147,7 +148,12 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 20, sample_rows: in
     def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v = t.column(1).combine_chunks()
         x = v.values.to_numpy()[v.offsets[0].as_py() :][: len(t) * counts.d].reshape(-1, counts.d)
-        return t.column(0).to_numpy(), x, np.frombuffer(b"".join(t.column(2).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+        ids, codes = t.column(0).to_numpy(), np.frombuffer(b"".join(t.column(2).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+        if len(np.unique(ids)) < len(ids):  # rows of one id meet here, as they are dealt by it
+            order = np.lexsort((*x.T[::-1], ids))
+            order = order[np.concatenate(([True], np.diff(ids[order]) != 0))]
+            ids, x, codes = ids[order], x[order], codes[order]
+        return ids, x, codes
 
     schema = pa.schema([("query_id", pa.int64()), ("grp", pa.int64()), ("best", pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())])))])
 

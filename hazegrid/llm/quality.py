@@ -1,6 +1,7 @@
 """Quality classifier by hierarchical empirical Bayes (operator 4).
 
-A logistic model of a text's style gives each document its own evidence. Grouped aggregation then gives each host, and each
+A logistic model of a text's style and of its words and word pairs, hashed to `GRAMS` signed buckets, gives each document its
+own evidence. Grouped aggregation then gives each host, and each
 path within a host, a posterior mean of that evidence: a host is shrunk toward the global mean and a path toward its host,
 each by a prior strength that the method of moments takes from the spread between groups, so sparse sites stay near their
 prior. A document's own evidence is left out of its site's sums. The final log-odds are the document's own plus the log-odds
@@ -8,8 +9,9 @@ of its path's posterior against the global mean.
 
 The logistic model is fitted on about `fit_rows` labelled rows (a hash of the id decides which), or all if fewer; without
 labels of both kinds every document's own evidence is the prior 0.5. A null or empty text is of no quality evidence: its own
-probability is 0 and it has no share in its site. A null host or path is "(none)". Ties in the label table count each time.
-An empty table gives an empty result; other columns are left out.
+probability is 0 and it has no share in its site. A null host or path is "(none)". Rows that repeat a label count each time, and
+so do repeated documents. A probability equal to the threshold is kept. Texts of any length are read whole. An empty table gives
+an empty result; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,15 +23,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, uniform
+from .common import cut, lower_ascii, map_rows, uniform
+from .words import mix, word_hashes
 
 _SYMBOLS = re.compile(r"[#$%&*|<>{}\\^~=_+@\[\]]").findall
 _UPPER = re.compile(r"\b[^\W\d_a-z]{2,}\b").findall
 _STOPS = re.compile(r"[.!?]").findall
 
 
+GRAMS = 256
+
+
+def grams(text: str) -> list[float]:
+    """Words and pairs of words of a text in signed buckets, over four times the root of their number."""
+    w = word_hashes(lower_ascii(text))[1]
+    if not len(w):
+        return [0.0] * GRAMS
+    h = np.concatenate([w, mix(w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:], 0xD6E8FEB86659FD93)])
+    sign = np.where((h >> np.uint64(55)) & np.uint64(1), 0.25, -0.25)
+    return (np.bincount((h >> np.uint64(56)).astype(np.int64), weights=sign, minlength=GRAMS) / np.sqrt(len(h))).tolist()
+
+
 def features(text: str | None) -> list[float]:
-    """A text's style: shares of symbols, capitals, digits, marks, repeats, and lengths on a log scale."""
+    """A text's style (shares of symbols, capitals, digits, marks, repeats, and lengths on a log scale) and its words."""
     t = text or ""
     n = max(1, len(t))
     words = t.split()
@@ -50,6 +66,7 @@ def features(text: str | None) -> list[float]:
         1 - len(set(words)) / w,
         1 - len(set(lines)) / max(1, len(lines)),
         min(1.0, 10 * len(lines) / w),
+        *grams(t),
     ]
 
 
@@ -79,8 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, seed: int
     known = labels.where("id is not null and label in (0, 1)")
     n = known.count()
     picked = known.where(uniform(F.col("id"), seed) < fit_rows / max(1, n))
-    rows = _features(docs.where("text is not null").join(F.broadcast(picked), "id").select("id", "text"))  # about fit_rows ids
-    rows = rows.join(picked, "id").select("x", "label").collect()
+    picked = picked.groupBy("id", "label").agg(F.count("*").alias("times"))
+    rows = _features(docs.where("text is not null").join(F.broadcast(picked.select("id").distinct()), "id").select("id", "text"))  # about fit_rows ids
+    rows = rows.join(picked, "id").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times")))).select("x", "label").collect()
     if len({r.label for r in rows}) < 2:
         return None
     return fit(np.array([r.x for r in rows]), np.array([r.label for r in rows], dtype=np.float64))

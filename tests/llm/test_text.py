@@ -1,9 +1,11 @@
 """Token counts, byte BPE, language, quality, lines, near duplicates, mixing and WARC on small inputs."""
 
 import hashlib
+import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -200,6 +202,50 @@ def test_language_edges(spark):
     assert langid.filter_documents(docs(spark, [None, "", "12 !!", "abc"], True), model).count() == 1
 
 
+def plain_mixture(model, text, rounds=12):
+    """The mixture by plain sums over trigrams."""
+    grams = [int(g) for g in langid.trigrams(text)]
+    p = [[float(x) for x in model.probs[g]] for g in grams]
+
+    def fit(langs, share):
+        for _ in range(rounds):
+            total = [0.0] * len(langs)
+            for row in p:
+                mass = sum(s * row[k] for s, k in zip(share, langs))
+                for i, k in enumerate(langs):
+                    total[i] += share[i] * row[k] / mass
+            share = [x / len(p) for x in total]
+        return share, sum(math.log(sum(s * row[k] for s, k in zip(share, langs))) for row in p)
+
+    n = len(model.langs)
+    share, _ = fit(range(n), [1 / n] * n)
+    order, best = sorted(range(n), key=lambda k: -share[k]), None
+    for size in range(1, n + 1):
+        langs = order[:size]
+        start = [share[k] / sum(share[k] for k in langs) for k in langs]
+        own, like = fit(langs, start) if size > 1 else ([1.0], sum(math.log(row[langs[0]]) for row in p))
+        like -= langid.PENALTY * (size - 1) * math.log(len(p) + 1.0)
+        if best is not None and like <= best[0]:
+            break
+        best = (like, dict(zip((model.langs[k] for k in langs), own)))
+    return best[1]
+
+
+def test_mixture_equals_plain_sums(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(d)
+    rows = d.where("length(text) between 40 and 1500").orderBy("doc_id").limit(12).collect()
+    for a, b in zip(rows[::2], rows[1::2]):
+        text = a.text[:400] + " " + b.text[:250]
+        got, want = model.mixture(text)[2], plain_mixture(model, text)
+        assert set(got) == set(want) and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_every_language_is_learned(spark):
+    d = docs(spark, [f"word{i} text" for i in range(600)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id")))
+    assert len(langid.train(d).langs) == 600
+
+
 def test_mixture_proportions():
     rng = np.random.default_rng(2)
     a, b = "alpha beta gamma delta ".split(), "uno dos tres cuatro ".split()
@@ -229,6 +275,36 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.score(docs(spark, [None, "", "some text here."], True), docs(spark, ["x"]).select("doc_id", F.lit(1).alias("quality"))).where("keep").count() == 1
 
 
+def test_quality_equals_sql_from_the_own_evidence(spark):
+    """Host and path posteriors and the final odds, recomputed by SQL from the documents' own probabilities."""
+    sf = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality.score(d.withColumns({c: F.lit("x") for c in ("p", "n", "s", "mu", "host", "path", "id")}), labels, host_col="source", path_col="lang").toPandas()
+    con = duckdb.connect()
+    con.register("own", out[["doc_id", "host", "path", "p_doc"]])
+    k = lambda mu: f"CASE WHEN sum(n * pow(s / n - {mu}, 2)) / sum(n) - sum(q - s * s / n) / sum(n) * count(*) / sum(n) > 0 THEN greatest(1.0, least(1000.0, sum(n * {mu} * (1 - {mu})) / sum(n) / (sum(n * pow(s / n - {mu}, 2)) / sum(n) - sum(q - s * s / n) / sum(n) * count(*) / sum(n)) - 1)) ELSE 1000.0 END"
+    want = con.execute(f"""
+    WITH o AS (SELECT doc_id, host, path, nullif(p_doc, 0) AS p FROM own),
+    paths AS (SELECT host, path, count(p) AS n, sum(p) AS s, sum(p * p) AS q FROM o WHERE p IS NOT NULL GROUP BY ALL),
+    hosts AS (SELECT host, sum(n) AS n, sum(s) AS s, sum(q) AS q, (SELECT sum(s) / sum(n) FROM paths) AS mu FROM paths GROUP BY host),
+    kh AS (SELECT {k('mu')} AS kh FROM hosts),
+    hm AS (SELECT host, mu, (s + kh * mu) / (n + kh) AS host_mean FROM hosts, kh),
+    pm AS (SELECT paths.*, host_mean, mu FROM paths JOIN hm USING (host)),
+    kp AS (SELECT {k('host_mean')} AS kp FROM pm),
+    j AS (SELECT doc_id, p, mu, greatest(1e-5, least(1 - 1e-5, (s - coalesce(p, 0) + kp * host_mean) / (n - (p IS NOT NULL)::INT + kp))) AS path_mean FROM o LEFT JOIN pm USING (host, path), kp)
+    SELECT doc_id, CASE WHEN p IS NULL THEN 0 ELSE 1 / (1 + exp(-(ln(p / (1 - p)) + ln(path_mean / (1 - path_mean)) - ln(mu / (1 - mu))))) END AS p_quality FROM j""").fetchdf()
+    both = out.merge(want, on="doc_id")
+    assert len(both) == len(out) and np.allclose(both.p_quality_x, both.p_quality_y, atol=1e-6)
+
+
+def test_quality_labels_that_repeat(spark):
+    d = docs(spark, ["good text here, and more of it."] * 3 + ["### |||| $$$ !!!"] * 3)
+    once = spark.createDataFrame([(i, int(i < 3)) for i in range(6)], "id long, label int")
+    w = quality.train(d.select(F.col("doc_id").alias("id"), "text"), once.unionAll(once).unionAll(once))
+    x, y = np.array([quality.features(r.text) for r in d.orderBy("doc_id").collect()]), np.array([1, 1, 1, 0, 0, 0.0])
+    assert np.allclose(w, quality.fit(np.tile(x, (3, 1)), np.tile(y, 3)), atol=1e-6)
+
+
 def test_raking_meets_the_marginals(spark):
     cells = spark.createDataFrame([(s, lang, k, w) for s, lang, k, w in [("a", "en", "x", 700), ("a", "fr", "x", 50), ("b", "en", "y", 100), ("b", "fr", "x", 80), ("b", "fr", "y", 70), ("c", "en", "y", 0)]], "source string, lang string, topic string, w long")
     goal = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {"x": 0.7, "y": 0.3}}
@@ -247,6 +323,21 @@ def test_mix_of_nulls_and_clashing_columns(spark):
     assert mixing.sample(d).columns == d.columns
 
 
+def test_warc_ids_differ_where_pages_do(spark):
+    rows = [(1, "u", "a"), (1, "u", "b"), (1, None, "a"), (1, "", "a"), (None, None, None), (1, "u", "a")]
+    r = warc.derive(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("page", "record_id", "date", "text", "links")}))).toPandas()
+    assert len(r) == 12 and r.record_id.nunique() == 10 and r.refers_to.nunique() == 5
+    assert set(r.concurrent_to) == set(r.record_id) and not (r.concurrent_to == r.record_id).any()
+    assert warc.derive(warc.responses(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_warc_decodes_every_reference(spark):
+    page = "<p>&#8217; &eacute; &#x41; &amp;lt; &nbsp;&bogus; &copy 2024 &#0; &#128; a&b</p>" + "<p>x &middot; y</p>" * 3000
+    block = warc.derive(warc.responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"))).where("warc_type = 'conversion'").first().block
+    lines = block.split("\n")
+    assert lines[0] == "’ é A &lt; &bogus; © 2024 � € a&b" and lines[1:] == ["x · y"] * 3000
+
+
 def test_warc_links_and_digests(spark):
     html = "<html><head><title> A &amp; B </title><style>x{}</style></head><body><p>One<br>two &lt;3</p><script>no()</script><a href='/x'>l</a></body></html>"
     pages = spark.createDataFrame([(1, "http://x/", html), (2, None, None), (1, "http://x/", html)], "page_id long, url string, html string").withColumn("block", F.lit(0))

@@ -9,8 +9,10 @@ time; a refinement stretch that is one end-of-band run is read at once, any othe
 coefficients a block, one byte each, plus 2 so that every stored one is non-zero after the first scan and refinement scans
 are runs of plain bits. Quantisation tables are 1 throughout, so no coefficient is changed.
 
-A null text is an empty one: 64 zero bytes. Equal texts give equal pictures and features: all arithmetic is exact. Empty
-tables give empty results; other columns are ignored.
+A null text is an empty one: 64 zero bytes. Equal texts give equal pictures and features: all arithmetic is exact; repeated
+rows give repeated rows, and there are no ties. A long text is one picture (of at most 65,535 samples a side, some 2 GB of
+text), held in a task with its coefficients and tensor, about 20 bytes a byte of text. Empty tables give empty results; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,22 +66,35 @@ def _scan_header(scan: tuple) -> bytes:
     return _segment(0xDA, bytes([len(parts), *[x for c in parts for x in (c + 1, 0)], first, last, high << 4 | low]))
 
 
+_TABLES = _table_segment(0x00, _DC) + _table_segment(0x10, _AC) + _segment(0xDD, RESTART.to_bytes(2, "big"))
+
+
 def _head(width: int, height: int) -> bytes:
     frame = bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
-    return b"\xff\xd8" + _segment(0xDB, bytes([0] + [1] * 64)) + _segment(0xC2, frame) + _table_segment(0x00, _DC) + _table_segment(0x10, _AC) + _segment(0xDD, RESTART.to_bytes(2, "big"))
+    return b"\xff\xd8" + _segment(0xDB, bytes([0] + [1] * 64)) + _segment(0xC2, frame) + _TABLES
 
 
 def _pack(code: np.ndarray, length: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits of each group, in order, padded with ones to whole bytes: (bytes, first byte of each group and the end)."""
-    bits = np.bincount(group, length, groups).astype(np.int64)
-    start = np.concatenate(([0], np.cumsum((bits + 7) // 8)))
+    keep = length > 0
+    if not keep.all():
+        code, length, group = code[keep], length[keep], group[keep]
     ends = np.cumsum(length)
-    before = np.concatenate(([0], np.cumsum(bits)))[:-1]
-    at = ends - length - before[group] + start[group] * 8
-    word = code.astype(np.int64) << (24 - (at & 7) - length)
+    last = np.searchsorted(group, np.arange(groups), side="right") - 1
+    upto = np.where(last >= 0, ends[last], 0) if len(ends) else np.zeros(groups, dtype=np.int64)
+    bits = np.diff(upto, prepend=0)
+    start = np.concatenate(([0], np.cumsum((bits + 7) // 8)))
+    at = ends - length + (start[:-1] * 8 - (upto - bits))[group]
+    word = code << (24 - (at & 7) - length)
     at >>= 3
-    n = int(start[-1]) + 3
-    out = (np.bincount(at, word >> 16, n) + np.bincount(at + 1, (word >> 8) & 255, n) + np.bincount(at + 2, word & 255, n))[: start[-1]].astype(np.uint8)
+    # the bits of codes that begin in one byte do not overlap
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, dtype=np.int64)
+    word, at = (np.add.reduceat(word, first), at[first]) if len(first) else (word, at)
+    out = np.zeros(int(start[-1]) + 3, dtype=np.uint8)
+    out[at] = (word >> 16).astype(np.uint8)
+    out[at + 1] += ((word >> 8) & 255).astype(np.uint8)
+    out[at + 2] += (word & 255).astype(np.uint8)
+    out = out[: start[-1]]
     pad = -bits % 8
     last = start[1:][pad > 0] - 1
     out[last] |= ((1 << pad[pad > 0]) - 1).astype(np.uint8)
@@ -292,6 +307,16 @@ def _lookup(table: bytes) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=64)
+def _values(table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """For each 16 bits that may come: bits of a symbol without a run together with its value, and the value; 0 bits where the 16 do not hold both."""
+    got = _lookup(table)
+    n, run, size = got >> 8, (got >> 4) & 15, got & 15
+    fits = (n > 0) & (run == 0) & (size > 0) & (n + size <= 16)
+    raw = (np.arange(1 << 16) >> np.maximum(16 - n - size, 0)) & ((1 << size) - 1)
+    return np.where(fits, n + size, 0), np.where(fits, _extend(raw, size), 0).astype(np.int16)
+
+
 class _Lanes:
     """Bits of many stretches, each read at its own place."""
 
@@ -344,29 +369,25 @@ def _dc_scan(co: np.ndarray, lanes: _Lanes, scan: dict, layout: list, unit_rows:
 def _ac_first(co: np.ndarray, lanes: _Lanes, scan: dict, rows: np.ndarray, count: np.ndarray) -> None:
     """rows: for each lane the rows of co of its blocks."""
     table, first, last, low = _lookup(scan["ac"]), scan["first"], scan["last"], scan["low"]
+    both, values = _values(scan["ac"])
+    values = values << low
+    flat, wide = co.reshape(-1), co.shape[1]
     lane = np.arange(len(count))
     at, block, k = lanes.at.copy(), np.zeros(len(count), dtype=np.int64), np.full(len(count), first)
-    end, count = lanes.end, count.copy()
+    end, count, here = lanes.end, count.copy(), rows[:, 0] * wide
     while True:
-        live = block < count
-        if not live.all():
-            lane, at, block, k, end, count = (x[live] for x in (lane, at, block, k, end, count))
-            if not len(lane):
-                return
-        _check(at < end)
-        got = table[lanes.peek(at, 16)]
-        _check(got >> 8)
-        at += got >> 8
-        run, size = (got >> 4) & 15, got & 15
-        plain = size > 0
-        if plain.all():
-            v = _extend(lanes.peek(at, size), size)
-            at += size
-            k += run
-            _check(k <= last)
-            co[rows[lane, block], k] = v << low
+        got = lanes.peek(at, 16)
+        n = both[got]
+        if n.all():
+            flat[here + k] = values[got]
+            at += n
             k += 1
         else:
+            got = table[got]
+            _check((got >> 8 > 0) & (at < end))
+            at += got >> 8
+            run, size = (got >> 4) & 15, got & 15
+            plain = size > 0
             long = ~plain & (run == 15)
             eob = ~plain & ~long
             n = np.where(plain, size, np.where(eob, run, 0))
@@ -374,13 +395,22 @@ def _ac_first(co: np.ndarray, lanes: _Lanes, scan: dict, rows: np.ndarray, count
             at += n
             k = np.where(plain, k + run, np.where(long, k + 16, k))
             _check(~plain | (k <= last))
-            co[rows[lane[plain], block[plain]], k[plain]] = _extend(raw, n)[plain] << low
+            flat[(here + k)[plain]] = _extend(raw, n)[plain] << low
             k = np.where(plain, k + 1, k)
             block = np.where(eob, block + (1 << run) + raw, block)
-            k = np.where(eob, first, k)
+            k = np.where(eob, last + 1, k)
+            block -= eob
         done = k > last
-        block += done
-        k[done] = first
+        if done.any():
+            _check(at <= end)
+            block += done
+            k[done] = first
+            live = block < count
+            if not live.all():
+                lane, at, block, k, end, count = (x[live] for x in (lane, at, block, k, end, count))
+                if not len(lane):
+                    return
+            here = rows[lane, block] * wide
 
 
 def _ac_refine(co: np.ndarray, lanes: _Lanes, scan: dict, rows: np.ndarray, count: np.ndarray) -> None:
@@ -526,27 +556,46 @@ def planes(co: np.ndarray, quant: np.ndarray) -> np.ndarray:
     return out
 
 
-def tensor(p: _Picture, co: np.ndarray) -> np.ndarray:
-    """The picture as (height, width, 3) RGB, chroma repeated to full resolution; one component gives grey."""
+def samples(parsed: list[_Picture], co: np.ndarray) -> np.ndarray:
+    """8 x 8 samples of all blocks of pictures, those of like tables together."""
+    parts = [(x.base, x.base + x.wide * x.tall, p.quant[x.table]) for p in parsed for x in p.parts.values()]
+    tables = np.stack([q for _, _, q in parts]) if parts else np.zeros((0, BLOCK))
+    if len(parts) and (tables == tables[0]).all():
+        return planes(co, tables[0])
+    out = np.empty((len(co), 8, 8), dtype=np.uint8)
+    for a, b, q in parts:
+        out[a:b] = planes(co[a:b], q)
+    return out
+
+
+def tensor(p: _Picture, blocks: np.ndarray) -> np.ndarray:
+    """The picture as (height, width, 3) RGB from its samples, chroma repeated to full resolution; one component gives grey."""
     hm, vm = max(x.h for x in p.parts.values()), max(x.v for x in p.parts.values())
     full = []
     for x in p.parts.values():
-        s = planes(co[x.base : x.base + x.wide * x.tall], p.quant[x.table]).reshape(x.tall, x.wide, 8, 8).transpose(0, 2, 1, 3).reshape(8 * x.tall, 8 * x.wide)
-        full.append(np.repeat(np.repeat(s, vm // x.v, axis=0), hm // x.h, axis=1)[: p.height, : p.width])
+        s = blocks[x.base : x.base + x.wide * x.tall].reshape(x.tall, x.wide, 8, 8).transpose(0, 2, 1, 3).reshape(8 * x.tall, 8 * x.wide)
+        if (hm, vm) != (x.h, x.v):
+            s = np.broadcast_to(s[:, None, :, None], (s.shape[0], vm // x.v, s.shape[1], hm // x.h)).reshape(s.shape[0] * (vm // x.v), -1)
+        full.append(s[: p.height, : p.width])
     if len(full) == 1:
         return np.repeat(full[0][:, :, None], 3, axis=2)
     y, cb, cr = (v.astype(np.int32) for v in full[:3])
     y = (y << 16) + (1 << 15)
     cb -= 128
     cr -= 128
-    rgb = (y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)
-    return np.stack([np.clip(c >> 16, 0, 255).astype(np.uint8) for c in rgb], axis=2)
+    out = np.empty((*y.shape, 3), dtype=np.uint8)
+    for c, v in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
+        v >>= 16
+        np.clip(v, 0, 255, out=v)
+        out[:, :, c] = v
+    return out
 
 
 def decode_batch(pictures: list[bytes]) -> list[np.ndarray]:
     """RGB tensors of progressive JPEGs."""
     parsed, co = coefficients(pictures)
-    return [tensor(p, co) for p in parsed]
+    blocks = samples(parsed, co)
+    return [tensor(p, blocks) for p in parsed]
 
 
 def stored(p: _Picture, co: np.ndarray, n_bytes: int) -> bytes:
@@ -587,24 +636,27 @@ def _parts(texts: list[str | None], size: int = 3 << 20) -> Iterator[list[tuple[
         yield part
 
 
-def store_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
-    """Each text as a progressive JPEG, read back: digests and a feature of the RGB tensor; with keep_media the picture itself."""
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * keep_media]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * keep_media]
+def store_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False, keep_tensor: bool = False) -> DataFrame:
+    """Each text as a progressive JPEG, read back: digests and a feature of the RGB tensor; with keep_media the picture, with keep_tensor (height, width, rgb) the tensor itself."""
+    kinds = {"id": "long", "n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    kinds |= {"media": "binary"} if keep_media else {}
+    kinds |= {"height": "int", "width": "int", "rgb": "binary"} if keep_tensor else {}
+    arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for part in _parts(b.column(1).to_pylist()):
             media = encode_batch([p for p, _ in part])
             parsed, co = coefficients(media)
+            blocks = samples(parsed, co)
             for (p, n), m, picture in zip(part, media, parsed):
-                back = stored(picture, co, len(p))
-                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(tensor(picture, co)), *[m] * keep_media))
-        cols = list(zip(*rows)) if rows else [()] * (len(names) - 1)
-        return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds[1:])]], names)
+                back, t = stored(picture, co, len(p)), tensor(picture, blocks)
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(t), *([m] if keep_media else []), *([t.shape[0], t.shape[1], t.tobytes()] if keep_tensor else [])))
+        cols = list(zip(*rows)) if rows else [()] * (len(kinds) - 1)
+        return pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, arrow[k]) for c, k in zip(cols, list(kinds.values())[1:])]], list(kinds))
 
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return map_rows(docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")), run, schema).withColumnRenamed("id", id_col)
+    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    return map_rows(source, run, ", ".join(f"{n} {k}" for n, k in kinds.items())).withColumnRenamed("id", id_col)
 
 
 def rgb_tensors(media: DataFrame, *, id_col: str, media_col: str) -> DataFrame:

@@ -53,6 +53,13 @@ def test_probing_retrieves_every_code_within_the_radius():
     assert sum(s + 1 for s in mih._shares(105)) == 106
 
 
+def test_rows_that_repeat_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.1]), (1, [0.4, 0.1]), (2, [0.3, 0.0]), (2, [0.3, 0.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.id, r.score) for r in mih.search(d, F.col("vec_id") % 20 == 0, k=20).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 0.4), (0, 2, 2, 0.3)]
+
+
 def test_many_shards_merge(spark, monkeypatch):
     monkeypatch.setattr(mih, "SHARD", 8)
     rng = np.random.default_rng(2)
@@ -75,7 +82,7 @@ def test_payload_comes_back_and_equal_texts_are_equal():
     assert media == media[::-1] and media[2] == jpeg.encode_batch([payloads[2]])[0]
     parsed, co = jpeg.coefficients(media)
     assert [jpeg.stored(p, co, len(x)) for p, x in zip(parsed, payloads)] == payloads
-    features = [jpeg.feature(jpeg.tensor(p, co)) for p in parsed]
+    features = [jpeg.feature(jpeg.tensor(p, jpeg.samples(parsed, co))) for p in parsed]
     assert features == features[::-1] and features[2] == jpeg.feature(jpeg.decode_batch([media[2]])[0])
 
 
@@ -151,12 +158,13 @@ def test_refinement_of_any_coefficients(seed):
 
 def test_documents_and_tensors(spark):
     d = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumns({"id": F.lit(0), "media": F.lit("x")})
-    rows = {r.doc_id: r for r in jpeg.store_documents(d, keep_media=True).collect()}
+    rows = {r.doc_id: r for r in jpeg.store_documents(d, keep_media=True, keep_tensor=True).collect()}
     for i, t in enumerate(TEXTS):
         data = (t or "").encode()
         padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
         r = rows[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(padded), hashlib.sha256(padded).hexdigest())
+        assert jpeg.decode_batch([bytes(r.media)])[0].tobytes() == bytes(r.rgb) and len(r.rgb) == 3 * r.height * r.width
         assert r.media_bytes == len(r.media) and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
     m = spark.createDataFrame([(1, bytearray(rows[6].media)), (2, None), (3, bytearray(b"junk"))], "k long, m binary")
     t = {r.k: r for r in jpeg.rgb_tensors(m, id_col="k", media_col="m").collect()}

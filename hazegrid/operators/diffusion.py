@@ -9,7 +9,7 @@ from hazegrid.functions import physics
 from hazegrid.functions.geo import to_utm
 from hazegrid.functions.timeutil import floor_hour  # noqa: F401
 from hazegrid.operators.graph import midpoint, with_bearing
-from hazegrid.operators.scratch import shared_checkpoint
+from hazegrid.operators.scratch import Rounds
 
 CENTRE = (12.9716, 77.5946)
 
@@ -55,11 +55,11 @@ def incoming_mean(state: DataFrame, degree: DataFrame, keys: list[str]) -> DataF
     return m.join(degree, "v").select(*keys, F.col("v").alias("u"), (F.col("_m") / F.greatest(F.lit(1), F.col("in_degree"))).alias("upstream"))
 
 
-def propagate(state: DataFrame, edges: DataFrame, wind: DataFrame, steps: int = 2, *, keys: list[str] | None = None, sigma: float = 35.0, cone: float = 75.0, alpha: float = 0.35, damping: float = 0.6, cut_every: int = 4) -> DataFrame:
+def propagate(state: DataFrame, edges: DataFrame, wind: DataFrame, steps: int = 2, *, keys: list[str] | None = None, sigma: float = 35.0, cone: float = 75.0, alpha: float = 0.35, damping: float = 0.6) -> DataFrame:
     """State (keys, u, v, s) after wind-directed message passing along edges (u, v, length, bearing_deg, building_density).
 
     wind: keys with wind_speed and wind_dir. Each step aggregates the incoming edges to one row a node, joins it on u and
-    damps the change; values stay within 0 and 500. Lineage is cut every few steps.
+    damps the change; values stay within 0 and 500. A step reads the one before twice, so each is written and read back.
     """
     keys = keys or []
     damping = max(0.05, min(1.0, damping))
@@ -73,15 +73,15 @@ def propagate(state: DataFrame, edges: DataFrame, wind: DataFrame, steps: int =
     sy, sz = physics.sigmas(F.col("length"))
     ew = physics.street_wind(F.greatest(F.lit(0.2), F.col("wind_speed")), F.col("density"))
     d = d.select(*keys, "u", "v", "s", "density", physics.diffusion_weight(bearing, wd, None, sigma, cone).alias("dw"), ew.alias("ew"), physics.plume(F.lit(1.0), F.abs(F.sin(F.radians(delta)) * F.col("length")), ew, sy, sz).alias("unit_plume"))
-    for step in range(max(1, steps)):
+    rounds = Rounds(state.sparkSession)
+    for _ in range(max(1, steps)):
+        d = rounds.put("state", d)
         up = incoming_mean(d.select(*keys, "v", "s"), degree, keys)
         j = d.join(up, [*keys, "u"], "left")
         s, dw = F.col("s"), F.col("dw")
         raw = physics.canyon(s + dw * F.greatest(F.lit(0.1), s) * F.col("unit_plume") + alpha * F.coalesce("upstream", F.lit(0.0)) * dw, F.col("density"), F.col("ew"))
         new = F.greatest(F.lit(0.0), F.least(F.lit(500.0), (1 - damping) * s + damping * raw))
         d = j.withColumn("s", new).drop("upstream")
-        if step % cut_every == cut_every - 1:
-            d = shared_checkpoint(d)
     return d.select(*keys, "u", "v", "s")
 
 

@@ -27,11 +27,16 @@ def per_station(hourly: DataFrame) -> DataFrame:
     return hourly.groupBy("parameter", "station_id", "time").agg(F.avg("value").alias("value"))
 
 
+#: Parts into which the hours of a pollutant are dealt before its stations are joined to them.
+PARTS = 64
+
+
 def spine(observed: DataFrame) -> DataFrame:
     """Every station of a pollutant at every time at which that pollutant was observed at all."""
-    times = observed.select("parameter", "time").distinct()
-    stations = observed.select("parameter", "station_id").distinct()
-    return times.join(stations, "parameter").join(observed, ["parameter", "station_id", "time"], "left")
+    times = observed.select("parameter", "time").distinct().withColumn("_part", F.pmod(F.xxhash64("time"), F.lit(PARTS)))
+    # pollutants are few, so the join is on a part of the hours too
+    stations = observed.select("parameter", "station_id").distinct().withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return times.join(stations, ["parameter", "_part"]).drop("_part").join(observed, ["parameter", "station_id", "time"], "left")
 
 
 def pair_distances(meta: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazegrid.functions.clean import road_class
 from hazegrid.functions.geo import bearing_deg
-from hazegrid.operators.scratch import shared_checkpoint
+from hazegrid.operators.scratch import Rounds, shared_checkpoint
 
 
 def index_ids(df: DataFrame, key: str, out: str, block: int = 1 << 16) -> DataFrame:
@@ -38,7 +38,7 @@ def edge_table(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     e = edges.join(idx.toDF("u", "u_idx"), "u").join(idx.toDF("v", "v_idx"), "v").select("u_idx", "v_idx", "length", "highway")
     both = e.unionByName(e.select(F.col("v_idx").alias("u_idx"), F.col("u_idx").alias("v_idx"), "length", "highway")).where("u_idx <> v_idx").dropDuplicates(["u_idx", "v_idx", "length", "highway"])
     both = both.withColumn("highway", road_class(F.col("highway")))
-    return both.join(F.broadcast(index_categories(both, "highway", "highway_code")), "highway").select("u_idx", "v_idx", "length", "highway", "highway_code")  # a row a road class
+    return both.join(index_categories(both, "highway", "highway_code"), "highway").select("u_idx", "v_idx", "length", "highway", "highway_code")
 
 
 def one_hot(code: Column, n: int) -> Column:
@@ -113,13 +113,13 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """(osmid, hop): nodes from which a seed is reached over at most so many edges."""
-    seen = seeds.select("osmid").distinct().withColumn("hop", F.lit(0))
-    front = seen
+    """(osmid, hop): nodes from which a seed is reached over at most so many edges. Every hop is written and read back."""
+    rounds = Rounds(edges.sparkSession)
+    seen = rounds.put("seen", seeds.select("osmid").distinct().withColumn("hop", F.lit(0)))
     for h in range(1, hops + 1):
-        step = edges.join(front.select(F.col("osmid").alias("v")), "v", "left_semi").select(F.col("u").alias("osmid")).distinct()
-        front = step.join(seen.select("osmid"), "osmid", "left_anti").withColumn("hop", F.lit(h))
-        seen = seen.unionByName(front)
+        front = seen.where(F.col("hop") == h - 1).select(F.col("osmid").alias("v"))
+        step = edges.join(front, "v", "left_semi").select(F.col("u").alias("osmid")).withColumn("hop", F.lit(h))
+        seen = rounds.put("seen", seen.unionByName(step).groupBy("osmid").agg(F.min("hop").alias("hop")))
     return seen
 
 

@@ -34,7 +34,7 @@ def _(t):
 
 def matched(t):
     c, r = t.commuters(), t.routes()
-    prefs, ranks, cap = matching.commuter_ranking(c, r), matching.segment_ranking(c, r), matching.quotas(r, F.col("dose"), 40.0)
+    prefs, ranks, cap = matching.commuter_ranking(c, r), matching.commuter_order(c), matching.quotas(r, F.col("dose"), 40.0)
     return matching.match(prefs, ranks, cap), prefs, ranks, cap
 
 
@@ -136,7 +136,7 @@ def _(t):
     dose = routing.path_sums(routing.shortest(asked, e), e, "request_id", {"dose": "w"})
     r = Rounds(t.spark).put("routes", asked.join(dose, "request_id").select("cohort", F.col("request_id").alias("route_id"), "dose", (500 + F.col("dose") * 100).alias("distance_m")))
     c = t.commuters().join(r.select("cohort").distinct(), "cohort", "left_semi")
-    prefs, ranks, cap = matching.commuter_ranking(c, r), matching.segment_ranking(c, r), matching.quotas(r, F.col("dose"), 40.0)
+    prefs, ranks, cap = matching.commuter_ranking(c, r), matching.commuter_order(c), matching.quotas(r, F.col("dose"), 40.0)
     m = matching.fallback(matching.match(prefs, ranks, cap), r)
     cost = r.select("cohort", F.col("route_id").alias("route"), *r6("dose", "distance_m"))
     return m.join(cost, ["cohort", "route"]).join(prefs, ["cohort", "commuter", "route"]).select("cohort", "commuter", "route", "dose", "distance_m", "pref_rank")

@@ -166,3 +166,12 @@ def _(t):
 def _(t):
     r = G.ranking(G.scores(predictions(t)))
     return r.select("method", F.round("avg_composite", 5).alias("avg_composite"), *r6("avg_coverage", "avg_nmae"), F.round("avg_smape", 5).alias("avg_smape"), "pollutants")
+
+
+@query("t1_score_report", "hourly station_meta", "SELECT row_number() OVER (ORDER BY pollutant, normalized_mae, smape_pct, coverage DESC, method) AS place, pollutant, method FROM sc", BACKTEST)
+def _(t):
+    """The report's order; a row a pollutant and method."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.orderBy("pollutant", "normalized_mae", "smape_pct", F.desc("coverage"), "method"))
+    return G.scores(predictions(t)).select(place.alias("place"), "pollutant", "method")

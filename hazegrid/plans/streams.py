@@ -127,3 +127,34 @@ def _(t):
     at = scratch(t)
     R.load_or_build(t.spark, at, build)
     return R.load_or_build(t.spark, at, build).where("pollutant = 'pm25'").groupBy("pollutant").agg(F.count("*").alias("rows"))
+
+
+@query("io2_folder_read", "readings", "SELECT parameter, time, round(value, 6) AS value FROM readings")
+def _(t):
+    at, r = scratch(t), t.readings().select(F.col("time").alias("timestamp"), "parameter", "value")
+    r.write.parquet(at)
+    r.agg(F.count("*").alias("rows")).write.parquet(f"{at}-meta")
+    # the writer names its files itself, so the summary is moved beside the others under its own name
+    fs, paths = files.file_system(t.spark, at)
+    part = next(p for p in files.listed(t.spark, f"{at}-meta") if p.endswith(".parquet"))
+    fs.rename(paths(part), paths(f"{at}/meta.parquet"))
+    return files.read_folder(t.spark, at).select("parameter", "time", *r6("value"))
+
+
+@query("io8_csv_metrics", "hourly", "SELECT parameter, count(*) AS n, round(avg(value), 4) AS mean FROM hourly GROUP BY 1")
+def _(t):
+    at = scratch(t)
+    files.write_csv(G.hourly_mean(t.readings()).groupBy("parameter").agg(F.count("*").alias("n"), F.avg("value").alias("mean")), at)
+    return t.spark.read.schema("parameter STRING, n LONG, mean DOUBLE").csv(at, header=True).select("parameter", "n", F.round("mean", 4).alias("mean"))
+
+
+@query("s3_periodic_refresh", "payloads", "SELECT stream, arg_max(payload, (ts, event_id)) AS payload FROM payloads GROUP BY 1")
+def _(t):
+    at, p = scratch(t), t.payloads()
+    p.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{at}/in")
+    q = streams.refresh(streams.read_payloads(t.spark, f"{at}/in", 1 << 30), lambda b, e: b.select("stream", "payload").write.mode("overwrite").parquet(f"{at}/out-{e}"), f"{at}/check", "1 seconds")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return t.spark.read.schema("stream STRING, payload STRING").parquet(f"{at}/out-0")

@@ -35,3 +35,15 @@ def write_parquet(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
+
+
+def file_system(spark: SparkSession, at: str):
+    """Hadoop's file system of a path, and its constructor of paths."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def listed(spark: SparkSession, at: str) -> list[str]:
+    """Paths of the files in a folder."""
+    fs, path = file_system(spark, at)
+    return [x.getPath().toString() for x in fs.listStatus(path(at))]

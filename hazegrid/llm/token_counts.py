@@ -5,7 +5,8 @@ piece, by (rank, place). The lowest pair is popped, merged, and its new neighbou
 the initial symbols minus the merges; no ids are made. Characters that are no piece count as their UTF-8 bytes.
 
 A null text is an empty one: 0 tokens, 0 bytes. Equal ranks merge from the left. Repeated rows give repeated counts, an
-empty table an empty result, and other columns are ignored.
+empty table an empty result, and other columns are ignored, whatever their names. Texts of any length are counted whole, one
+stretch between spaces at a time; a stretch takes some 200 bytes a character while it is merged.
 """
 
 from __future__ import annotations
@@ -68,6 +69,8 @@ class Counter(dict):
         n = m.normalizer_spec
         if n.precompiled_charsmap or n.remove_extra_whitespaces or not n.escape_whitespaces:
             raise ValueError("only models with identity normalisation are counted")
+        if not m.trainer_spec.byte_fallback or any(p.type == pb.ModelProto.SentencePiece.USER_DEFINED for p in m.pieces):
+            raise ValueError("only models that fall back to bytes and have no user-defined pieces are counted")
         self.older: dict[str, int] = {}
         self.prefix = SPACE if n.add_dummy_prefix else ""
         self.rank = {p.piece: -p.score for p in m.pieces if p.type == pb.ModelProto.SentencePiece.NORMAL}

@@ -13,6 +13,7 @@ import sentencepiece
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from hazegrid.llm import byte_bpe, langid, line_dedup, mixing, quality, simhash, token_counts, warc, words
 from hazegrid.llm.components import components
@@ -43,6 +44,30 @@ def test_token_counts_equal_the_library(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 50)
 
 
+def test_very_long_texts(spark):
+    """20 MB in one row, with spaces and without, through every text operator."""
+    texts = ["lorem ipsum dolor " * 1_200_000, "x" * 400_000 + "é" * 200_000, "short"]
+    d = docs(spark, texts)
+    s = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(d, PIECES).collect()}
+    assert got == {i: len(s.encode(t)) for i, t in enumerate(texts)}
+    back = {r.doc_id: r.decoded_sha256 for r in byte_bpe.encode_documents(d, RANKS, public_tokenizers.PATTERN).collect()}
+    assert back == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(d).collect()}.keys() == {0, 1, 2}
+    assert simhash.keep_one(d).count() == 3 and mixing.mix(d).count() == 3
+    assert {r.lang_pred for r in langid.identify(d, langid.train(d)).collect()} <= {"en", "fr"}
+    assert quality.score(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality"))).count() == 3
+    assert {(r.id, r.line) for r in line_dedup.similar_lines(d, min_words=1).collect()} == set()
+
+
+def test_models_that_are_not_counted():
+    m = sentencepiece_model_pb2.ModelProto()
+    m.ParseFromString(open(PIECES, "rb").read())
+    m.trainer_spec.byte_fallback = False
+    with pytest.raises(ValueError):
+        token_counts.Counter(m.SerializeToString())
+
+
 def test_byte_bpe_equals_the_library_and_decodes(spark):
     texts = ODD + random_texts(2)
     t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(RANKS), special_tokens={})

@@ -38,9 +38,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of whole texts that go to a Python worker at a time; Spark's own 10,000 may be a hundred megabytes on either side.
+BATCH_ROWS = 2000
+
+
 def with_path(df: DataFrame) -> DataFrame:
-    """df, whose workers will find this package where the driver found it, installed or not."""
-    df.sparkSession.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+    """df, whose workers will find this package where the driver found it, installed or not, and get small batches."""
+    spark = df.sparkSession
+    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     return df
 
 

@@ -227,8 +227,9 @@ def _sets(plain: DataFrame, words: int) -> DataFrame:
     """(id, a: key of the set, n, fp), written once."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(x.as_py(), words) for x in b.column(1)]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_fingerprint(s) for s in sets], pa.binary())], ["id", "a", "n", "fp"])
+        rows = [(_set_key(s), len(s), set_fingerprint(s)) for s in (shingles(x.as_py(), words) for x in b.column(1))]
+        a, n, fp = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.binary())], ["id", "a", "n", "fp"])
 
     spark = plain.sparkSession
     at = f"{shared_dir(spark)}/shingles-{uuid.uuid4().hex}"

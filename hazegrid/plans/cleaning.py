@@ -116,7 +116,7 @@ def _(t):
     return quality.null_counts(t.air_hourly().select("time", F.col("nitrogen_dioxide").alias("no2"), "pm10"))
 
 
-@query("a15_null_counts_by_file")
+@query("a15_null_counts_by_file", "", "SELECT 'events.parquet' AS file, count(*) AS rows, " + ", ".join(f"count(*) - count({c}) AS null_{c}" for c in ("event_id", "ts", "user_id", "event_type", "value", "props")) + " FROM events")
 def _(t):
     e = t.raw("events").withColumn("file", F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)$", 1))
     return quality.null_counts(e, ["file"])
@@ -142,7 +142,7 @@ def _(t):
     return quality.contiguity(G.hourly_mean(t.readings()), ["station_id"], "time")
 
 
-@query("m23_time_audit")
+@query("m23_time_audit", "", "SELECT 'ts' AS column, 'timestamp_ntz' AS type, count(*) AS rows, CAST(count(ts) AS DOUBLE) / count(*) AS parsed FROM events UNION ALL SELECT 'ts_text_date', 'string', count(*), CAST(count(try_cast(CAST(ts AS VARCHAR) AS TIMESTAMP)) AS DOUBLE) / count(*) FROM events")
 def _(t):
     e = t.raw("events")
     return quality.time_audit(e.select("*", F.col("ts").cast("string").alias("ts_text_date")))

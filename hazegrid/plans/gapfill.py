@@ -118,7 +118,17 @@ def _(t):
     return G.idw(o, o, G.pair_distances(t.station_meta()), 1).select("parameter", "station_id", "time", *r6("idw"), "neighbours")
 
 
-@query("c1_cascade_with_idw")
+#: The cascade with a limit of 3 rows, and with stations that at least two others surround where that leaves a hole.
+WITH_IDW = IDW_TABLES | {
+    "lin3": CELLS["lin"].replace("<= 24", "<= 3"),
+    "hole": "SELECT l.parameter, l.station_id, l.time, sum(o.value / (d * d + 1)) / sum(1 / (d * d + 1)) AS idw FROM lin3 l JOIN obs o ON o.parameter = l.parameter AND o.time = l.time AND o.station_id <> l.station_id JOIN pd ON a = l.station_id AND b = o.station_id WHERE l.lin IS NULL AND o.value IS NOT NULL GROUP BY ALL HAVING count(*) >= 2",
+    "far": "SELECT lin3.*, idw, coalesce(lin, idw) AS so_far FROM lin3 LEFT JOIN hole USING (parameter, station_id, time)",
+    "cl": "SELECT parameter, station_id, count(so_far) AS any_so_far, count(value) AS any_value FROM far GROUP BY ALL",
+    "mt": "SELECT far.parameter, CASE WHEN value IS NOT NULL THEN 'observed' WHEN lin IS NOT NULL THEN 'temporal_linear' WHEN idw IS NOT NULL THEN 'spatial_idw' WHEN any_so_far > 0 THEN 'temporal_climatology' WHEN any_value > 0 THEN 'station_median' END AS impute_method, value IS NULL AS is_imputed FROM far JOIN cl USING (parameter, station_id)",
+}
+
+
+@query("c1_cascade_with_idw", "hourly station_meta", f"SELECT parameter, impute_method, {TIER} AS impute_tier, is_imputed, count(*) AS rows FROM mt GROUP BY ALL", WITH_IDW)
 def _(t):
     return G.summary(G.cascade(G.hourly_mean(t.readings()), t.station_meta(), policy(t), use_idw=True, limit=3))
 

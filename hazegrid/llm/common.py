@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def drop_table(spark: SparkSession, at: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: later reads neither recompute df nor depend on one executor."""
     shared_dir(df.sparkSession)

@@ -398,17 +398,17 @@ def _verified(pairs: DataFrame, plain: DataFrame, threshold: float) -> DataFrame
     shared = plain.sparkSession.sparkContext.broadcast(bits_of(used, bits, lambda b: _place(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)))
 
     def texts(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, out_i, out_l, out_t = b.column(0).to_numpy(), [], [], []
-        for i, x in enumerate(b.column(1)):
-            data = x.as_py()
-            n = data.count("\n") + 1
-            hit = np.flatnonzero(has(shared.value, _place(np.full(n, ids[i]), np.arange(n), bits)))
-            lines = data.split("\n") if len(hit) else []
-            for k in hit.tolist():
-                out_i.append(int(ids[i]))
-                out_l.append(k)
-                out_t.append(b" ".join(sorted(set(lower_ascii(lines[k]).split()))))
-        return pa.RecordBatch.from_arrays([pa.array(out_i, pa.int64()), pa.array(out_l, pa.int64()), pa.array(out_t, pa.binary())], ["id", "line", "t"])
+        ids, all_texts, out = b.column(0).to_numpy(), b.column(1).to_pylist(), []
+        n = np.fromiter((x.count("\n") + 1 for x in all_texts), np.int64, len(all_texts))
+        doc = np.repeat(np.arange(len(n)), n)
+        line = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+        hit = np.flatnonzero(has(shared.value, _place(ids[doc], line, bits)))
+        now, lines = -1, []
+        for i, k in zip(doc[hit].tolist(), line[hit].tolist()):
+            if i != now:
+                now, lines = i, all_texts[i].split("\n")
+            out.append(b" ".join(sorted(set(lower_ascii(lines[k]).split()))))
+        return pa.RecordBatch.from_arrays([pa.array(ids[doc[hit]], pa.int64()), pa.array(line[hit], pa.int64()), pa.array(out, pa.binary())], ["id", "line", "t"])
 
     def check(b: pa.RecordBatch) -> pa.RecordBatch:
         keep = []

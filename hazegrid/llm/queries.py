@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jpeg, langid, line_dedup, mih, mixing, quality, simhash, token_counts, warc
+from . import byte_bpe, jpeg, langid, line_dedup, mih, mixing, phrases, quality, simhash, token_counts, turns, url_rules, warc
 from .common import table
 
 
@@ -57,6 +57,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+SITE_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: Hosts and words that spam pages carry, as patterns.
+PATTERNS = [("^casino^", "block"), ("^cheap^pills^", "block"), ("^spam^farm^", "block"), ("^viagra^", "block")]
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(SITE_RULES + PATTERNS, "rule string, action string")
+    out = url_rules.judge(table(spark, sf_dir, "pages"), rules)
+    return out.select("page_id", "host", "path", F.when(F.col("site"), F.col("rule")).alias("rule"), "verdict", F.when(~F.col("site"), F.col("rule")).alias("pattern"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.digests(turns.segments(turns.damaged(table(spark, sf_dir, "conversations")), copies_col="copies"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_multi_index": op1_multi_index,
     "op2_line_dedup": op2_line_dedup,
@@ -68,10 +87,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_warc": op9_warc,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_url_rules": op11_url_rules,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.oracle(0.8, 1),
     "op6_mixing": mixing.oracle(0.8, 12, 11),
     "op9_warc": warc.oracle(),
+    "op11_url_rules": url_rules.oracle(SITE_RULES + PATTERNS),
+    "op12_turn_repair": turns.oracle(),
+    "op13_collocations": phrases.oracle(100, 5, 2000),
 }

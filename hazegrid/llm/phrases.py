@@ -164,33 +164,26 @@ class CountTransducer:
 # ---- text to hashed runs of words --------------------------------------------------------------------------------------------
 
 
+def _words_in(data: bytes) -> int:
+    return int(np.count_nonzero(np.diff(np.concatenate(([True], _CLASS[np.frombuffer(data, np.uint8)] > 0)).astype(np.int8)) == -1))
+
+
 def _pieces(data: bytes) -> Iterator[tuple[bytes, int]]:
-    """(part of a text, words at its start that the part before has had); parts end at separators where they can."""
-    at, skip = 0, 0
-    while len(data) - at > BUFFER:
-        end = max(data.rfind(c, at, at + BUFFER) for c in _BREAKS)
-        if end > at:
-            yield data[at : end + 1], skip
-            at, skip = end + 1, 0
-            continue
-        end = max(data.rfind(c, at, at + BUFFER) for c in _GAPS)
-        here = data[at:end] if end > at else b""
-        if len(here.split()) <= 4:  # hardly a gap: go on to the next separator or gap
-            found = [i for c in (*_BREAKS, *_GAPS) if (i := data.find(c, at + BUFFER)) >= 0]
-            end = min(found, default=len(data))
-            here = data[at:end]
-        yield here, skip
-        words = here.split()
-        if end < len(data) and data[end : end + 1] in _GAPS:
-            kept = b" ".join(words[-4:])
-            back = end
-            for w in reversed(words[-4:]):
-                back = data.rfind(w, at, back)
-            at, skip = (end, 0) if len(kept) > BUFFER // 2 and back <= at else (back, len(words[-4:]))
+    """(part of a text, words at its start that the part before has had); parts end at separators where they can, else between words."""
+    at = back = skip = 0
+    while at < len(data):
+        to = at + BUFFER
+        if to < len(data):
+            end = max(data.rfind(c, at, to) for c in _BREAKS) + 1 or max(data.rfind(c, at + 1, to) for c in _GAPS)
+            to = end if end > at else min((i for c in (*_BREAKS, *_GAPS) if (i := data.find(c, to)) >= 0), default=len(data))
+        yield data[back:to], skip
+        at = to
+        if data[to - 1 : to] in _BREAKS:
+            back, skip = to, 0
         else:
-            at, skip = end, 0
-    if at < len(data):
-        yield data[at:], skip
+            before = data[back:to].rsplit(None, 4)
+            back += len(before[0]) if len(before) == 5 else 0
+            skip = _words_in(data[back:to])
 
 
 def _chunks(b: pa.RecordBatch) -> Iterator[tuple[str, bytes, int]]:
@@ -492,10 +485,11 @@ w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
 g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) AS g FROM w, range(1, {longest + 1}) ks(k) WHERE len(ws) >= k),
 f AS MATERIALIZED (SELECT lang, k, array_to_string(g, ' ') AS phrase, g, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {least}),
 n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
-c AS (SELECT x.lang, x.phrase, x.a, y.a AS l, z.a AS r, n.n, (1000::HUGEINT * x.a * n.n) // (y.a::HUGEINT * z.a) AS score, j.j AS cut
-  FROM f x JOIN n USING (lang), range(1, {longest}) j(j), f y, f z
-  WHERE j.j < x.k AND y.lang = x.lang AND y.phrase = array_to_string(x.g[1:j.j], ' ') AND z.lang = x.lang AND z.phrase = array_to_string(x.g[j.j + 1:], ' ')),
+x AS (SELECT lang, k, phrase, a, j AS cut, array_to_string(g[1:j], ' ') AS p1, array_to_string(g[j + 1:], ' ') AS p2 FROM f, range(1, {longest}) j(j) WHERE j < k),
+c AS (SELECT x.lang, x.phrase, x.a, y.a AS l, z.a AS r, n.n, (1000::HUGEINT * x.a * n.n) // (y.a::HUGEINT * z.a) AS score, cut
+  FROM x JOIN n ON n.lang = x.lang JOIN f y ON y.lang = x.lang AND y.phrase = x.p1 JOIN f z ON z.lang = x.lang AND z.phrase = x.p2),
 s AS (SELECT lang, phrase, a, n, arg_min({{'l': l, 'r': r, 'score': score}}, {{'score': score, 'cut': cut}}) AS b FROM c GROUP BY lang, phrase, a, n),
-o AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lang = s.lang AND f.a >= s.a AND len(f.phrase) > len(s.phrase) AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' '))),
+i AS (SELECT DISTINCT lang, a, array_to_string(g[b:b + m - 1], ' ') AS phrase FROM f, range(2, {longest}) ms(m), range(1, {longest}) bs(b) WHERE m < k AND b + m - 1 <= k),
+o AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = s.lang AND i.phrase = s.phrase AND i.a = s.a)),
 q AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY (b).score DESC, a DESC, phrase) AS rank, phrase, a, (b).l AS l, (b).r AS r, n, (b).score::BIGINT AS score FROM o)
 SELECT * FROM q WHERE rank <= {top}"""

@@ -55,7 +55,7 @@ def incoming_mean(state: DataFrame, degree: DataFrame, keys: list[str]) -> DataF
     return m.join(degree, "v").select(*keys, F.col("v").alias("u"), (F.col("_m") / F.greatest(F.lit(1), F.col("in_degree"))).alias("upstream"))
 
 
-def propagate(state: DataFrame, edges: DataFrame, wind: DataFrame, steps: int = 2, *, keys: list[str] | None = None, sigma: float = 35.0, cone: float = 75.0, alpha: float = 0.35, damping: float = 0.6) -> DataFrame:
+def propagate(state: DataFrame, edges: DataFrame, wind: DataFrame, steps: int = 2, *, keys: list[str] | None = None, sigma: float = 35.0, cone: float = 75.0, alpha: float = 0.35, damping: float = 0.6, rounds: Rounds | None = None) -> DataFrame:
     """State (keys, u, v, s) after wind-directed message passing along edges (u, v, length, bearing_deg, building_density).
 
     wind: keys with wind_speed and wind_dir. Each step aggregates the incoming edges to one row a node, joins it on u and
@@ -73,7 +73,7 @@ def propagate(state: DataFrame, edges: DataFrame, wind: DataFrame, steps: int =
     sy, sz = physics.sigmas(F.col("length"))
     ew = physics.street_wind(F.greatest(F.lit(0.2), F.col("wind_speed")), F.col("density"))
     d = d.select(*keys, "u", "v", "s", "density", physics.diffusion_weight(bearing, wd, None, sigma, cone).alias("dw"), ew.alias("ew"), physics.plume(F.lit(1.0), F.abs(F.sin(F.radians(delta)) * F.col("length")), ew, sy, sz).alias("unit_plume"))
-    rounds = Rounds(state.sparkSession)
+    rounds = rounds or Rounds(state.sparkSession)
     for _ in range(max(1, steps)):
         d = rounds.put("state", d)
         up = incoming_mean(d.select(*keys, "v", "s"), degree, keys)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from hazegrid.functions.geo import haversine_m
 from hazegrid.functions.timeutil import floor_hour
 from hazegrid.operators import ratios as R
-from hazegrid.operators.series import fill_both, interpolate
+from hazegrid.operators.scratch import shared_checkpoint
+from hazegrid.operators.series import fill_both, interpolate, interpolate_all
 
 
 def hourly_prefixed(df: DataFrame, prefix: str, time: str = "time") -> DataFrame:
@@ -25,20 +26,35 @@ def enrich(stations: DataFrame, node_map: DataFrame, weather: DataFrame, air: Da
     return j.join(weather, "timestamp", how).join(air, "timestamp", how)
 
 
-def build(hourly: DataFrame, node_map: DataFrame, weather: DataFrame, air: DataFrame, exact: bool = True) -> DataFrame:
-    """Master table: pivoted and ratio-imputed station hours with node, weather and city columns, filled within stations and then by column medians (0 if none)."""
+def joined(hourly: DataFrame, node_map: DataFrame, weather: DataFrame, air: DataFrame, ratios: DataFrame | None = None) -> DataFrame:
+    """Pivoted and ratio-imputed station hours, interpolated within stations, with node, weather and city columns."""
     wide = R.pivot_hourly(hourly)
-    wide = R.impute(wide, R.ratio_table(wide))
+    wide = R.impute(wide, R.ratio_table(wide) if ratios is None else ratios)
     pollutants = [c for c in wide.columns if c not in ("station_id", "time")]
     s = wide.select(F.col("time").alias("timestamp"), "station_id", *[F.col(p).alias(f"station_{p}") for p in pollutants])
-    j = enrich(s, node_map, hourly_prefixed(weather, "weather_"), hourly_prefixed(air, "city_"))
-    cols = [f"station_{p}" for p in pollutants]
-    for c in cols:
-        j = interpolate(j, ["station_id"], "timestamp", c, c, limit=None, by_time=False)
-    rest = [c for c in j.columns if c.startswith(("station_", "weather_", "city_")) and c not in ("station_id", "station_name")]
+    s = interpolate_all(s, ["station_id"], "timestamp", {f"station_{p}": f"station_{p}" for p in pollutants})
+    return enrich(s, node_map, hourly_prefixed(weather, "weather_"), hourly_prefixed(air, "city_"))
+
+
+def _numbers(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(("station_", "weather_", "city_")) and c not in ("station_id", "station_name")]
+
+
+def medians(rows: DataFrame, exact: bool = True) -> DataFrame:
+    """One row: the median of each number column, 0 where it has no value."""
     middle = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
-    med = j.agg(*[F.coalesce(middle(c), F.lit(0.0)).alias(f"_m_{c}") for c in rest])
-    return j.crossJoin(F.broadcast(med)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in rest}).drop(*[f"_m_{c}" for c in rest])
+    return rows.agg(*[F.coalesce(middle(c), F.lit(0.0)).alias(f"_m_{c}") for c in _numbers(rows)])
+
+
+def filled(rows: DataFrame, medians: DataFrame) -> DataFrame:
+    rest = _numbers(rows)
+    return rows.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in rest}).drop(*medians.columns)
+
+
+def build(hourly: DataFrame, node_map: DataFrame, weather: DataFrame, air: DataFrame, exact: bool = True) -> DataFrame:
+    """Master table: pivoted and ratio-imputed station hours with node, weather and city columns, filled within stations and then by column medians (0 if none)."""
+    rows = shared_checkpoint(joined(hourly, node_map, weather, air))  # read for the medians and for the rows
+    return filled(rows, medians(rows, exact))
 
 
 def dedupe(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -27,6 +27,12 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_table(spark: SparkSession, at: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Rounds:
     """Tables of a loop's rounds, written as Parquet and read back, so that plans and size estimates start afresh each round.
 
@@ -41,9 +47,9 @@ class Rounds:
         df.write.parquet(path)
         mine.append(path)
         if len(mine) > 2:
-            self._delete(mine[-3])
+            drop_table(self.spark, mine[-3])
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _delete(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    def close(self) -> None:
+        """Deletes all tables; what was computed from them must be written by then."""
+        drop_table(self.spark, self.at)

@@ -32,6 +32,20 @@ def interpolate(df: DataFrame, keys: list[str], time: str, value: str, out: str,
     return d.withColumn(out, filled).drop("_rn", "_p", "_n")
 
 
+def interpolate_all(df: DataFrame, keys: list[str], time: str, values: dict[str, str]) -> DataFrame:
+    """Columns (name: result) interpolated by row position in one pass each way, ends filled flat."""
+    d, back, ahead = _around(df, keys, time)
+    known = {v: F.when(F.col(v).isNotNull(), F.struct(F.col(v).cast("double").alias("v"), F.col("_rn").alias("rn"))) for v in values}
+    d = d.withColumns({f"_p_{v}": F.last(k, True).over(back) for v, k in known.items()}).withColumns({f"_n_{v}": F.last(k, True).over(ahead) for v, k in known.items()})
+
+    def filled(v: str) -> Column:
+        p, n = F.col(f"_p_{v}"), F.col(f"_n_{v}")
+        line = p["v"] + (n["v"] - p["v"]) * (F.col("_rn") - p["rn"]) / (n["rn"] - p["rn"])
+        return F.when(F.col(v).isNotNull(), F.col(v)).when(p.isNotNull() & n.isNotNull(), line).otherwise(F.coalesce(p["v"], n["v"]))
+
+    return d.withColumns({out: filled(v) for v, out in values.items()}).drop("_rn", *[f"_{s}_{v}" for v in values for s in "pn"])
+
+
 def leave_one_out(df: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:
     """Time interpolation of each observed point from its neighbours on either side."""
     d, back, ahead = _around(df, keys, time, inclusive=False)

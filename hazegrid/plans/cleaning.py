@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hazegrid.functions import clean, timeutil
 from hazegrid.operators import backfill, quality, series
 from hazegrid.operators import gapfill as G
 from hazegrid.operators.ratios import modal_units
+from hazegrid.operators.scratch import shared_dir
 from hazegrid.plans.registry import query, r6
 from hazegrid.sources.adapters import POLLUTANTS
 
@@ -246,8 +249,41 @@ def _(t):
     return backfill.upsert(a, b, ["station_id", "parameter", "time"], "seq").select("event_id", "seq")
 
 
-@query("u9_upsert_events", "readings", "SELECT task_id, count(*) AS raw_api_rows, count(*) FILTER (year(time) <> 2024) AS year_filtered_out_rows, count(*) FILTER (event_id % 2 = 0) AS dedupe_overlap_rows, count(*) FILTER (event_id % 2 <> 0) AS inserted_rows, CASE WHEN count(*) FILTER (event_id % 2 <> 0) > 0 THEN 'inserted' WHEN count(*) FILTER (event_id % 2 = 0) > 0 THEN 'already_present' ELSE 'confirmed_missing' END AS status, 'rows=' || count(*) FILTER (event_id % 2 <> 0) AS message FROM fe GROUP BY 1", UPSERT)
+def fetch(t):
+    """(tasks, fetched): forty tasks of two years, some of which fail or bring nothing; every sixth row is fetched twice and every tenth by two tasks."""
+    spark, r = t.spark, t.readings()
+    k = F.col("station_id") % 40
+    rows = r.where("event_id % 3 = 0 and station_id % 40 < 36").select("event_id", "station_id", "parameter", "time", k.alias("k"), F.explode(F.when(F.col("event_id") % 6 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    both = rows.unionByName(rows.where("event_id % 10 = 0").withColumn("k", (F.col("k") + 1) % 36))
+    fetched = both.select("event_id", "station_id", "parameter", "time", F.concat(F.lit("task_"), F.col("k").cast("string")).alias("task_id"), (F.col("k") * 1000000000 + F.col("event_id") * 2 + F.col("copy") + 100000000000).alias("seq"))
+    tasks = spark.range(40).select(F.concat(F.lit("task_"), F.col("id").cast("string")).alias("task_id"), F.when(F.col("id") % 9 == 8, 2023).otherwise(2024).alias("year"), F.when(F.col("id") == 37, 500).when(F.col("id") == 38, 404).otherwise(200).alias("http_status"))
+    return tasks, fetched
+
+
+FETCH = {
+    "st": "SELECT DISTINCT station_id, parameter, time FROM readings WHERE event_id % 2 = 0",
+    "one": "SELECT *, station_id % 40 AS k, unnest(CASE WHEN event_id % 6 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM readings WHERE event_id % 3 = 0 AND station_id % 40 < 36",
+    "fe": "SELECT station_id, parameter, time, k, k * 1000000000 + event_id * 2 + copy AS seq FROM (SELECT * FROM one UNION ALL SELECT * REPLACE ((k + 1) % 36 AS k) FROM one WHERE event_id % 10 = 0)",
+    "tk": "SELECT range AS k, 'task_' || range AS task_id, CASE WHEN range % 9 = 8 THEN 2023 ELSE 2024 END AS year, CASE range WHEN 37 THEN 500 WHEN 38 THEN 404 ELSE 200 END AS http_status FROM range(40)",
+    "inside": "SELECT fe.* FROM fe JOIN tk USING (k) WHERE year(time) = year",
+    # the store as each task leaves it, from the number of its keys before and after
+    "size": "SELECT tk.k, (SELECT count(*) FROM (SELECT station_id, parameter, time FROM st UNION SELECT station_id, parameter, time FROM inside i WHERE i.k <= tk.k)) AS after, (SELECT count(*) FROM (SELECT station_id, parameter, time FROM st UNION SELECT station_id, parameter, time FROM inside i WHERE i.k < tk.k)) AS before FROM tk",
+    "cnt": "SELECT tk.k, (SELECT count(*) FROM fe WHERE fe.k = tk.k) AS raw, (SELECT count(*) FROM inside WHERE inside.k = tk.k) AS api FROM tk",
+}
+
+
+@query("u9_upsert_events", "readings", "SELECT task_id, http_status, raw AS raw_api_rows, api AS api_rows, raw - api AS year_filtered_out_rows, api - (after - before) AS dedupe_overlap_rows, after - before AS inserted_rows, CASE WHEN after > before THEN 'success' WHEN api > 0 OR http_status = 200 THEN 'confirmed_missing' ELSE 'failed' END AS status, CASE WHEN after > before THEN 'inserted_new_rows' WHEN api > 0 THEN 'not_inserted_all_rows_already_present_after_dedupe' WHEN http_status <> 200 THEN 'http_status_' || http_status WHEN raw > 0 THEN 'not_inserted_rows_outside_target_year' ELSE 'api_returned_no_rows_for_requested_window' END AS message FROM tk JOIN size USING (k) JOIN cnt USING (k)", FETCH)
 def _(t):
-    r = t.readings()
-    b = r.where("event_id % 3 = 0 and station_id % 7 <> 3").withColumn("task_id", F.concat(F.lit("task_"), (F.col("station_id") % 20).cast("string")))
-    return backfill.upsert_events(r.where("event_id % 2 = 0"), b, ["station_id", "parameter", "time"], 2024, "time")
+    tasks, fetched = fetch(t)
+    return backfill.upsert_events(t.readings().where("event_id % 2 = 0"), fetched, tasks, ["station_id", "parameter", "time"], "time", "seq")
+
+
+@query("u9_merge", "readings", "SELECT station_id, parameter, time, seq FROM (SELECT *, row_number() OVER (PARTITION BY station_id, parameter, time ORDER BY seq DESC) AS rn FROM (SELECT station_id, parameter, time, event_id AS seq FROM readings WHERE event_id % 2 = 0 UNION ALL SELECT station_id, parameter, time, seq + 100000000000 FROM fe WHERE day(time) % 3 = 1)) WHERE rn = 1", FETCH)
+def _(t):
+    """A store by day into which the fetched rows of every third day are merged."""
+    at, keys = f"{shared_dir(t.spark)}/store-{uuid.uuid4().hex}", ["station_id", "parameter", "time"]
+    r = t.readings().where("event_id % 2 = 0").select(*keys, F.col("event_id").alias("seq"))
+    with_day = lambda df: df.withColumn("day", F.to_date("time"))
+    with_day(series.keep_last(r, keys, "seq")).repartition("day").write.partitionBy("day").parquet(at)
+    backfill.merge(at, with_day(fetch(t)[1].select(*keys, "seq").where("day(time) % 3 = 1")), keys, "seq", "day")
+    return t.spark.read.parquet(at).select("station_id", "parameter", "time", "seq")

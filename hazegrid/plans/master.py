@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hazegrid.functions.timeutil import floor_hour
 from hazegrid.operators import gapfill as G
 from hazegrid.operators import master as M
 from hazegrid.operators import ratios as R
+from hazegrid.operators import sync
+from hazegrid.operators.scratch import shared_dir
 from hazegrid.plans.registry import query, r6
 from hazegrid.sources.adapters import AIR, POLLUTANTS, WEATHER
 
@@ -114,6 +118,18 @@ def _(t):
     return out.select("station_id", "timestamp", *r6("station_pm10"))
 
 
+@query("c5_incremental_stages", "hourly station_meta weather_hourly air_hourly", "SELECT station_id, timestamp, " + ", ".join(f"round({c}, 6) AS {c}" for c in COLUMNS) + " FROM master", MASTER)
+def _(t):
+    """Built up to a day, brought up to a later one, weather late, and then to the end: as if built at once."""
+    at = f"{shared_dir(t.spark)}/master-{uuid.uuid4().hex}"
+    full = (t.readings(), t.weather_hourly(), t.air_hourly())
+    sync.statistics(full[0], node_map(t), *full[1:], at)
+    for k, day in enumerate(("2024-01-12", "2024-01-22", None)):
+        cut = [d if day is None else d.where(F.col("time") < F.lit(day).cast("timestamp_ntz") - F.expr(f"INTERVAL {late} HOURS")) for d, late in zip(full, (0, 30, 6))]
+        (sync.sync if k else sync.create)(cut[0], node_map(t), *cut[1:], at)
+    return sync.read(t.spark, at).select("station_id", "timestamp", *r6(*COLUMNS))
+
+
 SPINE = {
     "obs": "SELECT station_id, date_trunc('hour', time)::TIMESTAMP AS time, avg(value) AS v, min(station_name) AS station_name FROM readings WHERE parameter = 'pm10' GROUP BY ALL",
     "hours": "SELECT unnest(generate_series((SELECT min(time) FROM obs), (SELECT max(time) FROM obs), INTERVAL 1 HOUR)) AS time",

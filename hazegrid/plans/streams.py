@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazegrid.functions.timeutil import floor_hour
 from hazegrid.operators import ratios as R
 from hazegrid.operators import gapfill as G
 from hazegrid.operators.scratch import shared_dir
+from hazegrid.plans import graphs
 from hazegrid.plans.registry import query, r6
 from hazegrid.sources import files, json_sources
-from hazegrid.streaming import streams
+from hazegrid.streaming import state, streams
 
 
 def scratch(t) -> str:
@@ -158,3 +161,46 @@ def _(t):
     finally:
         q.stop()
     return t.spark.read.schema("stream STRING, payload STRING").parquet(f"{at}/out-0")
+
+
+def by_time(t, payloads, files: int = 4) -> str:
+    """Payloads as files of consecutive times, whose names are in order: a micro-batch each."""
+    at = scratch(t)
+    p = payloads.select("event_id", "stream", F.col("ts").cast("timestamp").alias("ts"), "payload")
+    edges = p.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    step = (edges.hi - edges.lo) / files
+    for k in range(files):
+        part = p.where((F.col("ts") >= F.lit(edges.lo + k * step)) & ((F.col("ts") < F.lit(edges.lo + (k + 1) * step)) if k < files - 1 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(at)
+    return at
+
+
+@query("s2_keyed_state", "payloads", "SELECT stream, event_id FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ts DESC, event_id DESC) AS rn FROM payloads) WHERE rn <= 30")
+def _(t):
+    """Four micro-batches through list state; the last comes again, late and repeated."""
+    at = scratch(t)
+    first = by_time(t, t.payloads().unionByName(t.payloads().where("event_id % 5 = 0")))
+    s = state.newest(streams.read_payloads(t.spark, first, 1), 30)
+    q = s.writeStream.outputMode("update").foreachBatch(state.newest_into(f"{at}/kept")).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return state.read_newest(t.spark, f"{at}/kept").select("stream", "event_id")
+
+
+LIVE = graphs.FUSED | {
+    "sn": "SELECT 0 AS snapshot_id, w.wind_speed_10m AS ws, w.wind_direction_10m AS wd, coalesce(a.nitrogen_dioxide, 0) AS no2, coalesce(a.sulphur_dioxide, 0) AS so2, coalesce(a.pm2_5, 0) AS pm FROM (SELECT * FROM weather_hourly ORDER BY time DESC LIMIT 1) w, (SELECT * FROM air_hourly ORDER BY time DESC LIMIT 1) a",
+    "st": f"SELECT u, v, s, CASE WHEN d <= 75 THEN exp(-(d * d) / 2450) ELSE 0 END AS dw, 1 / (2 * pi() * ew * sy * sz) * exp(-pow(sin(radians(d)) * length, 2) / (2 * sy * sy)) * exp(-4 / (2 * sz * sz)) AS pl, 1 + 0.6::DOUBLE * bd + 0.15::DOUBLE * greatest(0, 1 - least(1, ew / 3)) AS cf FROM (SELECT u, v, s, length, bd, {graphs.ANGLE.format(a='bearing', b='wdir')} AS d, greatest(2, 0.2::DOUBLE * greatest(1, length)) AS sy, greatest(1, 0.06::DOUBLE * greatest(1, length)) AS sz, greatest(0.2, wsp * (1 - 0.55::DOUBLE * bd)) AS ew FROM (SELECT se.u, se.v, length, bd, bearing, toxicity AS s, greatest(0.2, ws) AS wsp, ((degrees(atan2(ws * cos(radians(wd)), ws * sin(radians(wd)))) % 360) + 360) % 360 AS wdir FROM se JOIN fused USING (u, v), sn))",
+} | graphs._step("st", "q1") | graphs._step("q1", "q2")
+
+
+@query("s3_road_state", "road_nodes road_edges weather_hourly air_hourly", "SELECT u, v, " + ", ".join(f"round({c} + 1e-7, 4) AS {c}" for c in ("no2", "so2", "pm2_5", "toxicity")) + ", round(q2.s + 1e-7, 4) AS spread FROM fused JOIN q2 USING (u, v)", LIVE)
+def _(t):
+    """Hourly weather and city air and one sensor as payloads, four micro-batches; the road state after the last."""
+    at = scratch(t)
+    sensor = t.weather_hourly().select("time", F.lit("11.5").alias("no2"), F.lit("n/a").alias("so2"), F.lit("30").alias("pm2_5"), F.lit("12.95").alias("lat"), F.lit("77.60").alias("lon"))
+    topics = [streams.publish(df, topic, cols, "time") for df, topic, cols in ((t.weather_hourly(), "weather:live", ["wind_speed_10m", "wind_direction_10m"]), (t.air_hourly(), "airquality:live", ["nitrogen_dioxide", "sulphur_dioxide", "pm2_5"]), (sensor, "sensors:live", ["no2", "so2", "pm2_5", "lat", "lon"]))]
+    payloads = reduce(DataFrame.unionByName, topics).withColumn("event_id", F.unix_seconds("ts"))
+    job = state.refresh_roads(t.road_edges(), t.road_nodes(), graphs.simple(t), f"{at}/state")
+    s = streams.read_payloads(t.spark, by_time(t, payloads), 1)
+    q = s.writeStream.foreachBatch(job).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return state.read_roads(t.spark, f"{at}/state").select("u", "v", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("no2", "so2", "pm2_5", "toxicity", "spread")])

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid.functions.clean import road_class
 from hazegrid.functions.geo import bearing_deg
-from hazegrid.operators.scratch import Rounds, shared_checkpoint
+from hazegrid.operators.scratch import Rounds, with_package
 
 
 def index_ids(df: DataFrame, key: str, out: str, block: int = 1 << 16) -> DataFrame:
@@ -82,28 +84,92 @@ def feature_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     return df.groupBy(*keys).agg(*[F.median(c).alias(c) for c in columns])
 
 
-def nearest(points: DataFrame, targets: DataFrame, cell: float, rounds: int = 40) -> DataFrame:
+#: Targets that an index of `nearest` is built from at most (6 MB), and those of one of its leaves.
+SAMPLE_ROWS, LEAF_ROWS, LEAF_SAMPLE = 1 << 18, 16, 8
+
+
+def split_plane(x: np.ndarray, y: np.ndarray, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(splits by level, places of some targets of each leaf) of a plane cut in halves of equal count, by x and y in turn; len(x) is a multiple of 2**depth."""
+    order, splits = np.arange(len(x)), []
+    for level in range(depth):
+        c = (x, y)[level % 2]
+        order = order[np.lexsort((c[order], np.arange(len(x)) // (len(x) >> level)))]
+        parts = order.reshape(1 << level, -1)
+        splits.append(c[parts[:, parts.shape[1] // 2 - 1]])
+    leaves = order.reshape(1 << depth, -1)
+    return splits, leaves[:, np.linspace(0, leaves.shape[1] - 1, min(LEAF_SAMPLE, leaves.shape[1])).astype(int)]
+
+
+def leaf_of(splits: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    node = np.zeros(len(x), np.int64)
+    for level, s in enumerate(splits):
+        node = 2 * node + ((x, y)[level % 2] > s[node])
+    return node
+
+
+def leaves_within(splits: list[np.ndarray], x: np.ndarray, y: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, leaf) of all leaves that the square of half-side `reach` around each point touches."""
+    who, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for level, s in enumerate(splits):
+        c, r, at = (x, y)[level % 2][who], reach[who], s[node]
+        low, high = c - r <= at, c + r > at
+        who, node = np.concatenate((who[low], who[high])), np.concatenate((2 * node[low], 2 * node[high] + 1))
+    return who, node
+
+
+def _pairs_within(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, tid, d): each point with the targets of all leaves that may hold its nearest. Points and targets have finite coordinates."""
+    spark = with_package(points.sparkSession)
+    t = targets.groupBy("x", "y").agg(F.min("tid").alias("tid"))  # of targets in one place the smallest counts
+    n = t.count()
+    if not n:
+        return points.select("id", F.lit(None).cast(targets.schema["tid"].dataType).alias("tid"), F.lit(None).cast("double").alias("d")).where(F.lit(False))
+    picked = t.where(F.pmod(F.xxhash64("x", "y"), F.lit(n)) < SAMPLE_ROWS).select("x", "y").limit(2 * SAMPLE_ROWS).toArrow()
+    sx, sy = (picked[c].to_numpy() for c in ("x", "y"))
+    depth = max(0, min(int(n // LEAF_ROWS).bit_length() - 1, int(len(sx) // LEAF_SAMPLE).bit_length() - 1))
+    whole = len(sx) >> depth << depth
+    splits, some = split_plane(sx[:whole], sy[:whole], depth)
+    index = spark.sparkContext.broadcast((splits, sx[some], sy[some]))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splits = index.value[0]
+        for b in batches:
+            leaf = leaf_of(splits, b.column("x").to_numpy(), b.column("y").to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], [*b.schema.names, "leaf"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splits, sx, sy = index.value
+        for b in batches:
+            x, y = b.column("x").to_numpy(), b.column("y").to_numpy()
+            own = leaf_of(splits, x, y)
+            # a few targets near by tell how far the nearest is at most
+            reach = np.sqrt(((sx[own] - x[:, None]) ** 2 + (sy[own] - y[:, None]) ** 2).min(axis=1)) * (1 + 1e-9) + 1e-9
+            who, leaf = leaves_within(splits, x, y, reach)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(who)) for c in b.columns), pa.array(leaf)], [*b.schema.names, "leaf"])
+
+    kinds = lambda df: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    t = t.select("tid", "x", "y")
+    held = t.mapInArrow(assign, f"{kinds(t)}, leaf long").select("leaf", "tid", F.col("x").alias("tx"), F.col("y").alias("ty"))
+    asked = points.mapInArrow(spread, f"{kinds(points)}, leaf long")
+    return asked.join(held, "leaf").select("id", "tid", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y")).alias("d"))
+
+
+def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """Each point (id, x, y) with its nearest target (tid, x, y) and metres, ties to the smaller tid; both sides may be large.
 
-    Points meet the targets of the 3 x 3 grid cells around them. A nearest found within one cell's side is final; the rest
-    meet again on a grid of twice the side, until none is left or one cell holds all. Ends with a check that all were found.
+    The plane is cut into leaves of equal target count (k-d splits of a bounded sample), so that cells are small where targets
+    are dense. A few known targets of a point's own leaf bound its distance; the point goes to all leaves within that reach and
+    meets their targets there, so pairs a point do not grow with either side (beyond some 500,000 distinct targets, whose
+    leaves are as many as the sample allows, leaves hold more). Points without finite coordinates have a null target, as all have
+    where there are no targets; such targets are left out. Rows that share an id count as one.
     """
-    t = targets.select(F.col("tid"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-    left, done = points.select("id", "x", "y"), None
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    for _ in range(rounds):
-        grid = lambda c: F.floor(F.col(c) / cell)
-        spread = left.select("*", F.explode(around).alias("n")).select("id", "x", "y", (grid("x") + F.col("n.i")).alias("cx"), (grid("y") + F.col("n.j")).alias("cy"))
-        met = spread.join(t.select("*", grid("tx").alias("cx"), grid("ty").alias("cy")), ["cx", "cy"])
-        d = F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y"))
-        best = met.groupBy("id").agg(F.min(F.struct(d.alias("d"), F.col("tid").alias("tid"))).alias("m")).select("id", F.col("m.tid").alias("tid"), F.col("m.d").alias("distance_meters")).where(F.col("distance_meters") <= cell)
-        best = shared_checkpoint(best)
-        done = best if done is None else done.unionByName(best)
-        left = shared_checkpoint(left.join(best.select("id"), "id", "left_anti"))
-        if left.isEmpty():
-            return done
-        cell *= 2
-    raise ValueError("some points have no target within reach; use a larger cell")
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    number = lambda df, k: df.select(k, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p, t = number(points, "id"), number(targets, "tid").where(fine("x") & fine("y") & F.col("tid").isNotNull())
+    met = _pairs_within(p.where(fine("x") & fine("y")), t)
+    best = F.min(F.when(F.col("d").isNotNull(), F.struct("d", "tid"))).alias("m")
+    every = p.select("id", F.lit(None).cast(t.schema["tid"].dataType).alias("tid"), F.lit(None).cast("double").alias("d"))
+    return met.unionByName(every).groupBy("id").agg(best).select("id", F.col("m.tid").alias("tid"), F.col("m.d").alias("distance_meters"))
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

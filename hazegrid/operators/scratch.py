@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def with_package(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers will find this package where the driver found it, installed or not."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return spark
+
+
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint. It keeps its plan's size estimate, so loops that join a table with itself use Rounds instead."""
     shared_dir(df.sparkSession)

@@ -164,7 +164,7 @@ def _(t):
 @query("j6_nearest_node", "road_nodes", "SELECT id, arg_min(osmid, (sqrt(pow(n.x - p.x, 2) + pow(n.y - p.y, 2)), osmid)) AS tid, round(min(sqrt(pow(n.x - p.x, 2) + pow(n.y - p.y, 2))), 6) AS distance_meters FROM (SELECT o_orderkey AS id, 769000 + o_orderkey * 331 % 32011 AS x, 1419000 + o_custkey * 577 % 36013 AS y FROM orders) p, road_nodes n GROUP BY id")
 def _(t):
     p = t.raw("orders").select(F.col("o_orderkey").alias("id"), (769000 + F.col("o_orderkey") * 331 % 32011).cast("double").alias("x"), (1419000 + F.col("o_custkey") * 577 % 36013).cast("double").alias("y"))
-    return GR.nearest(p, t.road_nodes().withColumnRenamed("osmid", "tid"), 1500.0).select("id", "tid", *r6("distance_meters"))
+    return GR.nearest(p, t.road_nodes().withColumnRenamed("osmid", "tid")).select("id", "tid", *r6("distance_meters"))
 
 
 @query("j12_sensor_mask", "road_nodes station_meta", "SELECT osmid, osmid IN (SELECT id * 3 FROM station_meta) AS train_mask FROM road_nodes")

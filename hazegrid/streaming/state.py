@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hazegrid.functions import physics
 from hazegrid.operators import diffusion
-from hazegrid.operators.scratch import Rounds, drop_table
+from hazegrid.operators.scratch import Rounds, drop_table, with_package
 from hazegrid.streaming.streams import latest
 
 KEPT = "stream STRING, ts TIMESTAMP, event_id LONG, payload STRING"
@@ -59,7 +59,7 @@ def newest(payloads: DataFrame, n: int = 30, idle: str | None = None) -> DataFra
     Each Arrow batch is cut to its own n newest a stream before the shuffle, so a hot stream sends few rows to its task.
     idle (such as "7 days") needs a watermark on ts.
     """
-    spark = payloads.sparkSession
+    spark = with_package(payloads.sparkSession)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -204,7 +204,7 @@ def test_nearest_equals_brute_force(spark):
     p, t = rng.uniform(0, 1000, (60, 2)), np.concatenate([rng.uniform(0, 200, (50, 2)), [[900, 900]]])
     a = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "id long, x double, y double")
     b = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(t)], "tid long, x double, y double")
-    got = {r.id: r.tid for r in graph.nearest(a, b, 20.0).collect()}
+    got = {r.id: r.tid for r in graph.nearest(a, b).collect()}
     want = {i: int(np.argmin(((t - x) ** 2).sum(axis=1))) for i, x in enumerate(p)}
     assert got == want
 

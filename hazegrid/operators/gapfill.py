@@ -54,6 +54,41 @@ def idw(targets: DataFrame, observed: DataFrame, distances: DataFrame, least: in
     return near.groupBy("parameter", F.col("a").alias("station_id"), "time").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias(out), F.count("*").cast("int").alias("neighbours")).where(f"neighbours >= {least}")
 
 
+def near_pairs(meta: DataFrame, reach: float) -> DataFrame:
+    """(a, b, d) metres between different stations at most `reach` apart, from grid cells: no pair of stations farther than two cells meets.
+
+    Cells are cubes of side `reach` in space, where a chord is never longer than the arc over it, so poles and the date line need no care.
+    """
+    r = 6371000.0
+    lat, lon = F.radians("lat"), F.radians("lon")
+    m = meta.where("lat is not null and lon is not null").select("id", "lat", "lon", *[F.floor(r * c / reach).cast("long").alias(n) for n, c in (("cx", F.cos(lat) * F.cos(lon)), ("cy", F.cos(lat) * F.sin(lon)), ("cz", F.sin(lat)))])
+    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    around = m
+    for c in ("cx", "cy", "cz"):
+        around = around.withColumn("_s", F.explode(steps)).withColumn(c, F.col(c) + F.col("_s")).drop("_s")
+    a, b = around.withColumnsRenamed({"id": "a", "lat": "lat_a", "lon": "lon_a"}), m.withColumnsRenamed({"id": "b", "lat": "lat_b", "lon": "lon_b"})
+    met = a.join(b, ["cx", "cy", "cz"]).where("a <> b")
+    return met.select("a", "b", haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")).alias("d")).where(F.col("d") <= reach)
+
+
+def idw_within(targets: DataFrame, observed: DataFrame, meta: DataFrame, reach: float, least: int, out: str = "idw") -> DataFrame:
+    """As `idw`, from stations at most `reach` metres away, with `dropped_share`: a bound on the share of weight of those farther away.
+
+    Targets meet the stations near theirs and then those stations' values, so rows are targets by neighbours, not by all stations.
+    A station beyond the reach weighs less than 1 / (reach^2 + 1); how many there are comes from the located stations of the hour.
+    """
+    pairs = near_pairs(meta, reach)
+    located = meta.where("lat is not null and lon is not null").select(F.col("id").alias("b"))
+    o = observed.where("value is not null").select("parameter", "time", F.col("station_id").alias("b"), F.col("value").alias("_v"))
+    there = o.join(located, "b", "left_semi").groupBy("parameter", "time").agg(F.count("*").alias("_there"))
+    w = 1 / (F.col("d") * F.col("d") + 1)
+    near = targets.select("parameter", "time", F.col("station_id").alias("a")).join(pairs, "a").join(o, ["parameter", "time", "b"])
+    found = near.groupBy("parameter", F.col("a").alias("station_id"), "time").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias(out), F.count("*").cast("int").alias("neighbours"), F.sum(w).alias("_w")).where(f"neighbours >= {least}")
+    # the target itself may be among those counted, which only widens the bound
+    far = (F.col("_there") - F.col("neighbours")) / F.lit(reach * reach + 1)
+    return found.join(there, ["parameter", "time"]).withColumn("dropped_share", far / (F.col("_w") + far)).drop("_w", "_there")
+
+
 def climatology(series: DataFrame, value: str) -> DataFrame:
     """series with `clim`: the station's median by (hour, weekday), else by hour, else over all."""
     s = series.withColumns({"_h": F.hour("time"), "_d": F.weekday("time")})
@@ -65,16 +100,17 @@ def climatology(series: DataFrame, value: str) -> DataFrame:
     return j.withColumn("clim", F.coalesce("_hd", "_hm", "_all")).drop("_h", "_d", "_hd", "_hm", "_all")
 
 
-def cascade(hourly: DataFrame, meta: DataFrame, policy: DataFrame, *, use_idw: bool = False, limit: int = 24, run_id: str = "run") -> DataFrame:
+def cascade(hourly: DataFrame, meta: DataFrame, policy: DataFrame, *, use_idw: bool = False, reach: float | None = None, limit: int = 24, run_id: str = "run") -> DataFrame:
     """The derived layer: every spine cell with value, method, confidence, uncertainty, source count, tier and gap length.
 
-    policy: (parameter, p90); pollutants without a policy are left out. Cells that nothing fills have a null value.
+    policy: (parameter, p90); pollutants without a policy are left out. reach: metres within which stations count for use_idw (None: all). Cells that nothing fills have a null value.
     """
     observed = per_station(hourly).join(F.broadcast(policy.select("parameter")), "parameter", "left_semi")  # a row a pollutant
     s = interpolate(spine(observed), SERIES, "time", "value", "lin", limit=limit)
     if use_idw:
         holes = s.where("lin is null")
-        s = s.join(idw(holes, observed, pair_distances(meta), 2), [*SERIES, "time"], "left")
+        spatial = idw(holes, observed, pair_distances(meta), 2) if reach is None else idw_within(holes, observed, meta, reach, 2).drop("dropped_share")
+        s = s.join(spatial, [*SERIES, "time"], "left")
     else:
         s = s.withColumns({"idw": F.lit(None).cast("double"), "neighbours": F.lit(None).cast("int")})
     s = climatology(s.withColumn("_so_far", F.coalesce("lin", "idw")), "_so_far")
@@ -106,6 +142,11 @@ def summary(derived: DataFrame) -> DataFrame:
     return derived.groupBy("parameter", "impute_method", "impute_tier", "is_imputed").agg(F.count("*").alias("rows"))
 
 
+def totals(derived: DataFrame, by: list[str]) -> DataFrame:
+    """Rows, imputed rows and mean confidence for each combination of `by` and all its totals, in one pass; `level` is the grouping id, 0 for single combinations."""
+    return derived.rollup(*by).agg(F.count("*").alias("rows"), F.count_if("is_imputed").alias("imputed"), F.avg("impute_confidence").alias("confidence"), F.grouping_id().alias("level"))
+
+
 def unresolved(derived: DataFrame) -> DataFrame:
     return derived.where("value is null").withColumn("missing_reason", F.lit("no_valid_imputation_source"))
 
@@ -117,8 +158,8 @@ def sample_points(observed: DataFrame, n: int, order: Column, share: Column | No
     return o.withColumn("_rn", F.row_number().over(Window.partitionBy("parameter").orderBy(order, "station_id", "time"))).where(F.col("_rn") <= n).drop("_rn")
 
 
-def backtest(observed: DataFrame, samples: DataFrame, meta: DataFrame) -> DataFrame:
-    """(pollutant, station_id, time, method, truth, pred): each sampled point predicted by each method from the others.
+def backtest(observed: DataFrame, samples: DataFrame, meta: DataFrame, reach: float | None = None) -> DataFrame:
+    """(pollutant, station_id, time, method, truth, pred): each sampled point predicted by each method from the others, spatially from stations within `reach` metres (None: all).
 
     Climatology and station medians include the point itself. A pollutant with fewer than two located stations has no rows.
     """
@@ -128,7 +169,7 @@ def backtest(observed: DataFrame, samples: DataFrame, meta: DataFrame) -> DataFr
     med = observed.groupBy(*SERIES).agg(F.median("value").alias("med"))
     keys = [*SERIES, "time"]
     p = samples.select(*keys, "value").join(s.select(*keys, "lin", "clim"), keys, "left").join(med, SERIES, "left").join(F.broadcast(enough), "parameter", "left_semi")
-    p = p.join(idw(p, observed, pair_distances(meta), 1), keys, "left")
+    p = p.join(idw(p, observed, pair_distances(meta), 1) if reach is None else idw_within(p, observed, meta, reach, 1).drop("dropped_share"), keys, "left")
     hybrid = F.when(F.col("lin").isNotNull() & F.col("idw").isNotNull(), 0.6 * F.col("lin") + 0.4 * F.col("idw")).otherwise(F.coalesce("lin", "idw"))
     preds = {"temporal_linear": F.col("lin"), "spatial_idw": F.col("idw"), "temporal_climatology": F.col("clim"), "station_median": F.col("med"), "hybrid_linear_idw": hybrid}
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), c.alias("pred")) for m, c in preds.items()]))

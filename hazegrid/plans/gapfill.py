@@ -133,6 +133,37 @@ def _(t):
     return G.summary(G.cascade(G.hourly_mean(t.readings()), t.station_meta(), policy(t), use_idw=True, limit=3))
 
 
+WITH_IDW_VALUES = WITH_IDW | {
+    "hole": WITH_IDW["hole"].replace(" AS idw FROM", " AS idw, count(*) AS n FROM"),
+    "pol": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', {v}::DOUBLE)" for p, v in P90.items()) + ") AS q(parameter, p90)",
+}
+
+
+@query("c1_idw_values", "hourly station_meta", "SELECT parameter, station_id, time, round(idw, 6) AS value, n AS sources, round(p90 * 1.15::DOUBLE, 6) AS uncertainty FROM far JOIN (SELECT parameter, station_id, time, n FROM hole) USING (parameter, station_id, time) JOIN pol USING (parameter) WHERE value IS NULL AND lin IS NULL", WITH_IDW_VALUES)
+def _(t):
+    """Cells that neighbours fill: values, source counts and uncertainty."""
+    d = G.cascade(G.hourly_mean(t.readings()), t.station_meta(), policy(t), use_idw=True, limit=3).where("impute_method = 'spatial_idw'")
+    return d.select("parameter", "station_id", "time", *r6("value"), F.col("impute_source_count").alias("sources"), F.round(F.col("impute_uncertainty_abs") + 1e-9, 6).alias("uncertainty"))
+
+
+REACH = 6000.0
+
+
+@query("j7_idw_within_reach", "hourly station_meta", f"SELECT parameter, station_id, time, round(idw, 6) AS idw, CAST(n AS INTEGER) AS neighbours, round((m - n) / {REACH * REACH + 1!r}::DOUBLE / (w + (m - n) / {REACH * REACH + 1!r}::DOUBLE), 6) AS dropped_share FROM nw JOIN (SELECT parameter, time, count(*) AS m FROM obs GROUP BY ALL) USING (parameter, time)", IDW_TABLES | {
+    "nw": f"SELECT t.parameter, t.station_id, t.time, sum(o.value / (d * d + 1)) / sum(1 / (d * d + 1)) AS idw, sum(1 / (d * d + 1)) AS w, count(*) AS n FROM obs t JOIN obs o ON o.parameter = t.parameter AND o.time = t.time AND o.station_id <> t.station_id JOIN pd ON a = t.station_id AND b = o.station_id WHERE d <= {REACH!r} GROUP BY ALL",
+})
+def _(t):
+    o = G.per_station(G.hourly_mean(t.readings()))
+    return G.idw_within(o, o, t.station_meta(), REACH, 1).select("parameter", "station_id", "time", *r6("idw"), "neighbours", *r6("dropped_share"))
+
+
+@query("a9_totals", "hourly station_meta", f"SELECT parameter, impute_method, count(*) AS rows, count(*) FILTER (is_imputed) AS imputed, CAST(grouping(parameter, impute_method) AS BIGINT) AS level FROM mt GROUP BY ROLLUP (parameter, impute_method)", WITH_IDW)
+def _(t):
+    """Rows by pollutant and method with both totals."""
+    d = G.cascade(G.hourly_mean(t.readings()), t.station_meta(), policy(t), use_idw=True, limit=3)
+    return G.totals(d, ["parameter", "impute_method"]).select("parameter", "impute_method", "rows", "imputed", F.col("level").cast("long"))
+
+
 ORDER = "(station_id * 7919 + hour(time) * 104729 + day(time) * 1299709) % 1000003"
 BACKTEST = IDW_TABLES | {
     "smp": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY parameter ORDER BY {ORDER}, station_id, time) AS rn FROM obs) WHERE rn <= 400",

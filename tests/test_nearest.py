@@ -58,3 +58,24 @@ def test_pairs_a_point_stay_bounded(spark):
             met.append(pairs / n)
     assert max(met) <= 8 * graph.LEAF_ROWS, met
     assert met[2] <= 1.5 * met[0] and met[3] <= 1.5 * met[1], met
+
+
+def test_neighbours_within_reach(spark):
+    """Pairs from cells equal all pairs within the reach, also at a pole and over the date line; the bound on dropped weight holds."""
+    from hazegrid.operators import gapfill as G
+
+    rng = np.random.default_rng(5)
+    at = [(float(a), float(b)) for a, b in zip(rng.uniform(12.9, 13.1, 40), rng.uniform(77.5, 77.7, 40))] + [(0.0, 179.99), (0.01, -179.99), (89.99, 10.0), (89.99, -170.0), (None, 1.0)]
+    meta = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(at)], "id long, lat double, lon double")
+    for reach in (700.0, 5000.0):
+        want = {(r.a, r.b): r.d for r in G.pair_distances(meta).where(F.col("d") <= reach).collect()}
+        got = {(r.a, r.b): r.d for r in G.near_pairs(meta, reach).collect()}
+        assert got == want and len(want) >= 8
+    times = "timestamp_ntz'2024-01-01 00:00:00'"
+    o = spark.range(45).selectExpr("'co' AS parameter", f"{times} AS time", "id AS station_id", "CAST(id * 7 % 13 AS DOUBLE) AS value").where("station_id % 4 <> 0")
+    exact = {r.station_id: r for r in G.idw(o, o, G.pair_distances(meta), 1).collect()}
+    near = {r.station_id: r for r in G.idw_within(o, o, meta, 5000.0, 1).collect()}
+    assert near and near.keys() <= exact.keys()
+    for i, r in near.items():
+        # with a share of the weight unknown, the mean may be off by that share of the values' range
+        assert abs(r.idw - exact[i].idw) <= r.dropped_share * 12 + 1e-9 and 0 <= r.dropped_share < 1

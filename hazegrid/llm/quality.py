@@ -4,12 +4,12 @@ A logistic model of a text's style and of its words and word pairs, hashed to `G
 own evidence. Grouped aggregation then gives each host, and each
 path within a host, a posterior mean of that evidence: a host is shrunk toward the global mean and a path toward its host,
 each by a prior strength that the method of moments takes from the spread between groups, so sparse sites stay near their
-prior. A document's own evidence is left out of its site's sums. The final log-odds are the document's own plus the log-odds
+prior. A document's own evidence is left out of its path's sums and of its host's, which are its path's prior. The final log-odds are the document's own plus the log-odds
 of its path's posterior against the global mean.
 
 The logistic model is fitted on about `fit_rows` labelled rows (a hash of the id decides which), or all if fewer; without
 labels of both kinds every document's own evidence is the prior 0.5. A null or empty text is of no quality evidence: its own
-probability is 0 and it has no share in its site. A null host or path is "(none)". Rows that repeat a label count each time, and
+probability is 0 and it has no share in its site; a path of such texts only has no means. A null host or path is "(none)". Rows that repeat a label count each time, and
 so do repeated documents. A probability equal to the threshold is kept. Texts of any length are read whole. An empty table gives
 an empty result; other columns are left out, whatever their names.
 """
@@ -133,17 +133,17 @@ def _strength(groups: DataFrame, least: float = 1.0, most: float = 1000.0) -> Co
 
 
 def posteriors(own: DataFrame) -> DataFrame:
-    """own (id, host, path, p) to (host, path, n, s, path_prior, path_strength, mu): what a document's site needs."""
+    """own (id, host, path, p) to (host, path, n, s, host_n, host_s, mu, host_mean, k_host, k_path): what a document's site needs to leave it out of all its sums."""
     sums = [F.count("p").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")]
     paths = cut(own.where("p is not null").groupBy("host", "path").agg(*sums))
     hosts = paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in "nsq"])
     total = hosts.agg((F.sum("s") / F.sum("n")).alias("mu"))
     hosts = cut(hosts.crossJoin(total))
     host_strength = hosts.agg(_strength(hosts).alias("k_host"))
-    shrunk = hosts.crossJoin(host_strength).select("host", "mu", ((F.col("s") + F.col("k_host") * F.col("mu")) / (F.col("n") + F.col("k_host"))).alias("host_mean"))
+    shrunk = hosts.crossJoin(host_strength).select("host", "mu", "k_host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + F.col("k_host") * F.col("mu")) / (F.col("n") + F.col("k_host"))).alias("host_mean"))
     paths = cut(paths.join(shrunk, "host"))
     path_strength = paths.select("n", "s", "q", F.col("host_mean").alias("mu")).agg(_strength(paths).alias("k_path"))
-    return paths.crossJoin(path_strength).select("host", "path", "n", "s", "mu", "host_mean", "k_path")
+    return paths.crossJoin(path_strength).select("host", "path", "n", "s", "host_n", "host_s", "mu", "host_mean", "k_host", "k_path")
 
 
 def score(docs: DataFrame, labels: DataFrame, *, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, fit_rows: int = 4000) -> DataFrame:
@@ -152,9 +152,11 @@ def score(docs: DataFrame, labels: DataFrame, *, host_col: str = "source", path_
     weights = train(plain, labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("label")), fit_rows=fit_rows)
     own = cut(evidence(plain, weights))
     odds = lambda c: F.log(c / (1 - c))
-    clip = lambda c: F.greatest(F.lit(1e-5), F.least(F.lit(1 - 1e-5), c))
+    clip = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(1e-5), F.least(F.lit(1 - 1e-5), c)))
     joined = own.join(posteriors(own), ["host", "path"], "left")
-    rest = (F.col("s") - F.coalesce("p", F.lit(0.0)) + F.col("k_path") * F.col("host_mean")) / (F.col("n") - F.col("p").isNotNull().cast("int") + F.col("k_path"))
-    out = joined.withColumn("path_mean", clip(rest))
+    mine, one = F.coalesce("p", F.lit(0.0)), F.col("p").isNotNull().cast("int")
+    others = lambda total, n, k, prior: (F.col(total) - mine + F.col(k) * prior) / (F.col(n) - one + F.col(k))
+    joined = joined.withColumn("host_mean", others("host_s", "host_n", "k_host", F.col("mu")))
+    out = joined.withColumn("path_mean", clip(others("s", "n", "k_path", F.col("host_mean"))))
     z = odds(clip(F.col("p"))) + odds(F.col("path_mean")) - odds(clip(F.col("mu")))
     return out.withColumn("p_quality", F.when(F.col("p").isNull(), 0.0).otherwise(1 / (1 + F.exp(-z)))).select(F.col("id").alias(id_col), "host", "path", F.coalesce("p", F.lit(0.0)).alias("p_doc"), "host_mean", "path_mean", "p_quality", (F.col("p_quality") >= threshold).alias("keep"))

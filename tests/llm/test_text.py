@@ -300,6 +300,17 @@ def test_quality_shrinks_sparse_sites(spark):
     assert quality.score(docs(spark, [None, "", "some text here."], True), docs(spark, ["x"]).select("doc_id", F.lit(1).alias("quality"))).where("keep").count() == 1
 
 
+def test_quality_leaves_a_document_out_of_its_own_prior(spark):
+    """A host of one document has the global mean for its prior, whatever that document is; a path of empty texts has no means."""
+    texts = ["fine words in order here. " * (i % 4 + 1) for i in range(12)] + ["$$$ BUY 1111 #### NOW", "  "]
+    d = spark.createDataFrame([(i, x, "en", "lone" if i == 12 else "empty" if i == 13 else f"h{i % 2}") for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, int(i != 12)) for i in range(13)], "doc_id long, quality int")
+    r = {x.doc_id: x for x in quality.score(d, labels).collect()}
+    own = quality.posteriors(spark.createDataFrame([(x.doc_id, x.host, x.path, x.p_doc or None) for x in r.values()], "id long, host string, path string, p double"))
+    assert r[12].host_mean == pytest.approx(own.first().mu) == pytest.approx(r[12].path_mean)
+    assert r[13].host_mean is None and r[13].path_mean is None and not r[13].keep
+
+
 def test_quality_equals_sql_from_the_own_evidence(spark):
     """Host and path posteriors and the final odds, recomputed by SQL from the documents' own probabilities."""
     sf = "/root/testdata/sf0.001"
@@ -313,10 +324,10 @@ def test_quality_equals_sql_from_the_own_evidence(spark):
     paths AS (SELECT host, path, count(p) AS n, sum(p) AS s, sum(p * p) AS q FROM o WHERE p IS NOT NULL GROUP BY ALL),
     hosts AS (SELECT host, sum(n) AS n, sum(s) AS s, sum(q) AS q, (SELECT sum(s) / sum(n) FROM paths) AS mu FROM paths GROUP BY host),
     kh AS (SELECT {k('mu')} AS kh FROM hosts),
-    hm AS (SELECT host, mu, (s + kh * mu) / (n + kh) AS host_mean FROM hosts, kh),
-    pm AS (SELECT paths.*, host_mean, mu FROM paths JOIN hm USING (host)),
+    hm AS (SELECT host, mu, n AS hn, s AS hs, kh, (s + kh * mu) / (n + kh) AS host_mean FROM hosts, kh),
+    pm AS (SELECT paths.*, host_mean, mu, hn, hs, kh FROM paths JOIN hm USING (host)),
     kp AS (SELECT {k('host_mean')} AS kp FROM pm),
-    j AS (SELECT doc_id, p, mu, greatest(1e-5, least(1 - 1e-5, (s - coalesce(p, 0) + kp * host_mean) / (n - (p IS NOT NULL)::INT + kp))) AS path_mean FROM o LEFT JOIN pm USING (host, path), kp)
+    j AS (SELECT doc_id, p, mu, greatest(1e-5, least(1 - 1e-5, (s - coalesce(p, 0) + kp * (hs - coalesce(p, 0) + kh * mu) / (hn - (p IS NOT NULL)::INT + kh)) / (n - (p IS NOT NULL)::INT + kp))) AS path_mean FROM o LEFT JOIN pm USING (host, path), kp)
     SELECT doc_id, CASE WHEN p IS NULL THEN 0 ELSE 1 / (1 + exp(-(ln(p / (1 - p)) + ln(path_mean / (1 - path_mean)) - ln(mu / (1 - mu))))) END AS p_quality FROM j""").fetchdf()
     both = out.merge(want, on="doc_id")
     assert len(both) == len(out) and np.allclose(both.p_quality_x, both.p_quality_y, atol=1e-6)

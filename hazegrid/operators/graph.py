@@ -212,6 +212,36 @@ def spatial_clusters(nodes: DataFrame, k: int = 64, seed: int = 42) -> DataFrame
     return KMeans(k=k, seed=seed, predictionCol="cluster").fit(v).transform(v).select("osmid", "cluster")
 
 
+def lloyd(nodes: DataFrame, k: int = 64, rounds: int = 5) -> DataFrame:
+    """(osmid, cluster) by Lloyd rounds from fixed seeds: nodes evenly spaced in the order of a hash of their id.
+
+    A round is one pass with the k centres at hand and a grouped mean, k rows of which reach the driver; ties go to the smaller
+    cluster, and a centre that loses all its nodes stays. On coordinates whose sums are exact the result is the same everywhere.
+    """
+    n = nodes.where("x is not null and y is not null")
+    total = n.count()
+    wanted = sorted({i * total // k for i in range(k)}) if total else []
+    # ranks within hash ranges plus the ranges' offsets, so that no task ranks all nodes
+    n = n.withColumn("_h", F.pmod(F.pmod("osmid", F.lit(1000003)) * 2654435761, F.lit(1000003)) * (1 << 40) + F.col("osmid"))
+    ranked = index_ids(n, "_h", "_rank", 1 << 54)
+    seeds = n.join(ranked.where(F.col("_rank").isin(wanted)), "_h").orderBy("_rank").select("x", "y").collect()
+    centres = [(float(r.x), float(r.y)) for r in seeds]
+    for i in range(rounds + 1):
+        known = F.array(*[F.struct((F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)).alias("d"), F.lit(c).alias("c")) for c, (x, y) in enumerate(centres)]) if centres else None
+        dealt = n.select("osmid", "x", "y", (F.array_min(known)["c"] if centres else F.lit(0)).alias("cluster"))
+        if i == rounds or not centres:
+            return dealt.select("osmid", "cluster")
+        for r in dealt.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect():
+            centres[r.cluster] = (r.x, r.y)
+
+
+def relabel(edges: DataFrame, nodes: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """(u_idx, v_idx, columns): edges with both ends among nodes, ends numbered from 0 in the order of osmid."""
+    ids = index_ids(nodes, "osmid", "idx")
+    e = edges.join(ids.select(F.col("osmid").alias("u"), F.col("idx").alias("u_idx")), "u").join(ids.select(F.col("osmid").alias("v"), F.col("idx").alias("v_idx")), "v")
+    return e.select("u_idx", "v_idx", *columns)
+
+
 def inner_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     """Edges whose ends lie in one cluster."""
     a, b = clusters.toDF("u", "cu"), clusters.toDF("v", "cv")

@@ -193,6 +193,29 @@ def _(t):
     return GR.induced(t.road_edges(), n).select("u", "v", "key")
 
 
+HOPS = {"sd": "SELECT DISTINCT id * 3 AS s FROM station_meta", "hp": "SELECT DISTINCT osmid FROM (SELECT s AS osmid FROM sd UNION ALL SELECT u FROM road_edges JOIN sd ON v = s UNION ALL SELECT a.u FROM road_edges a JOIN road_edges b ON a.v = b.u JOIN sd ON b.v = s)", "ix": "SELECT osmid, row_number() OVER (ORDER BY osmid) - 1 AS idx FROM hp"}
+
+
+@query("g4_relabelled_subgraph", "road_edges station_meta", "SELECT a.idx AS u_idx, b.idx AS v_idx, key, length FROM road_edges JOIN ix a ON a.osmid = u JOIN ix b ON b.osmid = v", HOPS)
+def _(t):
+    near = GR.k_hop(t.road_edges(), t.station_meta().select((F.col("id") * 3).alias("osmid")), 2)
+    return GR.relabel(t.road_edges(), near, ["key", "length"]).select(F.col("u_idx").cast("long").alias("u_idx"), F.col("v_idx").cast("long").alias("v_idx"), "key", "length")
+
+
+def _lloyd(k: int, rounds: int) -> dict[str, str]:
+    out = {"c0": f"SELECT row_number() OVER (ORDER BY r) - 1 AS c, x, y FROM (SELECT x, y, row_number() OVER (ORDER BY osmid % 1000003 * 2654435761 % 1000003, osmid) - 1 AS r FROM road_nodes) WHERE r IN (SELECT i * (SELECT count(*) FROM road_nodes) // {k} FROM range({k}) s(i))"}
+    for i in range(rounds + 1):
+        out[f"a{i}"] = f"SELECT osmid, any_value(n.x) AS x, any_value(n.y) AS y, arg_min(c, {{'d': pow(n.x - m.x, 2) + pow(n.y - m.y, 2), 'c': c}}) AS c FROM road_nodes n, c{i} m GROUP BY osmid"
+        out[f"c{i + 1}"] = f"SELECT o.c, coalesce(m.x, o.x) AS x, coalesce(m.y, o.y) AS y FROM c{i} o LEFT JOIN (SELECT c, avg(x) AS x, avg(y) AS y FROM a{i} GROUP BY c) m USING (c)"
+    return out
+
+
+@query("g5_lloyd_edges", "road_nodes road_edges", "SELECT CAST(a.c AS INTEGER) AS cluster, count(*) AS edges, sum(e.length) AS length FROM road_edges e JOIN a5 a ON a.osmid = u JOIN a5 b ON b.osmid = v WHERE a.c = b.c GROUP BY 1", _lloyd(64, 5))
+def _(t):
+    c = GR.lloyd(t.road_nodes(), 64, 5)
+    return GR.inner_edges(t.road_edges(), c).groupBy("cluster").agg(F.count("*").alias("edges"), F.sum("length").alias("length"))
+
+
 @query("g5_cluster_edges")
 def _(t):
     c = GR.spatial_clusters(t.road_nodes(), 8)

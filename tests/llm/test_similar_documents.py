@@ -105,4 +105,5 @@ def test_recall_on_the_given_documents(spark):
             index.setdefault(h, []).append(i)
     group = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
     found = sum(group[a] == group[b] for a, b in pairs)
+    print(found, "of", len(pairs), "pairs")
     assert len(pairs) >= 40 and found >= 0.9 * len(pairs), (found, len(pairs))

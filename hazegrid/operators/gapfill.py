@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hazegrid.functions.clean import keep_pollutants
 from hazegrid.functions.geo import haversine_m
 from hazegrid.functions.timeutil import floor_hour
+from hazegrid.operators.scratch import Rounds
 from hazegrid.operators.series import gap_lengths, interpolate, leave_one_out
 
 SERIES = ["parameter", "station_id"]
@@ -113,7 +114,9 @@ def cascade(hourly: DataFrame, meta: DataFrame, policy: DataFrame, *, use_idw: b
         s = s.join(spatial, [*SERIES, "time"], "left")
     else:
         s = s.withColumns({"idw": F.lit(None).cast("double"), "neighbours": F.lit(None).cast("int")})
-    s = climatology(s.withColumn("_so_far", F.coalesce("lin", "idw")), "_so_far")
+    # the medians and the rows read it four times
+    s = Rounds(hourly.sparkSession).put("spine", s.withColumn("_so_far", F.coalesce("lin", "idw")))
+    s = climatology(s, "_so_far")
     med = observed.groupBy(*SERIES).agg(F.median("value").alias("_med"))
     s = gap_lengths(s.join(med, SERIES, "left"), SERIES, "time", "value")
     order = (("observed", "value"), ("temporal_linear", "lin"), ("spatial_idw", "idw"), ("temporal_climatology", "clim"), ("station_median", "_med"))

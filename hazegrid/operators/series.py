@@ -46,6 +46,53 @@ def interpolate_all(df: DataFrame, keys: list[str], time: str, values: dict[str,
     return d.withColumns({out: filled(v) for v, out in values.items()}).drop("_rn", *[f"_{s}_{v}" for v in values for s in "pn"])
 
 
+def _around_blocks(df: DataFrame, keys: list[str], time: str, value: str, x: Column | None, block: float) -> DataFrame:
+    """df with its row's number `_rn` in its series, the series' rows `_total`, and the known values `_p` before and `_n` after it (x, v, rn).
+
+    Blocks of `block` seconds of a series are windows of their own; what each begins and ends with is carried over the blocks in
+    a table of a row a block, so one very long series fills many tasks. x is a row's place on the line (None: its number)."""
+    d = df.withColumn("_b", F.floor(seconds(F.col(time)) / F.lit(float(block))))
+    w = Window.partitionBy(*keys, "_b")
+    d = d.withColumn("_i", F.row_number().over(w.orderBy(time)))
+    known = lambda rn: F.when(F.col(value).isNotNull(), F.struct((rn.cast("double") if x is None else x).alias("x"), F.col(value).cast("double").alias("v"), rn.cast("long").alias("rn")))
+    ends = d.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.max_by(known(F.col("_i")), F.when(F.col(value).isNotNull(), F.col("_i"))).alias("_l"), F.min_by(known(F.col("_i")), F.when(F.col(value).isNotNull(), F.col("_i"))).alias("_f"))
+    along = Window.partitionBy(*keys).orderBy("_b")
+    ends = ends.withColumn("_o", F.coalesce(F.sum("_c").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    shift = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["rn"] + F.col("_o")).cast("double").alias("x") if x is None else F.col(c)["x"].alias("x"), F.col(c)["v"].alias("v"), (F.col(c)["rn"] + F.col("_o")).alias("rn")))
+    ends = ends.withColumn("_l", shift("_l")).withColumn("_f", shift("_f"))
+    back = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_b", "_o", F.sum("_c").over(Window.partitionBy(*keys)).alias("_total"), F.last("_l", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_f", True).over(back).alias("_after"))
+    same = None
+    for k in keys:  # null keys are series too
+        same = F.col(k).eqNullSafe(F.col(f"_e_{k}")) if same is None else same & F.col(k).eqNullSafe(F.col(f"_e_{k}"))
+    ends = ends.withColumnsRenamed({k: f"_e_{k}" for k in keys} | {"_b": "_e_b"})
+    on = F.col("_b").eqNullSafe(F.col("_e_b"))
+    d = d.join(ends, on if same is None else on & same).withColumn("_rn", F.col("_i") + F.col("_o"))
+    here = known(F.col("_rn"))
+    up, down = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_i"), F.desc("_i")))
+    d = d.withColumn("_p", F.coalesce(F.last(here, True).over(up), "_before")).withColumn("_n", F.coalesce(F.last(here, True).over(down), "_after"))
+    return d.drop("_b", "_i", "_o", "_before", "_after", "_e_b", *[f"_e_{k}" for k in keys])
+
+
+def interpolate_blocks(df: DataFrame, keys: list[str], time: str, value: str, out: str, *, limit: int | None = 24, by_time: bool = True, block: float = 90 * 86400.0) -> DataFrame:
+    """As `interpolate`, for series of any length; times within a series differ."""
+    d = _around_blocks(df, keys, time, value, seconds(F.col(time)) if by_time else None, block)
+    x, p, n = seconds(F.col(time)) if by_time else F.col("_rn").cast("double"), F.col("_p"), F.col("_n")
+    line = p["v"] + (n["v"] - p["v"]) * (x - p["x"]) / (n["x"] - p["x"])
+    filled = F.when(F.col(value).isNotNull(), F.col(value)).when(p.isNotNull() & n.isNotNull(), line).otherwise(F.coalesce(p["v"], n["v"]))
+    if limit is not None:
+        near = F.coalesce(F.col("_rn") - p["rn"] <= limit, F.lit(False)) | F.coalesce(n["rn"] - F.col("_rn") <= limit, F.lit(False))
+        filled = F.when(near, filled)
+    return d.withColumn(out, filled).drop("_rn", "_p", "_n", "_total")
+
+
+def gap_lengths_blocks(df: DataFrame, keys: list[str], time: str, value: str, out: str = "gap_hours", block: float = 90 * 86400.0) -> DataFrame:
+    """As `gap_lengths`, for series of any length: the rows between the known ones on either side."""
+    d = _around_blocks(df, keys, time, value, None, block)
+    size = F.coalesce(F.col("_n.rn"), F.col("_total") + 1) - F.coalesce(F.col("_p.rn"), F.lit(0)) - 1
+    return d.withColumn(out, F.when(F.col(value).isNull(), size).otherwise(0).cast("int")).drop("_rn", "_p", "_n", "_total")
+
+
 def leave_one_out(df: DataFrame, keys: list[str], time: str, value: str, out: str) -> DataFrame:
     """Time interpolation of each observed point from its neighbours on either side."""
     d, back, ahead = _around(df, keys, time, inclusive=False)

@@ -77,6 +77,19 @@ def _(t):
     return s.groupBy("parameter", "station_id", F.col("gap_hours").cast("long").alias("gap_hours")).agg(F.count("*").alias("rows"))
 
 
+@query("w1_block_interpolation", "hourly", "SELECT parameter, station_id, time, round(lin, 6) AS lin FROM lin WHERE lin IS NOT NULL", CELLS)
+def _(t):
+    """Series cut into blocks of five days, as very long ones are."""
+    s = series.interpolate_blocks(G.spine(G.per_station(G.hourly_mean(t.readings()))), G.SERIES, "time", "value", "lin", limit=24, block=5 * 86400.0)
+    return s.where("lin is not null").select("parameter", "station_id", "time", *r6("lin"))
+
+
+@query("w5_block_gaps", "hourly", "SELECT parameter, station_id, time, CAST(gap_hours AS INTEGER) AS gap_hours FROM gap", CASCADE)
+def _(t):
+    s = series.gap_lengths_blocks(G.spine(G.per_station(G.hourly_mean(t.readings()))), G.SERIES, "time", "value", block=5 * 86400.0)
+    return s.select("parameter", "station_id", "time", "gap_hours")
+
+
 @query("a5_climatology", "hourly", "SELECT parameter, station_id, time, round(coalesce(hd.m, hh.m, al.m), 6) AS clim FROM lin l LEFT JOIN hd ON hd.parameter = l.parameter AND hd.station_id = l.station_id AND hd.h = hour(l.time) AND hd.d = isodow(l.time) LEFT JOIN hh ON hh.parameter = l.parameter AND hh.station_id = l.station_id AND hh.h = hour(l.time) LEFT JOIN al ON al.parameter = l.parameter AND al.station_id = l.station_id".replace("SELECT parameter, station_id, time", "SELECT l.parameter, l.station_id, l.time"), CASCADE)
 def _(t):
     s = series.interpolate(G.spine(G.per_station(G.hourly_mean(t.readings()))), G.SERIES, "time", "value", "lin", limit=24)

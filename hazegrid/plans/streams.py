@@ -124,7 +124,7 @@ def _(t):
     return d.groupBy("parameter").agg(F.count("*").alias("rows"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("io9_ratio_cache", "hourly", "SELECT pollutant, count(*) AS rows FROM (SELECT 'pm25' AS pollutant FROM hourly WHERE parameter = 'pm25' GROUP BY station_id HAVING (SELECT count(*) FROM hourly h WHERE h.parameter = 'pm10' AND h.station_id = hourly.station_id) > 0) GROUP BY 1")
+@query("io9_ratio_cache", "hourly", "SELECT 'pm25' AS pollutant, count(*) AS rows FROM (SELECT station_id, coalesce(avg(pm25 / pm10) FILTER (pm10 > 0), avg(pm25) / CASE WHEN avg(pm10) > 0 THEN avg(pm10) END) AS ratio FROM (SELECT station_id, time, avg(value) FILTER (parameter = 'pm10') AS pm10, avg(value) FILTER (parameter = 'pm25') AS pm25 FROM hourly GROUP BY ALL) GROUP BY 1) WHERE ratio > 0 HAVING count(*) > 0")
 def _(t):
     build = lambda: R.ratio_table(R.pivot_hourly(G.hourly_mean(t.readings())))
     at = scratch(t)

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazegrid.functions.geo import haversine_m
-from hazegrid.functions.timeutil import floor_hour
+from hazegrid.functions.timeutil import floor_hour, seconds
 from hazegrid.operators import ratios as R
 from hazegrid.operators.scratch import shared_checkpoint
-from hazegrid.operators.series import fill_both, interpolate, interpolate_all
+from hazegrid.operators.series import interpolate_all
 
 
 def hourly_prefixed(df: DataFrame, prefix: str, time: str = "time") -> DataFrame:
@@ -66,13 +66,28 @@ def dedupe(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def hourly_spine(df: DataFrame, node: str, time: str, numeric: Sequence[str], labels: Sequence[str] = ()) -> DataFrame:
     """Every node at every hour between the first and last of all, numbers interpolated by position and then filled, labels filled."""
     d = dedupe(df.withColumn(time, floor_hour(F.col(time))), [node, time])
-    ends = d.agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
-    hours = ends.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 HOUR"))).alias(time))
-    # nodes by hours is the stated result; the hours are a calendar, a row an hour
-    s = d.select(node).distinct().crossJoin(F.broadcast(hours)).join(d, [node, time], "left")
-    for c in numeric:
-        s = interpolate(s, [node], time, c, c, limit=None, by_time=False)
-    return fill_both(s, [node], time, list(labels)) if labels else s
+    ends = d.agg(F.min(time).alias("_lo"), F.max(time).alias("_hi"))
+    # windows see observed rows only, each of which then makes the hours up to the next one: nodes by hours are never shuffled
+    d = d.crossJoin(F.broadcast(ends)).where(F.col(time).isNotNull())  # one row
+    hour = lambda t: F.floor((seconds(t) - seconds(F.col("_lo"))) / 3600).cast("long")
+    d = d.withColumn("_rn", hour(F.col(time)))
+    w = Window.partitionBy(node)
+    up, down = w.orderBy("_rn"), w.orderBy(F.desc("_rn"))
+    so_far, from_here, later = up.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, 0), down.rowsBetween(Window.unboundedPreceding, -1)
+    known = {c: F.when(F.col(c).isNotNull() & F.col(node).isNotNull(), F.struct(F.col("_rn").alias("rn"), (F.col(c).cast("double") if c in numeric else F.col(c)).alias("v"))) for c in (*numeric, *labels)}
+    d = d.withColumns({f"_p_{c}": F.last(k, True).over(so_far) for c, k in known.items()} | {"_first": F.row_number().over(up) == 1, "_next": F.lead("_rn").over(up)})
+    d = d.withColumns({f"_o_{c}": F.last(k, True).over(from_here) for c, k in known.items()} | {f"_n_{c}": F.last(k, True).over(later) for c, k in known.items()})
+    d = d.withColumn("_at", F.explode(F.sequence(F.when(F.col("_first"), F.lit(0)).otherwise(F.col("_rn")), F.coalesce(F.col("_next") - 1, hour(F.col("_hi"))))))
+    at = F.col("_at")
+
+    def value(c: str) -> Column:
+        p, n = F.when(at >= F.col("_rn"), F.col(f"_p_{c}")), F.when(at <= F.col("_rn"), F.col(f"_o_{c}")).otherwise(F.col(f"_n_{c}"))
+        if c in labels:
+            return F.coalesce(p["v"], n["v"])
+        line = p["v"] + (n["v"] - p["v"]) * (at - p["rn"]) / (n["rn"] - p["rn"])
+        return F.when(p["rn"] == at, p["v"]).when(p.isNotNull() & n.isNotNull(), line).otherwise(F.coalesce(p["v"], n["v"]))
+
+    return d.select(node, (F.col("_lo") + F.make_dt_interval(hours=at.cast("int"))).cast(d.schema[time].dataType).alias(time), *[value(c).alias(c) for c in known])
 
 
 def city_repair(air: DataFrame, hourly: DataFrame, meta: DataFrame, columns: dict[str, str], centre: tuple[float, float], power: float = 2.0) -> DataFrame:

@@ -12,7 +12,8 @@ fingerprints take the way of blocks=1, whose links are a star per variant: linea
 five-word shingles, in twenty-four blocks of 32 bits whose variants within 1 bit are shuffled. Sets that meet on a block and lie within
 `wide` bits in all are candidates, and each link is verified on the whole shingle sets, so none is below the similarity. As
 candidates, a group of sets that met first gives a spanning forest by distance; once that is verified, each of its sets gives
-the nearest few that are still in other components. The search is approximate: two sets of similarity 0.8 meet with a chance of
+the nearest few that are still in other components, and twice as many from round to round until no set has any left that was
+not tried. Sets that met by chance, with none of their group within `wide` bits, are dropped after the first pass. The search is approximate: two sets of similarity 0.8 meet with a chance of
 about 0.95, of 0.85 with 0.99, of 0.9 with 0.999; equal sets always do.
 
 Nulls are empty texts; texts without words have fingerprint zero and are linked like any other (for shingles: with each other).
@@ -220,7 +221,7 @@ def set_fingerprint(s: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-_MEMBER = ["u4", "u4", "u4", "i8", "i8", *["u8"] * _WORDS]
+_MEMBER = ["u4", "u4", "u4", "i8", "i8", "i8", *["u8"] * _WORDS]
 
 
 def _sets(plain: DataFrame, words: int) -> DataFrame:
@@ -259,6 +260,7 @@ def _meetings(sets: DataFrame) -> DataFrame:
 
 def _candidates(met: DataFrame, block: int, threshold: float, wide: int, nearest: int) -> DataFrame:
     """Pairs (x, y) of sets of one group and different labels within `wide` bits: a spanning forest of each group, or with `nearest` that many of each set.
+    Rows with x = y are sets: of a forest, with their group g, those that have any other within `wide` bits; else those that have more than `nearest`.
     met (g, a, n, fp, label). Groups longer than `block` are dealt as pairs of blocks, so no task holds more than two blocks of one group."""
     sizes = met.groupBy("g").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     dealt = met.join(sizes.select("g", "blocks"), "g").withColumn("k", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
@@ -269,13 +271,13 @@ def _candidates(met: DataFrame, block: int, threshold: float, wide: int, nearest
         pair = np.where(k2 > 0, (k1.astype(np.uint64) << np.uint64(20)) + k2.astype(np.uint64), np.uint64(0))
         key = mix(g.view(np.uint64) ^ mix(pair, 0xA0761D6478BD642F), 0xD6E8FEB86659FD93) >> np.uint64(64 - KEY)
         fp = np.frombuffer(b"".join(b.column(7).to_pylist()), dtype=np.uint64).reshape(-1, _WORDS)
-        return [key, k1 != k2, k, n, a, label, *fp.T]
+        return [key, k1 != k2, k, n, g, a, label, *fp.T]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cross, k, n, a, label, *fp in gather(batches, _MEMBER):
+        for key, cross, k, n, g, a, label, *fp in gather(batches, _MEMBER):
             fp, n = np.stack(fp, axis=1), n.astype(np.int64)
             start, size = _runs(key)
-            xs, ys = [], []
+            xs, ys, noted = [], [], np.zeros(len(a), bool)
 
             def far(i: int, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 """Of places j those that may be similar to i, and how far they are."""
@@ -289,10 +291,13 @@ def _candidates(met: DataFrame, block: int, threshold: float, wide: int, nearest
                 ok = (label[two] != label[two + 1]) & ((cross[two] == 0) | (k[two] != k[two + 1])) & (np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1) <= wide) & (np.minimum(n[two], n[two + 1]) >= np.ceil(threshold * np.maximum(n[two], n[two + 1]) - 1e-9))
                 xs.append(a[two[ok]])
                 ys.append(a[two[ok] + 1])
+                if not nearest:
+                    noted[two[ok]] = noted[two[ok] + 1] = True
             for lo, m in zip(start[size > 2].tolist(), size[size > 2].tolist()):
                 if nearest:
                     for i in range(lo, lo + m):
                         j, d = far(i, np.arange(lo, lo + m))
+                        noted[i] = len(j) > nearest
                         j = j[np.argsort(d, kind="stable")[:nearest]]
                         xs.append(np.full(len(j), a[i]))
                         ys.append(a[j])
@@ -301,6 +306,8 @@ def _candidates(met: DataFrame, block: int, threshold: float, wide: int, nearest
                 for _ in range(m - 1):
                     todo[i] = False
                     j, d = far(lo + i, lo + np.flatnonzero(todo))
+                    noted[j] = True  # every pair is seen once, from the side that is done first
+                    noted[lo + i] |= len(j) > 0
                     j -= lo
                     closer = d < best[j]
                     best[j[closer]], who[j[closer]] = d[closer], i
@@ -311,9 +318,11 @@ def _candidates(met: DataFrame, block: int, threshold: float, wide: int, nearest
                         ys.append(a[[lo + i]])
             if xs:
                 b = _pairs([x.view(np.uint64) for x in xs], [y.view(np.uint64) for y in ys])
-                yield pa.RecordBatch.from_arrays(b.columns, ["x", "y"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64())], ["x", "y", "g"])
+            own = pa.array(a[noted])
+            yield pa.RecordBatch.from_arrays([own, own, pa.nulls(len(own), pa.int64()) if nearest else pa.array(g[noted])], ["x", "y", "g"])
 
-    return deal(dealt, member, _MEMBER, met.count()).mapInArrow(run, "x long, y long").distinct()
+    return deal(dealt, member, _MEMBER, met.count()).mapInArrow(run, "x long, y long, g long").distinct()
 
 
 def _verified(pairs: DataFrame, plain: DataFrame, once: DataFrame, words: int, t: float) -> DataFrame:
@@ -356,13 +365,20 @@ def similar_documents(docs: DataFrame, *, words: int = 5, threshold: float = 0.8
         nodes = components(found.join(side("x"), "x").join(side("y"), "y").select(F.col("x_id").alias("a"), F.col("y_id").alias("b")))
         return cut(once.select("a", "least").join(nodes.withColumnRenamed("node", "least"), "least", "left").select("a", F.coalesce("component", "least").alias("component")))
 
-    tried = cut(_candidates(met.withColumn("label", F.col("a")), block, threshold, wide, 0))
+    first = cut(_candidates(met.withColumn("label", F.col("a")), block, threshold, wide, 0))
+    tried = first.where("x <> y").select("x", "y")
+    met = cut(met.join(first.where("x = y").select("g", F.col("x").alias("a")), ["g", "a"], "left_semi"))
     found = cut(_verified(tried, plain, once, words, threshold))
     named = groups(found)
-    labelled = met.join(named.withColumnRenamed("component", "label"), "a")
-    more = cut(_candidates(labelled, block, threshold, wide, nearest).join(tried, ["x", "y"], "left_anti"))
-    if not more.isEmpty():
-        named = groups(found.unionAll(_verified(more, plain, once, words, threshold)))
+    while True:
+        got = cut(_candidates(met.join(named.withColumnRenamed("component", "label"), "a"), block, threshold, wide, nearest))
+        more = cut(got.where("x <> y").select("x", "y").join(tried, ["x", "y"], "left_anti"))
+        if not more.isEmpty():
+            found, tried = found.unionAll(cut(_verified(more, plain, once, words, threshold))), tried.unionAll(more)
+            named = groups(found)
+        if got.where("x = y").isEmpty():  # all that are left in other components have been tried
+            break
+        nearest *= 2
     return every.select("id", "a").join(named, "a").select(F.col("id").alias(id_col), F.col("component").alias("component_id"))
 
 

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +108,37 @@ def test_recall_on_the_given_documents(spark):
     found = sum(group[a] == group[b] for a, b in pairs)
     print(found, "of", len(pairs), "pairs")
     assert len(pairs) >= 40 and found >= 0.9 * len(pairs), (found, len(pairs))
+
+
+@pytest.mark.parametrize("block", [2048, 5])
+def test_no_candidate_is_left_untried(spark, monkeypatch, block):
+    """However many of a set's candidates fail, all pairs that share a variant of a block and lie within reach are verified."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    t = [" ".join(changed(rng, base, 0.004)) for _ in range(18)]
+    fps = {simhash._set_key(s): np.unpackbits(np.frombuffer(simhash.set_fingerprint(s), np.uint8)) for s in map(simhash.shingles, t)}
+    want = set()
+    for x in fps:
+        for y in fps:
+            off = fps[x] != fps[y]
+            if x < y and off.sum() <= 168 and (off.reshape(simhash._BLOCKS, simhash._WIDTH).sum(axis=1) <= 2).any():
+                want.add((x, y))
+    tried = []
+
+    def none_holds(pairs, *rest):
+        tried.extend((r.x, r.y) for r in pairs.collect())
+        return pairs.limit(0)
+
+    monkeypatch.setattr(simhash, "_verified", none_holds)
+    d = spark.createDataFrame(list(enumerate(t)), "doc_id long, text string")
+    assert simhash.similar_documents(d, block=block).count() == len(t)
+    keys = [(min(a, b, key=lambda k: k % 2**64), max(a, b, key=lambda k: k % 2**64)) for a, b in tried]
+    assert {(min(p), max(p)) for p in keys} == want and len(keys) == len(set(keys)) and len(want) > 4 * len(t)
+
+
+def test_sets_that_met_by_chance_are_dropped(spark):
+    """Of a group's sets those stay that have another one within reach."""
+    near, far = bytes(96), bytes([255]) * 96
+    met = spark.createDataFrame([(7, 1, 50, bytearray(near)), (7, 2, 50, bytearray(b"\x01" + near[1:])), (7, 3, 50, bytearray(far)), (8, 3, 50, bytearray(far)), (8, 4, 50, bytearray(near))], "g long, a long, n long, fp binary")
+    got = simhash._candidates(met.withColumn("label", F.col("a")), 2048, 0.8, 168, 0).collect()
+    assert {(r.x, r.y) for r in got if r.x != r.y} == {(1, 2)} and {(r.g, r.x) for r in got if r.x == r.y} == {(7, 1), (7, 2)}

@@ -117,13 +117,13 @@ def leaves_within(splits: list[np.ndarray], x: np.ndarray, y: np.ndarray, reach:
     return who, node
 
 
-def _pairs_within(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """(id, tid, d): each point with the targets of all leaves that may hold its nearest. Points and targets have finite coordinates."""
+def _sides_within(points: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Points (id, x, y, leaf) at all leaves that may hold their nearest target, and the leaves' targets (leaf, tid, tx, ty); None without targets. All coordinates are finite."""
     spark = with_package(points.sparkSession)
     t = targets.groupBy("x", "y").agg(F.min("tid").alias("tid"))  # of targets in one place the smallest counts
     n = t.count()
     if not n:
-        return points.select("id", F.lit(None).cast(targets.schema["tid"].dataType).alias("tid"), F.lit(None).cast("double").alias("d")).where(F.lit(False))
+        return None
     picked = t.where(F.pmod(F.xxhash64("x", "y"), F.lit(n)) < SAMPLE_ROWS).select("x", "y").limit(2 * SAMPLE_ROWS).toArrow()
     sx, sy = (picked[c].to_numpy() for c in ("x", "y"))
     depth = max(0, min(int(n // LEAF_ROWS).bit_length() - 1, int(len(sx) // LEAF_SAMPLE).bit_length() - 1))
@@ -151,9 +151,26 @@ def _pairs_within(points: DataFrame, targets: DataFrame) -> DataFrame:
     t = t.select("tid", "x", "y")
     held = t.mapInArrow(assign, f"{kinds(t)}, leaf long").select("leaf", "tid", F.col("x").alias("tx"), F.col("y").alias("ty"))
     asked = points.mapInArrow(spread, f"{kinds(points)}, leaf long")
+    return asked, held
+
+
+def _pairs_within(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, tid, d): each point with the targets of all leaves that may hold its nearest; there are targets."""
+    asked, held = _sides_within(points, targets)
     return asked.join(held, "leaf").select("id", "tid", F.hypot(F.col("tx") - F.col("x"), F.col("ty") - F.col("y")).alias("d"))
 
 
+def _best_within(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(id, m): each point's nearest (d, tid) in each of those leaves. A leaf's targets are one array, so that a point and a leaf make one row and no pair is sorted or kept."""
+    sides = _sides_within(points, targets)
+    if sides is None:
+        return points.select("id", F.lit(None).cast(f"struct<d: double, tid: {targets.schema['tid'].dataType.simpleString()}>").alias("m")).where(F.lit(False))
+    asked, held = sides
+    leaves = held.groupBy("leaf").agg(F.collect_list(F.struct("tid", "tx", "ty")).alias("held"))
+    away = F.transform("held", lambda t: F.struct(F.hypot(t["tx"] - F.col("x"), t["ty"] - F.col("y")).alias("d"), t["tid"].alias("tid")))
+    return asked.join(leaves, "leaf").select("id", F.array_min(away).alias("m"))
+
+
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """Each point (id, x, y) with its nearest target (tid, x, y) and metres, ties to the smaller tid; both sides may be large.
 
@@ -166,10 +183,9 @@ def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     number = lambda df, k: df.select(k, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     p, t = number(points, "id"), number(targets, "tid").where(fine("x") & fine("y") & F.col("tid").isNotNull())
-    met = _pairs_within(p.where(fine("x") & fine("y")), t)
-    best = F.min(F.when(F.col("d").isNotNull(), F.struct("d", "tid"))).alias("m")
-    every = p.select("id", F.lit(None).cast(t.schema["tid"].dataType).alias("tid"), F.lit(None).cast("double").alias("d"))
-    return met.unionByName(every).groupBy("id").agg(best).select("id", F.col("m.tid").alias("tid"), F.col("m.d").alias("distance_meters"))
+    met = _best_within(p.where(fine("x") & fine("y")), t)
+    every = p.select("id", F.lit(None).cast(met.schema["m"].dataType).alias("m"))
+    return met.unionByName(every).groupBy("id").agg(F.min("m").alias("m")).select("id", F.col("m.tid").alias("tid"), F.col("m.d").alias("distance_meters"))
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:

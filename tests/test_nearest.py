@@ -79,3 +79,14 @@ def test_neighbours_within_reach(spark):
     for i, r in near.items():
         # with a share of the weight unknown, the mean may be off by that share of the values' range
         assert abs(r.idw - exact[i].idw) <= r.dropped_share * 12 + 1e-9 and 0 <= r.dropped_share < 1
+
+
+def test_a_point_and_a_leaf_make_one_row(spark):
+    """However many targets a leaf has, what is grouped by point is a row a leaf, not a row a pair."""
+    rng = np.random.default_rng(11)
+    p, t = rng.uniform(0, 1, (400, 2)), rng.uniform(0, 1, (4000, 2))
+    points, targets = frame(spark, POINT, p), frame(spark, POINT.replace("id", "tid"), t)
+    asked, held = graph._sides_within(points, targets)
+    rows = graph._best_within(points, targets)
+    assert rows.count() == asked.count() <= graph._pairs_within(points, targets).count() / 8
+    assert {r.id: (r.m.tid, r.m.d) for r in rows.groupBy("id").agg(F.min("m").alias("m")).collect()} == {i: (w[0], pytest.approx(w[1])) for i, w in plain(p, t).items()}

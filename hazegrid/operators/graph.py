@@ -231,8 +231,8 @@ def spatial_clusters(nodes: DataFrame, k: int = 64, seed: int = 42) -> DataFrame
 def lloyd(nodes: DataFrame, k: int = 64, rounds: int = 5) -> DataFrame:
     """(osmid, cluster) by Lloyd rounds from fixed seeds: nodes evenly spaced in the order of a hash of their id.
 
-    A round is one pass with the k centres at hand and a grouped mean, k rows of which reach the driver; ties go to the smaller
-    cluster, and a centre that loses all its nodes stays. On coordinates whose sums are exact the result is the same everywhere.
+    A round is one pass with the k centres at hand and a grouped mean, k rows of which reach the driver; distances are taken by
+    batches of nodes, not by expressions of each centre. Ties go to the smaller cluster, and a centre that loses all its nodes stays. On coordinates whose sums are exact the result is the same everywhere.
     """
     n = nodes.where("x is not null and y is not null")
     total = n.count()
@@ -242,13 +242,26 @@ def lloyd(nodes: DataFrame, k: int = 64, rounds: int = 5) -> DataFrame:
     ranked = index_ids(n, "_h", "_rank", 1 << 54)
     seeds = n.join(ranked.where(F.col("_rank").isin(wanted)), "_h").orderBy("_rank").select("x", "y").collect()
     centres = [(float(r.x), float(r.y)) for r in seeds]
-    for i in range(rounds + 1):
-        known = F.array(*[F.struct((F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)).alias("d"), F.lit(c).alias("c")) for c, (x, y) in enumerate(centres)]) if centres else None
-        dealt = n.select("osmid", "x", "y", (F.array_min(known)["c"] if centres else F.lit(0)).alias("cluster"))
-        if i == rounds or not centres:
-            return dealt.select("osmid", "cluster")
-        for r in dealt.groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect():
+    with_package(nodes.sparkSession)
+    n = n.select("osmid", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+    def deal(at: list[tuple[float, float]]) -> DataFrame:
+        cx, cy = np.array(at).reshape(-1, 2).T
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y"))
+                d = np.subtract.outer(x, cx) ** 2 + np.subtract.outer(y, cy) ** 2
+                # as in Spark's order, NaN is the largest
+                near = np.argmin(np.where(np.isnan(d), np.inf, d), axis=1) if len(cx) else np.zeros(len(x))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype("int32"))], [*b.schema.names, "cluster"])
+
+        return n.mapInArrow(run, f"osmid {n.schema['osmid'].dataType.simpleString()}, x double, y double, cluster int")
+
+    for _ in range(rounds if centres else 0):
+        for r in deal(centres).groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).collect():
             centres[r.cluster] = (r.x, r.y)
+    return deal(centres).select("osmid", "cluster")
 
 
 def relabel(edges: DataFrame, nodes: DataFrame, columns: Sequence[str] = ()) -> DataFrame:

@@ -90,3 +90,19 @@ def test_a_point_and_a_leaf_make_one_row(spark):
     rows = graph._best_within(points, targets)
     assert rows.count() == asked.count() <= graph._pairs_within(points, targets).count() / 8
     assert {r.id: (r.m.tid, r.m.d) for r in rows.groupBy("id").agg(F.min("m").alias("m")).collect()} == {i: (w[0], pytest.approx(w[1])) for i, w in plain(p, t).items()}
+
+
+def test_lloyd_clusters_against_plain_rounds(spark):
+    """Many centres, ties to the smaller one, and as many expressions in the plan for 300 centres as for 3."""
+    xy = [(float(i * 37 % 64), float(i * 53 % 64)) for i in range(900)]
+    n = spark.createDataFrame([(i, *p) for i, p in enumerate(xy)], "osmid long, x double, y double")
+    order = sorted(range(900), key=lambda i: (i % 1000003 * 2654435761 % 1000003, i))
+    for k in (3, 300):
+        c = np.array([xy[order[i * 900 // k]] for i in range(k)])
+        for _ in range(2):
+            near = np.array([int(np.argmin(((c - p) ** 2).sum(axis=1))) for p in np.array(xy)])
+            c = np.array([np.array(xy)[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(k)])
+        near = [int(np.argmin(((c - p) ** 2).sum(axis=1))) for p in np.array(xy)]
+        got = graph.lloyd(n, k, 2)
+        assert {r.osmid: r.cluster for r in got.collect()} == dict(enumerate(near))
+        assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 2000

@@ -36,17 +36,27 @@ def fuse(edges: DataFrame, nodes: DataFrame, points: DataFrame) -> DataFrame:
 
     Points are an array of their snapshot, folded in place: edges by snapshots are the result itself, and nothing is shuffled for it.
     """
-    e = with_bearing(edges, nodes)
+    # nodes meet distinct edges only
+    e = with_bearing(edges.select("u", "v").distinct(), nodes.dropDuplicates(["osmid"]))
     mx, my = midpoint()
-    e = e.select("u", "v", "bearing_deg", mx.alias("x"), my.alias("y")).dropDuplicates(["u", "v"])
-    j = e.crossJoin(points)
-    w = lambda p: 1 / (F.pow(F.col("x") - p["x"], 2) + F.pow(F.col("y") - p["y"], 2) + 1)
-    total = F.aggregate("points", F.lit(0.0), lambda a, p: a + w(p))
-    mean = lambda c: F.aggregate("points", F.lit(0.0), lambda a, p: a + w(p) * p[c]) / total
-    j = j.withColumns({c: mean(c) for c in ("no2", "so2", "pm2_5")})
+    j = at_points(e.select("u", "v", "bearing_deg", mx.alias("x"), my.alias("y")).crossJoin(points))
+    return j.select("snapshot_id", "u", "v", *FUSED, "x", "y")
+
+
+#: What fusion gives for each edge.
+FUSED = ("no2", "so2", "pm2_5", "toxicity")
+
+
+def at_points(rows: DataFrame) -> DataFrame:
+    """Rows with a place (x, y), bearing_deg and a snapshot's points and wind, with no2, so2, pm2_5 and toxicity there. Points are weighed once and folded in one pass."""
+    names = ("no2", "so2", "pm2_5")
+    weight = lambda p: 1 / (F.pow(F.col("x") - p["x"], 2) + F.pow(F.col("y") - p["y"], 2) + 1)
+    weighed = F.transform("points", lambda p: F.struct(weight(p).alias("w"), *[p[c].alias(c) for c in names]))
+    none = F.struct(*[F.lit(0.0).alias(c) for c in ("w", *names)])
+    sums = F.aggregate(weighed, none, lambda a, p: F.struct((a["w"] + p["w"]).alias("w"), *[(a[c] + p["w"] * p[c]).alias(c) for c in names]))
+    j = rows.withColumn("_sums", sums).withColumns({c: F.col("_sums")[c] / F.col("_sums")["w"] for c in names}).drop("_sums")
     base = F.greatest(F.lit(0.0), F.col("no2") + F.col("so2") + F.col("pm2_5"))
-    tox = base * physics.wind_factor(F.col("wind_speed"), F.col("wind_dir"), F.col("bearing_deg"))
-    return j.select("snapshot_id", "u", "v", "no2", "so2", "pm2_5", tox.alias("toxicity"), "x", "y")
+    return j.withColumn("toxicity", base * physics.wind_factor(F.col("wind_speed"), F.col("wind_dir"), F.col("bearing_deg")))
 
 
 def incoming_mean(state: DataFrame, degree: DataFrame, keys: list[str]) -> DataFrame:

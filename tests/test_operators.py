@@ -228,3 +228,16 @@ def test_node_index_counts_through_ranges(spark):
 def test_sql_functions(spark):
     physics.register_functions(spark)
     assert round(spark.sql("SELECT hg_bearing_deg(0, 0, 0, 1) AS b").first().b, 6) == 90
+
+
+def test_points_are_weighed_once(spark):
+    """The fusion's plan folds a snapshot's points in one pass, whatever the number of readings."""
+    e = spark.createDataFrame([(u, v) for u, v, _ in EDGES], "u long, v long")
+    n = spark.createDataFrame([(i, 10.0 * i, 5.0 * i * i) for i in range(1, 6)], "osmid long, x double, y double")
+    p = spark.createDataFrame([(0, 2.0, 30.0, [(1.0, 2.0, 3.0, 4.0, 5.0), (20.0, 9.0, 1.0, 0.0, 2.0)])], "snapshot_id long, wind_speed double, wind_dir double, points array<struct<x: double, y: double, no2: double, so2: double, pm2_5: double>>")
+    f = diffusion.fuse(e.unionAll(e), n, p)
+    assert f._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+    for r in f.collect():
+        w = [1 / ((r.x - x) ** 2 + (r.y - y) ** 2 + 1) for x, y in ((1.0, 2.0), (20.0, 9.0))]
+        assert r.no2 == pytest.approx((w[0] * 3 + w[1]) / sum(w)) and r.pm2_5 == pytest.approx((w[0] * 5 + w[1] * 2) / sum(w))
+    assert f.count() == len(EDGES)

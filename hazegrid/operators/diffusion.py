@@ -95,6 +95,40 @@ def propagate(state: DataFrame, edges: DataFrame, wind: DataFrame, steps: int =
     return d.select(*keys, "u", "v", "s")
 
 
+def spread_over(edges: DataFrame, wind: DataFrame, start: Column, steps: int = 2, *, key: str = "snapshot_id", sigma: float = 35.0, cone: float = 75.0, alpha: float = 0.35, damping: float = 0.6) -> DataFrame:
+    """As `propagate` for each row of `wind` (key, wind_speed, wind_dir and others), without storing or shuffling edges by keys: rows of edges by wind with the state `s`, which is `start` (not null) at first.
+
+    edges: one row a (u, v), with length, bearing_deg, building_density and others. Each step stores its means, a row a node
+    with a map by key; the state of an edge is computed anew from the means of the steps so far, where the edge meets them.
+    """
+    rounds = Rounds(edges.sparkSession)
+    damping = max(0.05, min(1.0, damping))
+    x = rounds.put("edges", edges)
+    length, bearing, density = F.coalesce("length", F.lit(100.0)), F.coalesce("bearing_deg", F.lit(0.0)), F.coalesce("building_density", F.lit(0.5))
+    wd = F.col("wind_dir")
+    delta = F.abs(F.pmod(bearing - wd + 180.0, F.lit(360.0)) - 180.0)
+    sy, sz = physics.sigmas(length)
+    ew = physics.street_wind(F.greatest(F.lit(0.2), F.col("wind_speed")), density)
+
+    def state(means: list[DataFrame]) -> DataFrame:
+        d = x
+        for m in means:
+            d = d.join(m, "u", "left")
+        d = d.crossJoin(F.broadcast(wind))  # a row a snapshot
+        d = d.withColumns({"s": start, "_dw": physics.diffusion_weight(bearing, wd, None, sigma, cone), "_ew": ew, "_plume": physics.plume(F.lit(1.0), F.abs(F.sin(F.radians(delta)) * length), ew, sy, sz)})
+        for k in range(len(means)):
+            s, dw, up = F.col("s"), F.col("_dw"), F.coalesce(F.col(f"_up{k}")[F.col(key)], F.lit(0.0))
+            raw = physics.canyon(s + dw * F.greatest(F.lit(0.1), s) * F.col("_plume") + alpha * up * dw, density, F.col("_ew"))
+            d = d.withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(500.0), (1 - damping) * s + damping * raw)))
+        return d.drop("_dw", "_ew", "_plume", *[f"_up{k}" for k in range(len(means))])
+
+    means: list[DataFrame] = []
+    for k in range(max(1, steps)):
+        m = state(means).groupBy(F.col("v").alias("u"), key).agg((F.avg("s") / F.count("*")).alias("_m"))
+        means.append(rounds.put(f"up{k}", m.groupBy("u").agg(F.map_from_entries(F.collect_list(F.struct(key, "_m"))).alias(f"_up{k}"))))
+    return state(means)
+
+
 def training_rows(fused: DataFrame, target: DataFrame) -> DataFrame:
     """Edge features of each snapshot with the propagated target; missing values are 0."""
     j = fused.join(target.withColumnRenamed("s", "target"), ["snapshot_id", "u", "v"], "left")

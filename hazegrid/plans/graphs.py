@@ -306,11 +306,10 @@ SPREAD_BY = FUSED | {
 
 @query("c10_training_rows", "road_nodes road_edges weather_hourly air_hourly", "SELECT snapshot_id, u, v, " + ", ".join(f"round(f.{c} + 1e-7, 4) AS {c}" for c in ("no2", "so2", "pm2_5", "toxicity")) + ", round(s + 1e-7, 4) AS target FROM fused f JOIN q2 USING (snapshot_id, u, v)", SPREAD_BY)
 def _(t):
-    f, e = fused(t), simple(t)
-    ids = snapshots(t).select("snapshot_id", F.col("weather.wind_speed_10m").alias("wind_speed"), F.col("weather.wind_direction_10m").alias("wind_dir"))
-    state = e.select("u", "v").crossJoin(F.broadcast(ids.select("snapshot_id"))).withColumn("s", F.lit(1.0))  # seven rows
-    rows = D.training_rows(f, D.propagate(state, e, ids, 2, keys=["snapshot_id"]))
-    return rows.select("snapshot_id", "u", "v", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("no2", "so2", "pm2_5", "toxicity", "target")])
+    mx, my = GR.midpoint()
+    e = simple(t).select("u", "v", "length", "bearing_deg", "building_density", mx.alias("x"), my.alias("y"))
+    rows = D.at_points(D.spread_over(e, D.snapshot_points(snapshots(t)), F.lit(1.0), 2)).withColumnRenamed("s", "target")
+    return rows.select("snapshot_id", "u", "v", *[F.round(F.coalesce(F.col(c), F.lit(0.0)) + 1e-7, 4).alias(c) for c in (*D.FUSED, "target")])
 
 
 @query("a21_incoming_mean", "road_nodes road_edges", "SELECT v AS u, round(avg(seed) / count(*), 6) AS upstream FROM se GROUP BY v", SIMPLE)

@@ -230,6 +230,22 @@ def test_sql_functions(spark):
     assert round(spark.sql("SELECT hg_bearing_deg(0, 0, 0, 1) AS b").first().b, 6) == 90
 
 
+def test_spread_over_snapshots_stores_a_row_an_edge(spark):
+    """As `propagate` under each wind, from one row an edge and one a node: no edge is stored or shuffled by snapshots."""
+    e = spark.createDataFrame([(u, v, 100.0 + 7 * v, 40.0 * u, b) for u, v, b in EDGES], "u long, v long, length double, bearing_deg double, building_density double")
+    winds = [(k, 1.0 + k, 50.0 * k) for k in range(5)]
+    wind = spark.createDataFrame(winds, "snapshot_id long, wind_speed double, wind_dir double")
+    for steps in (1, 3):
+        rows = diffusion.spread_over(e, wind, F.lit(2.0) + F.col("building_density"), steps)
+        got = {(r.snapshot_id, r.u, r.v): r.s for r in rows.collect()}
+        state = e.select("u", "v", (F.lit(2.0) + F.col("building_density")).alias("s")).crossJoin(wind.select("snapshot_id"))
+        want = {(r.snapshot_id, r.u, r.v): r.s for r in diffusion.propagate(state, e, wind, steps, keys=["snapshot_id"]).collect()}
+        assert got == pytest.approx(want) and len(got) == len(EDGES) * len(winds)
+        tables = {f.rsplit("/", 2)[-2] for f in rows.inputFiles()}
+        assert {t.split("-")[0] for t in tables} == {"edges", *[f"up{k}" for k in range(steps)]}
+        assert spark.read.parquet(next(f.rsplit("/", 1)[0] for f in rows.inputFiles() if "/edges-" in f)).count() == len(EDGES)
+
+
 def test_points_are_weighed_once(spark):
     """The fusion's plan folds a snapshot's points in one pass, whatever the number of readings."""
     e = spark.createDataFrame([(u, v) for u, v, _ in EDGES], "u long, v long")

@@ -253,7 +253,9 @@ def test_points_are_weighed_once(spark):
     p = spark.createDataFrame([(0, 2.0, 30.0, [(1.0, 2.0, 3.0, 4.0, 5.0), (20.0, 9.0, 1.0, 0.0, 2.0)])], "snapshot_id long, wind_speed double, wind_dir double, points array<struct<x: double, y: double, no2: double, so2: double, pm2_5: double>>")
     f = diffusion.fuse(e.unionAll(e), n, p)
     assert f._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
-    for r in f.collect():
-        w = [1 / ((r.x - x) ** 2 + (r.y - y) ** 2 + 1) for x, y in ((1.0, 2.0), (20.0, 9.0))]
-        assert r.no2 == pytest.approx((w[0] * 3 + w[1]) / sum(w)) and r.pm2_5 == pytest.approx((w[0] * 5 + w[1] * 2) / sum(w))
-    assert f.count() == len(EDGES)
+    more = diffusion.fuse(e, n, p.withColumn("points", F.concat("points", F.slice("points", 1, 1))))  # three points are folded
+    for got, at in ((f, ((1.0, 2.0, 3.0, 5.0), (20.0, 9.0, 1.0, 2.0))), (more, ((1.0, 2.0, 3.0, 5.0), (20.0, 9.0, 1.0, 2.0), (1.0, 2.0, 3.0, 5.0)))):
+        for r in got.collect():
+            w = [1 / ((r.x - x) ** 2 + (r.y - y) ** 2 + 1) for x, y, *_ in at]
+            assert r.no2 == pytest.approx(sum(a * q[2] for a, q in zip(w, at)) / sum(w)) and r.pm2_5 == pytest.approx(sum(a * q[3] for a, q in zip(w, at)) / sum(w))
+        assert got.count() == len(EDGES)

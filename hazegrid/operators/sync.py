@@ -43,7 +43,8 @@ def statistics(readings: DataFrame, node_map: DataFrame, weather: DataFrame, air
     hourly = gapfill.hourly_mean(readings)
     table = ratios.ratio_table(ratios.pivot_hourly(hourly))
     table.write.mode("overwrite").parquet(f"{at}/ratios")
-    joined = master.joined(hourly, node_map, weather, air, readings.sparkSession.read.parquet(f"{at}/ratios"))
+    # read three times for the medians
+    joined = shared_checkpoint(master.joined(hourly, node_map, weather, air, readings.sparkSession.read.parquet(f"{at}/ratios")))
     master.medians(joined, exact).write.mode("overwrite").parquet(f"{at}/medians")
 
 

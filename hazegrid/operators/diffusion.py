@@ -100,13 +100,13 @@ def propagate(state: DataFrame, edges: DataFrame, wind: DataFrame, steps: int =
     return d.select(*keys, "u", "v", "s")
 
 
-def spread_over(edges: DataFrame, wind: DataFrame, start: Column, steps: int = 2, *, key: str = "snapshot_id", sigma: float = 35.0, cone: float = 75.0, alpha: float = 0.35, damping: float = 0.6) -> DataFrame:
+def spread_over(edges: DataFrame, wind: DataFrame, start: Column, steps: int = 2, *, key: str = "snapshot_id", sigma: float = 35.0, cone: float = 75.0, alpha: float = 0.35, damping: float = 0.6, rounds: Rounds | None = None) -> DataFrame:
     """As `propagate` for each row of `wind` (key, wind_speed, wind_dir and others), without storing or shuffling edges by keys: rows of edges by wind with the state `s`, which is `start` (not null) at first.
 
     edges: one row a (u, v), with length, bearing_deg, building_density and others. Each step stores its means, a row a node
     with a map by key; the state of an edge is computed anew from the means of the steps so far, where the edge meets them.
     """
-    rounds = Rounds(edges.sparkSession)
+    rounds = rounds or Rounds(edges.sparkSession)
     damping = max(0.05, min(1.0, damping))
     x = rounds.put("edges", edges)
     length, bearing, density = F.coalesce("length", F.lit(100.0)), F.coalesce("bearing_deg", F.lit(0.0)), F.coalesce("building_density", F.lit(0.5))

@@ -21,7 +21,9 @@ def edges(t):
 
 
 def simple(t):
-    return edges(t).groupBy("u", "v").agg(*[F.min_by(c, "key").alias(c) for c in ("length", "bearing_deg", "building_density", "x1", "y1", "x2", "y2")], F.max_by("length", "key").alias("seed"))
+    # nodes meet distinct edges only
+    e = t.road_edges().groupBy("u", "v").agg(*[F.min_by(c, "key").alias(c) for c in ("length", "building_density")], F.max_by("length", "key").alias("seed"))
+    return GR.with_bearing(e, t.road_nodes())
 
 
 @query("m3_edge_bearing", "road_nodes road_edges", "SELECT u, v, key, round(bearing, 6) AS bearing_deg FROM ee", ENDS)

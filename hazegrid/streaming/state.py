@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hazegrid.functions import physics
 from hazegrid.operators import diffusion
+from hazegrid.operators.graph import midpoint
 from hazegrid.operators.scratch import Rounds, drop_table, with_package
 from hazegrid.streaming.streams import latest
 
@@ -110,20 +111,21 @@ def snapshot(newest_payloads: DataFrame) -> DataFrame:
     return one.select(F.lit(0).cast("long").alias("snapshot_id"), *[F.from_json(k, kind).alias(k) for k, (_, kind) in TOPICS.items()])
 
 
-def road_state(edges: DataFrame, nodes: DataFrame, simple: DataFrame, state: DataFrame, steps: int = 2) -> tuple[DataFrame, Rounds]:
+def road_state(simple: DataFrame, state: DataFrame, steps: int = 2) -> tuple[DataFrame, Rounds]:
     """(u, v, no2, so2, pm2_5, toxicity, spread): the newest payloads fused onto the edges and spread along them with the wind.
 
-    The second value holds the tables of the steps, to be closed once the first is written.
+    simple: one row a (u, v), with the ends of `graph.with_bearing`, length and building_density. Fused edges are stored once, and
+    only means by node are shuffled after that. The second value holds the tables of the steps, to be closed once the first is written.
     """
     points = diffusion.snapshot_points(snapshot(state))
-    fused = diffusion.fuse(edges, nodes, points).drop("snapshot_id", "x", "y")
+    mx, my = midpoint()
+    edges = simple.select("u", "v", "length", "bearing_deg", "building_density", mx.alias("x"), my.alias("y"))
+    fused = diffusion.at_points(edges.crossJoin(F.broadcast(points))).select("u", "v", "length", "bearing_deg", "building_density", *diffusion.FUSED)  # one row
     turn = F.radians("wind_dir")
     speed, direction = physics.wind_state(F.col("wind_speed") * F.sin(turn), F.col("wind_speed") * F.cos(turn))
-    wind = points.select(speed.alias("wind_speed"), direction.alias("wind_dir"))
-    rounds = Rounds(edges.sparkSession)
-    fused = rounds.put("fused", fused)
-    spread = diffusion.propagate(fused.select("u", "v", F.col("toxicity").alias("s")), simple, wind, steps, rounds=rounds)
-    return fused.join(spread.withColumnRenamed("s", "spread"), ["u", "v"], "left"), rounds
+    rounds = Rounds(simple.sparkSession)
+    rows = diffusion.spread_over(fused, points.select("snapshot_id", speed.alias("wind_speed"), direction.alias("wind_dir")), F.col("toxicity"), steps, rounds=rounds)
+    return rows.select("u", "v", *diffusion.FUSED, F.col("s").alias("spread")), rounds
 
 
 def refresh_roads(edges: DataFrame, nodes: DataFrame, simple: DataFrame, path: str, steps: int = 2) -> Callable[[DataFrame, int], None]:
@@ -131,7 +133,8 @@ def refresh_roads(edges: DataFrame, nodes: DataFrame, simple: DataFrame, path: s
 
     The newest payload of each topic is carried from version to version (path/newest). An epoch reads the version before its
     own and overwrites its own, so one that is repeated, also after a crash in the middle, gives the same tables; two versions
-    are kept. The graph is static and read anew each time, so its files may be replaced between epochs.
+    are kept. The graph is static and read anew each time, so its files may be replaced between epochs. Of it only `simple` is
+    read, the distinct edges with their ends.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
@@ -141,7 +144,7 @@ def refresh_roads(edges: DataFrame, nodes: DataFrame, simple: DataFrame, path: s
         both = got if not before else spark.read.schema(KEPT).parquet(f"{path}/newest/v{before[-1]}").unionByName(got)
         top = latest(both.select("stream", "ts", "event_id", F.struct("event_id", "payload").alias("payload")))
         top.select("stream", "ts", "payload.event_id", "payload.payload").coalesce(1).write.mode("overwrite").parquet(f"{path}/newest/v{epoch}")
-        roads, rounds = road_state(edges, nodes, simple, spark.read.schema(KEPT).parquet(f"{path}/newest/v{epoch}"), steps)
+        roads, rounds = road_state(simple, spark.read.schema(KEPT).parquet(f"{path}/newest/v{epoch}"), steps)
         roads.write.mode("overwrite").parquet(f"{path}/roads/v{epoch}")
         rounds.close()
         for old in [v for v in versions(spark, f"{path}/roads") if v < epoch - 1]:

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from hazegrid.functions import physics
@@ -99,3 +100,13 @@ def test_road_state_and_an_epoch_that_is_run_again(spark, tmp_path):
     assert rows_of(want) == made
     left = [d for d in os.listdir(spark.sparkContext.getConf().get("spark.checkpoint.dir")) if d.startswith("rounds-")]
     assert all(not os.path.exists(f"{d}/fused-0") for d in left)
+
+
+def test_road_state_shuffles_no_state_of_edges(spark, monkeypatch):
+    """Edges are stored fused and spread from means by node; the joins of edges by (u, v) are not made."""
+    for name in ("fuse", "propagate"):
+        monkeypatch.setattr(diffusion, name, lambda *a, **k: pytest.fail("joins edges with edges"))
+    newest = spark.createDataFrame([payload("weather:live", 1, 1, wind_speed_10m=3.0, wind_direction_10m=40.0)], PAYLOADS)
+    rows, rounds = state.road_state(road(spark)[2], newest)
+    assert rows.count() == 36 and rows.where("spread is null").isEmpty()
+    rounds.close()

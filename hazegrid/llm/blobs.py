@@ -41,6 +41,22 @@ def unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
+def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of all parts in order of the first; the parts are emptied column by column, so that no second copy of all is held."""
+    cols = []
+    for _ in range(len(parts[0])):
+        cols.append(np.concatenate([p.pop(0) for p in parts]))
+    parts.clear()
+    return placed(cols, np.argsort(cols[0], kind="stable"))
+
+
+def placed(cols: list[np.ndarray], at: np.ndarray) -> list[np.ndarray]:
+    """Rows `at` of the columns, in place of them."""
+    for i in range(len(cols)):
+        cols[i] = cols[i][at]
+    return cols
+
+
 def deal(rows: DataFrame, make: Callable[[pa.RecordBatch], list[np.ndarray]], kinds: list[str], total: int, per: int = 1 << 20, step: int = 10_000) -> DataFrame:
     """(bucket, blob) dealt by bucket and in its order; `make` gives the key (uint64) and columns of `kinds` of at most `step` rows, `total` in all."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -50,9 +66,7 @@ def deal(rows: DataFrame, make: Callable[[pa.RecordBatch], list[np.ndarray]], ki
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            cols = [np.concatenate(x) for x in zip(*held)]
-            order = np.argsort(cols[0], kind="stable")
-            cols = [c[order] for c in cols]
+            cols = merged(held)
             bucket = (cols[0] * np.uint64(buckets)) >> np.uint64(KEY)
             start = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             ends = [*start[1:].tolist(), len(bucket)]
@@ -66,35 +80,31 @@ def deal(rows: DataFrame, make: Callable[[pa.RecordBatch], list[np.ndarray]], ki
                 n += len(cols[0])
             if n >= FLUSH:
                 yield flush()
-                held, n = [], 0
+                n = 0
         if n:
             yield flush()
 
     return with_path(rows).mapInArrow(run, "bucket int, blob binary").repartition(max(parts, -(-buckets // 64)), "bucket").sortWithinPartitions("bucket")
 
 
-def gather(batches: Iterator[pa.RecordBatch], kinds: list[str], most: int = 1 << 23, hot: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None) -> Iterator[list[np.ndarray]]:
-    """Columns of each bucket, in order of key. Where more than `most` rows come together, `hot` may take some away."""
-    now, held, n = None, [], 0
-
-    def joined() -> list[np.ndarray]:
-        cols = [np.concatenate(x) for x in zip(*held)]
-        order = np.argsort(cols[0], kind="stable")
-        return [c[order] for c in cols]
+def gather(batches: Iterator[pa.RecordBatch], kinds: list[str], most: int = 1 << 21, hot: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None) -> Iterator[list[np.ndarray]]:
+    """Columns of each bucket, in order of key; the caller may empty the list. Where more than `most` rows come together, `hot` may take some away; it is asked again when as many more have come."""
+    now, held, n, full = None, [], 0, most
 
     for b in batches:
         for bucket, blob in zip(b.column(0).to_pylist(), b.column(1)):
             if bucket != now:
                 if held:
-                    yield joined()
-                now, held, n = bucket, [], 0
+                    yield merged(held)
+                now, n, full = bucket, 0, most
             held.append(unpack(blob.as_py(), kinds))
             n += len(held[-1][0])
-            if n > most and hot is not None:
-                held = [hot(joined())]
+            if n > full and hot is not None:
+                held = [hot(merged(held))]
                 n = len(held[0][0])
+                full = n + most
     if held:
-        yield joined()
+        yield merged(held)
 
 
 def bits_of(table: DataFrame, bits: int, places: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:

@@ -46,6 +46,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Rows of whole texts that go to a Python worker at a time; Spark's own 10,000 may be a hundred megabytes on either side.
 BATCH_ROWS = 2000
+#: Bytes of a batch, whose rows may be blobs of megabytes; Spark's own limit is many times that, and both sides hold a batch.
+BATCH_BYTES = 1 << 23
 
 
 def with_path(df: DataFrame) -> DataFrame:
@@ -55,6 +57,7 @@ def with_path(df: DataFrame) -> DataFrame:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import KEY, bits_of, deal, gather, has, pack, room, unpack
+from .blobs import KEY, bits_of, deal, gather, has, pack, placed, room, unpack
 from .common import cut, lower_ascii, map_rows, shared_dir, with_path
 from .words import mix, word_hashes
 
@@ -128,9 +128,9 @@ def rarities(plain: DataFrame, buckets: int) -> np.ndarray:
 
         for b in batches:
             for _, _, data in _blocks(b):
-                held.append((word_hashes(data)[1] >> shift).astype(np.int64))
+                held.append((word_hashes(data)[1] >> shift).astype(np.int32))
                 n += len(held[-1])
-                if n > 1 << 22:
+                if n > 1 << 21:
                     add()
                     held, n = [], 0
         add()
@@ -205,14 +205,20 @@ def _posting(b: pa.RecordBatch, row: np.ndarray, position: np.ndarray, key: np.n
 
 
 class _Lists:
-    """Lists of lines by key, sizes ascending in each; of equal sets at one place the earliest line."""
+    """Lists of lines by key, sizes ascending in each; of equal sets at one place the earliest line. `cols` are emptied."""
 
     def __init__(self, cols: list[np.ndarray], depth: int, t: float):
         key, size, position, side, ids, line, tag, one, two = cols
         order = np.lexsort((line, ids, tag, two, one, side, position, size, key))
-        key, size, position, side, ids, line, tag, one, two = (c[order] for c in (key, size, position, side, ids, line, tag, one, two))
-        fresh = np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in (key, size, position, side, one, two, tag)])))
-        self.key, self.size, self.position, self.side, self.id, self.line, self.tag, self.one, self.two = (c[fresh] for c in (key, size.astype(np.int64), position.astype(np.int64), side, ids, line.astype(np.int64), tag, one, two))
+        fresh = np.zeros(max(0, len(order) - 1), dtype=bool)
+        for c in (key, size, position, side, one, two, tag):
+            c = c[order]
+            fresh |= c[1:] != c[:-1]
+        order = order[np.concatenate(([True], fresh))[: len(order)]]
+        del key, size, position, side, ids, line, tag, one, two, c
+        self.key, self.size, self.position, self.side, self.id, self.line, self.tag, self.one, self.two = placed(cols, order)
+        cols.clear()
+        self.size, self.position, self.line = (c.astype(np.int64) for c in (self.size, self.position, self.line))
         self.depth, self.t = depth, t
 
     def only(self, keep: np.ndarray) -> None:

@@ -93,3 +93,16 @@ def test_squared_distances(spark):
         pairs = spark.createDataFrame([(float(x), float(y), float(z), float(w)) for x, y in a.T for z, w in b.T], "a double, b double, c double, d double")
         want = [x.d for x in pairs.select(haversine_m(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("d")).collect()]
         assert np.allclose(np.sqrt(G.square_m(a[0], a[1], b[0], b[1])).ravel(), want, rtol=1e-13, atol=0)
+
+
+def test_a_back_test_shuffles_the_sampled_series_only(observed, meta):
+    points = observed.where("value is not null and parameter = 'co' and station_id in (3, 5, 7)")
+    got = G.backtest(observed, points, meta)
+    every = G.backtest(observed, observed.where("value is not null"), meta)
+    assert rows(got) == rows(every.where("pollutant = 'co' and station_id in (3, 5, 7)")) != []
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    for i, x in enumerate(plan):
+        if x.lstrip(" :+-").startswith("Window"):
+            below = plan[i + 1 :][: next((k for k, d in enumerate(depth[i + 1 :]) if d <= depth[i]), len(plan))]
+            assert any("LeftSemi" in y for y in below)
